@@ -84,10 +84,10 @@ class Block:
             lo, hi = np.searchsorted(self.hash, h[some], "left"), np.searchsorted(self.hash, h[some], "right")
             for p, a, b in zip(at[some[hi > lo]], lo[hi > lo], hi[hi > lo], strict=True):
                 for q in self.at[a:b]:
-                    if (p - q) in tried:  # this item at this offset was seen
-                        continue
-                    tried.add(p - q)
                     item = int(np.searchsorted(self.first, q, side="right")) - 1
+                    if (item, p - q) in tried:  # this item at this offset was seen
+                        continue
+                    tried.add((item, p - q))
                     row = int(np.searchsorted(first, p, side="right")) - 1
                     n = self._stretch(hashes, first[row], first[row + 1], int(p) - int(q), item, least, threshold)
                     if n:
@@ -137,7 +137,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, thresho
 
         last = k == blocks - 1
         out = out.mapInArrow(run, f"{plain}, __text string, __items array<long>, __words int") if not last else out.mapInArrow(_without_text(run, keep), f"{plain}, __items array<long>, __words int")
-    return out.select(*keep, F.col("__items").isNotNull().alias("contaminated"), F.coalesce(F.size("__items"), F.lit(0)).alias("n_items"), F.coalesce("__items", F.array().cast("array<long>")).alias("items"), F.col("__words").alias("words")).withColumn("n_items", F.size("items"))
+    return out.select(*keep, F.col("__items").isNotNull().alias("contaminated"), F.coalesce("__items", F.array().cast("array<long>")).alias("items"), F.col("__words").alias("words")).withColumn("n_items", F.size("items"))
 
 
 def _without_text(run, keep: tuple[str, ...]):
