@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.scratch import small_batches
 from quillspan.llm.tokens import U, mix, pieces, word_hashes
 
 #: Positions that count are 1: eight of eleven to thirteen words, each mask blind to others.
@@ -110,6 +111,7 @@ class Block:
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, threshold: float = 0.8, block_words: int = 4_000_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of every row, contaminated, n_items, items (sorted item_ids) and words (equal words of the longest find)."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     # a word and what separates it take two characters at least
     size = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0

@@ -7,7 +7,7 @@ last and partly covered interval, a level that the count must reach. A component
 point, so two documents agree in it with the probability of their weighted Jaccard similarity. Points are
 made only up to a bound that fills all components: the work is in proportion to shingles and components.
 
-32 bands of 7 components find a pair of similarity 0.8 with probability 0.9995. All members of a bucket
+25 bands of 6 components find a pair of similarity 0.8 with probability 0.9995. All members of a bucket
 are compared with one member of it, the same in most buckets; then, as long as a bucket holds more than
 one component, all pairs of its members of different components are compared that weren't. So every
 bucket's components are whole, and a bucket of n copies costs about n comparisons, not n * n / 2.
@@ -30,7 +30,7 @@ from quillspan.llm.scratch import IdFilter, Scratch
 from quillspan.llm.tokens import U, grams, mix, pieces, word_hashes
 
 SHINGLE = 5
-BANDS, ROWS = 32, 7
+BANDS, ROWS = 25, 6
 SIZE = BANDS * ROWS
 
 
@@ -47,6 +47,9 @@ def bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return g[at], np.diff(np.append(at, len(g))), row[at]
 
 
+_STEP = U(0x9E3779B97F4A7C15)
+
+
 def _unit(h: np.ndarray) -> np.ndarray:
     return ((h >> U(11)).astype(np.float64) + 0.5) * (1.0 / (1 << 53))
 
@@ -68,27 +71,33 @@ def signatures(g: np.ndarray, count: np.ndarray, row: np.ndarray, rows: int) ->
     bound = (np.log(SIZE) + 3.0) / np.maximum(weight, 1)  # fills all components in 19 of 20 rows
     x = np.zeros(len(of))
     step = np.zeros(len(of), dtype=np.uint64)
+    partial = bool((count > 1).any())
     alive = np.arange(len(of))
     while len(alive):
         live = alive
         while len(live):
-            h = mix(seed[live] + step[live] * U(0x9E3779B97F4A7C15))
-            step[live] += U(1)
-            x[live] += -np.log(_unit(h)) / (SIZE * width[live])
-            near = x[live] <= bound[owner[live]]
-            live, h = live[near], h[near]
+            # few processes are left in short rows only, which need many points each: take several at once
+            block = int(min(512, max(1, 16_384 // len(live))))
+            h = mix((seed[live] + step[live] * _STEP)[:, None] + np.arange(block, dtype=np.uint64) * _STEP)
+            step[live] += U(block)
+            points = x[live][:, None] + np.cumsum(-np.log(_unit(h)), axis=1) / (SIZE * width[live])[:, None]
+            x[live] = points[:, -1]
+            near = points <= bound[owner[live]][:, None]
+            who_of = np.repeat(live, near.sum(axis=1))
+            h, v = h[near], points[near]
+            live = live[near[:, -1]]
             h2 = mix(h ^ U(0x5851F42D4C957F2D))
-            ok = low[live] + width[live] * _unit(mix(h2 ^ U(0x14057B7EF767814F))) <= reach[live]
-            at = owner[live[ok]] * SIZE + (h2[ok] % U(SIZE)).astype(np.int64)
-            v, who = x[live[ok]], h[ok] | U(1)
-            order = np.argsort(-v, kind="stable")  # the least is put last
-            at, v, who = at[order], v[order], who[order]
+            if partial:
+                ok = low[who_of] + width[who_of] * _unit(mix(h2 ^ U(0x14057B7EF767814F))) <= reach[who_of]
+                who_of, h, v, h2 = who_of[ok], h[ok], v[ok], h2[ok]
+            at = owner[who_of] * SIZE + (h2 % U(SIZE)).astype(np.int64)
             better = v < value[at]
-            value[at[better]], name[at[better]] = v[better], who[better]
+            at, v, h = at[better], v[better], h[better]
+            order = np.argsort(-v, kind="stable")  # the least is put last
+            at = at[order]
+            value[at], name[at] = v[order], h[order] | U(1)
         open_rows = np.isinf(value.reshape(rows, SIZE)).any(axis=1) & (weight > 0)
-        # each process has gone one point past its row's bound: that point waits for the next bound
-        x_next = open_rows[owner]
-        alive = np.flatnonzero(x_next)
+        alive = np.flatnonzero(open_rows[owner])
         if len(alive):
             bound = np.where(open_rows, bound * 2, bound)
             # start again in the rows that weren't filled
@@ -111,7 +120,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, data, offsets in pieces(batch.column("text"), 1 << 19):
+        for lo, hi, data, offsets in pieces(batch.column("text"), 1 << 18):
             g, count, row = bags(data, offsets)
             some = np.flatnonzero(np.bincount(row, minlength=hi - lo))
             keys = band_keys(signatures(g, count, row, hi - lo)[some]).astype(np.int64)
@@ -143,9 +152,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     bands = scratch.keep(texts.mapInArrow(_banded, "doc_id long, keys array<long>"), "bands")
     exploded = bands.select("doc_id", F.explode("keys").alias("key"))
-    # the member that the others of a bucket are compared with: the least by a hash that knows no bucket
-    rank = F.struct(F.xxhash64(F.lit(1), "doc_id").alias("r"), F.col("doc_id"))
-    crowded = exploded.groupBy("key").agg(F.count("*").alias("n"), F.min(rank).alias("head")).filter("n > 1").select("key", F.col("head.doc_id").alias("head"))
+    # the member that the others of a bucket are compared with is the least: mostly the same in a group's buckets
+    crowded = exploded.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")).filter("n > 1").select("key", "head")
     member = scratch.keep(exploded.join(crowded, "key").select("key", "doc_id", "head"), "members")
     ids = scratch.keep(member.select("doc_id").distinct(), "ids")
     candidates = IdFilter(ids, "doc_id")
@@ -163,7 +171,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         return scratch.keep(both.select("a", "b", "ma", "mb").mapInArrow(verify, "a long, b long, linked boolean"), "compared")
 
     ordered = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    one = member.filter("doc_id <> head").groupBy(F.col("doc_id").alias("x")).agg(F.min(F.struct(F.xxhash64(F.lit(1), "head"), "head")).getField("head").alias("y"))
+    one = member.filter("doc_id <> head").groupBy(F.col("doc_id").alias("x")).agg(F.min("head").alias("y"))
     tested = compared(one.select(*ordered).distinct())
     labels = components(scratch, tested.filter("linked"))
     for whole in (False, True):

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.scratch import small_batches
 from quillspan.llm.tokens import Hashes, U, mix, pieces, solid
 
 BITS = 18
@@ -125,6 +126,7 @@ def fit(ids: list[np.ndarray], shares: list[np.ndarray], labels: np.ndarray, epo
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 4000) -> tuple[np.ndarray, float]:
     """Fit on at most ``sample`` labelled rows of ``docs`` that aren't held out."""
+    small_batches(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")
@@ -145,6 +147,7 @@ def hash_of(*parts: bytes) -> bytes:
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3) -> DataFrame:
     """``keep`` columns of every row, its score (0 to 1) and predicted (1 if the score reaches the threshold)."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # 1 MiB, fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import decontaminate, mixing, neardup, pii, quality, toxicity, urls
+from quillspan.llm import chains, decontaminate, embeddings, mixing, neardup, pii, quality, suffixes, toxicity, urls
 
 #: Fixed values of the queries.
 MIX_WEIGHTS = [5, 2, 1]
@@ -29,6 +29,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.repeated_words(_table(spark, sf_dir, "documents"))
+
+
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.withColumn("n_found", sum(F.col(f"n_{kind}") for kind in pii.KINDS))
@@ -38,6 +46,10 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -59,7 +71,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_quality, op5_pseudonyms, op6_urls, op8_toxicity, op9_minhash, op10_decontamination, pipeline)
+    f.__name__: f
+    for f in (op1_mixing, op2_quality, op3_embeddings, op4_chains, op5_pseudonyms, op6_urls, op7_suffixes, op8_toxicity, op9_minhash, op10_decontamination, pipeline)
 }
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"

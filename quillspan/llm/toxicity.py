@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.quality import held_out
-from quillspan.llm.scratch import IdFilter
+from quillspan.llm.scratch import IdFilter, small_batches
 from quillspan.llm.tokens import U, grams, pieces, word_hashes
 
 BITS = 20
@@ -145,6 +145,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 6000) -> Model:
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    small_batches(docs.sparkSession)
     labelled = IdFilter(known, "doc_id")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
     """``keep`` columns of every row, its score (0 to 1) and predicted (1 if the score reaches the threshold)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MiB, fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
