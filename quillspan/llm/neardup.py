@@ -7,10 +7,12 @@ last and partly covered interval, a level that the count must reach. A component
 point, so two documents agree in it with the probability of their weighted Jaccard similarity. Points are
 made only up to a bound that fills all components: the work is in proportion to shingles and components.
 
-25 bands of 6 components find a pair of similarity 0.8 with probability 0.9995. All members of a bucket
-are compared with one member of it, the same in most buckets; then, as long as a bucket holds more than
-one component, all pairs of its members of different components are compared that weren't. So every
-bucket's components are whole, and a bucket of n copies costs about n comparisons, not n * n / 2.
+25 bands of 6 components find a pair of similarity 0.8 with probability 0.9995. Equal multisets are collapsed
+first. All members of a bucket are compared with its head, the smallest doc_id, which is the same in most buckets
+of a group. Two members that still are in different components can't share more of their head than either of
+them does, and nothing else but what both have beyond it: only pairs for which this sum may reach the
+threshold are compared in full, so no link between members of a bucket is lost, and a group of n near
+copies costs about n comparisons, not n * n / 2.
 
 Texts without words link with nothing. Equal texts link. Null ids are not allowed to link: they are dropped.
 Repeated ids must not differ in text. Tables without rows give none.
@@ -112,21 +114,19 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return mix(folded + mix(np.arange(BANDS, dtype=np.uint64) + U(1000)))
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted arrays of distinct members."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
-
-
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row's band keys, and two sums that name its multiset; rows without words are left out."""
     for batch in batches:
         for lo, hi, data, offsets in pieces(batch.column("text"), 1 << 18):
             g, count, row = bags(data, offsets)
+            first = np.searchsorted(row, np.arange(hi - lo))
             some = np.flatnonzero(np.bincount(row, minlength=hi - lo))
             keys = band_keys(signatures(g, count, row, hi - lo)[some]).astype(np.int64)
+            member = mix(g * U(0x9FB21C651E98DF25) + count.astype(np.uint64))
+            names = [np.add.reduceat(m, first[some]).astype(np.int64) for m in (member, mix(member ^ U(0x5851F42D4C957F2D)))] if len(some) else [np.zeros(0, dtype=np.int64)] * 2
             ids = batch.column("doc_id").slice(lo, hi - lo).take(pa.array(some))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([ids, lists], names=["doc_id", "keys"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(names[0]), pa.array(names[1]), lists], names=["doc_id", "m1", "m2", "keys"])
 
 
 def _members(candidates: IdFilter):
@@ -150,42 +150,51 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row a document: doc_id, component_id (smallest doc_id reachable by links), kept."""
     scratch = Scratch(docs.sparkSession, "neardup")
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    bands = scratch.keep(texts.mapInArrow(_banded, "doc_id long, keys array<long>"), "bands")
-    exploded = bands.select("doc_id", F.explode("keys").alias("key"))
+    bands = scratch.keep(texts.mapInArrow(_banded, "doc_id long, m1 long, m2 long, keys array<long>"), "bands")
+    # one of equal multisets stands for all
+    classes = scratch.keep(bands.groupBy("m1", "m2").agg(F.min("doc_id").alias("rep")), "classes")
+    exploded = bands.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
     # the member that the others of a bucket are compared with is the least: mostly the same in a group's buckets
     crowded = exploded.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")).filter("n > 1").select("key", "head")
-    member = scratch.keep(exploded.join(crowded, "key").select("key", "doc_id", "head"), "members")
-    ids = scratch.keep(member.select("doc_id").distinct(), "ids")
+    pairs = scratch.keep(exploded.join(crowded, "key").filter("doc_id <> head").select("doc_id", "head").distinct(), "pairs")
+    ids = scratch.keep(pairs.select("doc_id").union(pairs.select("head")).distinct(), "ids")
     candidates = IdFilter(ids, "doc_id")
-    bag = scratch.keep(texts.withColumn("h", F.xxhash64("doc_id")).mapInArrow(_members(candidates), "doc_id long, members binary").join(ids, "doc_id", "left_semi"), "bags")
+    bag = scratch.keep(texts.withColumn("h", F.xxhash64("doc_id")).mapInArrow(_members(candidates), "doc_id long, members binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bags")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whether x and y are linked, x's size, their common members, and x's other members."""
         for batch in batches:
-            ma, mb = batch.column("ma"), batch.column("mb")
-            sure = [overlap(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")) >= threshold for x, y in zip(ma, mb, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sure, pa.bool_())], names=["a", "b", "linked"])
+            linked, size, both, other = [], [], [], []
+            for x, y in zip(batch.column("mx"), batch.column("my"), strict=True):
+                a, b = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
+                own = np.isin(a, b, assume_unique=True, kind="sort")
+                n = int(own.sum())
+                linked.append(n >= threshold * (len(a) + len(b) - n))
+                size.append(len(a))
+                both.append(n)
+                other.append(a[~own].view("<i4"))
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(linked, pa.bool_()), pa.array(size, pa.int32()), pa.array(both, pa.int32()), pa.array(other, pa.list_(pa.int32()))], names=["x", "y", "linked", "size", "both", "other"])
 
     def compared(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(bag.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")), "a")
-        both = left.join(bag.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")), "b")
-        return scratch.keep(both.select("a", "b", "ma", "mb").mapInArrow(verify, "a long, b long, linked boolean"), "compared")
-
-    ordered = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    one = member.filter("doc_id <> head").groupBy(F.col("doc_id").alias("x")).agg(F.min("head").alias("y"))
-    tested = compared(one.select(*ordered).distinct())
-    labels = components(scratch, tested.filter("linked"))
-    for whole in (False, True):
-        named = member.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "head", F.coalesce("component", "doc_id").alias("c"))
-        mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-        named = scratch.keep(named.join(mixed, "key", "left_semi"), "mixed")
-        if whole:
-            x, y = named.select("key", F.col("doc_id").alias("x"), F.col("c").alias("cx")), named.select("key", F.col("doc_id").alias("y"), F.col("c").alias("cy"))
-            pairs = x.join(y, "key").filter("cx < cy")
-        else:
-            heads = named.filter("doc_id = head").select("key", F.col("c").alias("cy"))
-            pairs = named.select("key", F.col("doc_id").alias("x"), F.col("head").alias("y"), F.col("c").alias("cx")).join(heads, "key").filter("cx <> cy")
-        fresh = pairs.select(*ordered).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        tested = scratch.keep(tested.union(compared(fresh)), "tested")
-        labels = components(scratch, tested.filter("linked"))
-    every = texts.select("doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return every.select("doc_id", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        left = pairs.join(bag.select(F.col("doc_id").alias("x"), F.col("members").alias("mx")), "x")
+        both = left.join(bag.select(F.col("doc_id").alias("y"), F.col("members").alias("my")), "y")
+        return scratch.keep(both.select("x", "y", "mx", "my").mapInArrow(verify, "x long, y long, linked boolean, size int, both int, other array<int>"), "compared")
+
+    tested = compared(pairs.toDF("x", "y"))
+    links = tested.filter("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    labels = components(scratch, links)
+    # members of one head in different components: y can share with x no more of the head than either does,
+    # and besides only what both have beyond it; few pairs can still reach the threshold
+    named = tested.select(F.col("y").alias("head"), F.col("x").alias("id"), "size", "both", "other").join(labels, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    mixed = named.groupBy("head").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("head")
+    named = scratch.keep(named.join(mixed, "head", "left_semi").select("head", "id", "size", "both", "other", "c"), "mixed")
+    p, q = (named.select("head", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "size", "both", "other", "c")]) for side in "pq")
+    need = F.lit(threshold / (1 + threshold)) * (F.col("size_p") + F.col("size_q")) - F.least("both_p", "both_q") - 1e-6
+    may = (F.col("c_p") < F.col("c_q")) & (F.least(F.size("other_p"), F.size("other_q")) >= need)
+    may = may & F.when(need <= 0, True).otherwise(F.size(F.array_intersect("other_p", "other_q")) >= need)
+    open_pairs = p.join(q, (p["head"] == q["head"]) & may).select(F.col("id_p").alias("x"), F.col("id_q").alias("y")).distinct()
+    more = compared(open_pairs).filter("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    labels = components(scratch, links.union(more))
+    rows = bands.select("doc_id", "m1", "m2").join(classes, ["m1", "m2"]).join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
+    every = texts.select("doc_id").join(rows.groupBy("doc_id").agg(F.min("c").alias("c")), "doc_id", "left")
+    return every.select("doc_id", F.coalesce("c", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
