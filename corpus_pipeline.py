@@ -14,10 +14,17 @@ from quillspan.llm import decontaminate, mixing, neardup, pii, quality
 from quillspan.llm.scratch import Scratch
 
 
+def _renamed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` under names that no operator uses, but for text: columns may be called anything."""
+    names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject. Its labels are the ``labels`` table's."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, keep=tuple(docs.columns)).filter("predicted = 1").select(*docs.columns)
+    plain, names = _renamed(docs)
+    return quality.score(plain, model, keep=tuple(names)).filter("predicted = 1").select(*names).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +35,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns))
-    return found.filter("not contaminated").select(*docs.columns)
+    plain, names = _renamed(docs)
+    found = decontaminate.contaminated(plain, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(names))
+    return found.filter("not contaminated").select(*names).toDF(*docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced; n_chars follows the new text."""
-    out = pii.pseudonymise(docs).select(*docs.columns)
+    out = pii.pseudonymise(docs, prefix="__n_").select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -54,17 +54,19 @@ def water_fill(sources: DataFrame, budget: tuple[int, int], max_epochs: int) ->
     return sources.join(out, F.col("source").eqNullSafe(F.col("o_source")), "left").select("source", "weight", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, weights: list[int], budget: tuple[int, int] = (3, 2), max_epochs: int = 2, seed: str = "mix", buckets: int = 4096, pass_through: tuple[str, ...] = ()) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, taken, and ``pass_through`` columns.
+def mix(docs: DataFrame, weights: list[int], budget: tuple[int, int] = (3, 2), max_epochs: int = 2, seed: str = "mix", buckets: int = 4096, carry: bool = False) -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, target, taken and, to ``carry`` it, the whole row as __row.
 
     ``weights`` are dealt to the sources in code point order, again and again. Documents of one source are
     never gathered: their sizes are summed by (source, bucket of the digest), and only the bucket in
     which the fraction ends is ordered.
     """
     scratch = Scratch(docs.sparkSession, "mix")
+    whole = ["__row"] if carry else []
+    docs = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("__row"))
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
     sized = scratch.keep(
-        docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), digest.alias("key"), *pass_through)
+        docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), digest.alias("key"), *whole)
         .withColumn("bucket", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % buckets).cast("int")),
         "sized",
     )
@@ -87,7 +89,7 @@ def mix(docs: DataFrame, weights: list[int], budget: tuple[int, int] = (3, 2), m
     inside = Window.partitionBy("e_source", "e_bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     plain = joined.filter("room = 0 or room = words").withColumn("extra", F.when(F.col("room") > 0, F.col("size")).otherwise(F.lit(0)).cast("long"))
     cut = joined.filter("room > 0 and room < words").withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("extra", F.greatest(F.least(F.col("room") - F.col("before"), F.col("size")), F.lit(0)).cast("long")).drop("before")
-    return plain.unionByName(cut).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"), *pass_through)
+    return plain.unionByName(cut).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"), *whole)
 
 
 def repeated(docs: DataFrame, weights: list[int], **options) -> DataFrame:
@@ -96,12 +98,11 @@ def repeated(docs: DataFrame, weights: list[int], **options) -> DataFrame:
     A last copy that is taken in part holds its first words, with single spaces.
     """
     columns = docs.columns
-    mixed = mix(docs, weights, pass_through=tuple(c for c in columns if c not in ("doc_id", "source")), **options)
-    copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
-    taken = mixed.filter("taken > 0").withColumn("copy_no", F.explode(copies))
-    left = F.col("taken") - (F.col("copy_no") - 1) * F.col("size")
-    text = F.when(left >= F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, left.cast("int")), " "))
-    out = taken.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*columns, "copy_no")
+    taken = mix(docs, weights, carry=True, **options).filter("taken > 0")
+    copies = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    left = F.col("taken") - (F.col("__copy") - 1) * F.col("size")
+    text = F.col("__row.text")
+    text = F.when(left >= F.col("size"), text).otherwise(F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, left.cast("int")), " "))
+    copies = copies.withColumn("__text", text)
+    new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
+    return copies.select(*[new[c].alias(c) if c in new else F.col(f"__row.`{c}`").alias(c) for c in columns], F.col("__copy").alias("copy_no"))
