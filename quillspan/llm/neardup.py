@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     classes = scratch.keep(bands.groupBy("m1", "m2").agg(F.min("doc_id").alias("rep")), "classes")
     exploded = bands.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
     # the member that the others of a bucket are compared with is the least: mostly the same in a group's buckets
-    crowded = exploded.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")).filter("n > 1").select("key", "head")
+    crowded = scratch.keep(exploded.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")).filter("n > 1").select("key", "head"), "crowded")
     pairs = scratch.keep(exploded.join(crowded, "key").filter("doc_id <> head").select("doc_id", "head").distinct(), "pairs")
     ids = scratch.keep(pairs.select("doc_id").union(pairs.select("head")).distinct(), "ids")
     candidates = IdFilter(ids, "doc_id")

@@ -195,7 +195,8 @@ def dedup(docs: DataFrame, length: int = 400, most: int = 50_000, run_bytes: int
 
     lists = scratch.keep(texts.mapInArrow(anchored, "doc_id long, at array<int>, h array<long>, around array<long>"), "anchors")
     found = lists.select("doc_id", F.explode(F.arrays_zip("at", "h", "around")).alias("a")).select("doc_id", F.col("a.at").alias("at"), F.col("a.h").alias("h"), F.col("a.around").alias("around"))
-    kinds = found.groupBy("h").agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).filter("n > 1")
+    # written, so that both sides of the join are plain shuffles, of which Spark splits a hot key's
+    kinds = scratch.keep(found.groupBy("h").agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).filter("n > 1"), "kinds")
     repeated = scratch.keep(found.join(kinds.select("h", (F.col("lo") != F.col("hi")).alias("open")), "h").select("doc_id", "at", "h", "around", "open"), "repeated")
 
     # texts that may lose something
