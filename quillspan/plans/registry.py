@@ -826,3 +826,67 @@ def content_words_rows(t: Tables) -> DataFrame:
 def tokens_rows(t: Tables) -> DataFrame:
     w = tokens(F.col("text"))
     return t.raw("documents").select("doc_id", F.size(w).cast("long").alias("n"), F.array_join(F.slice(w, 1, 5), " ").alias("first"))
+
+
+# ---- shapes of results, notes and rows kept aside
+
+@query(
+    f"""{_search_sql({'notes': _NOTES}, 'idiot').replace('SELECT id, title', ', found AS (SELECT id, title', 1)}),
+page AS (SELECT *, row_number() OVER (ORDER BY score, created_at DESC, id) AS pos FROM found)
+SELECT 'idiot' AS query, (SELECT count(*) FROM found) AS total_meetings, 5 AS limit_, count(*) AS returned, string_agg(id, ',' ORDER BY pos) AS ids FROM page WHERE pos <= 5"""
+)
+def grep_envelope(t: Tables) -> DataFrame:
+    from quillspan.operators import sinks
+
+    found = search.search(t.documents(), _sources(t, "notes"), "idiot")
+    w = Window.orderBy("score", F.col("created_at").desc(), "id")
+    page = found.limit(5).withColumn("pos", F.row_number().over(w))
+    e = sinks.envelope(page, search.keyword_total(found), "idiot", 5)
+    return e.select("query", "total_meetings", F.col("limit").alias("limit_"), "returned", F.array_join(F.transform("meetings", lambda m: m["id"]), ",").alias("ids"))
+
+
+@query(f"{with_('utts')}, {_TSITES} SELECT s.document_id, inner_ AS inner, CASE source WHEN 'microphone' THEN 'me' WHEN 'system' THEN 'other' END AS speaker FROM (SELECT document_id, inner_, source FROM u WHERE contains(lower(text), 'the') AND contains(lower(text), 'be')) s")
+def match_speakers(t: Tables) -> DataFrame:
+    from quillspan.operators import sinks
+
+    return sinks.match_json(evidence.transcript_sites(t.utterances(), "the be")).select("document_id", F.col("inner").cast("long").alias("inner"), "speaker")
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS id, '{"id":' || (l_orderkey * 10 + l_linenumber) || ',"kind":"' || l_returnflag || '"' || CASE WHEN l_linenumber % 2 = 0 THEN ',"body":"[stored]"' ELSE '' END || '}' AS snapshot FROM lineitem""")
+def redacted_snapshots(t: Tables) -> DataFrame:
+    from quillspan.functions.text import redacted
+
+    rows = t.raw("lineitem").selectExpr("l_orderkey * 10 + l_linenumber as id", "l_returnflag as kind", "case when l_linenumber % 2 = 0 then l_shipdate end as body")
+    return rows.select("id", redacted(["id", "kind", "body"], {"body"}).alias("snapshot"))
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'AI notes: ' || p_name WHEN 1 THEN 'AI notes' END AS place, CASE WHEN p_partkey % 3 = 2 THEN p_size END AS window_start FROM part")
+def chunk_places(t: Tables) -> DataFrame:
+    rows = t.raw("part").selectExpr("p_partkey as id", "if(p_partkey % 3 = 2, 'transcript_window', 'panel_section') as source_type", """case p_partkey % 3 when 0 then to_json(named_struct('section_heading', p_name)) when 1 then '{"section_idx":1}' else to_json(named_struct('window_start_idx', p_size)) end as metadata_json""")
+    return semantic.chunk_details(rows).select("id", "place", F.col("window_start").cast("int").alias("window_start"))
+
+
+@query("SELECT 'order' AS source_type, CAST(o_orderkey AS VARCHAR) AS source_id FROM orders QUALIFY row_number() OVER (ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR)) > 25")
+def chunks_without_newest(t: Tables) -> DataFrame:
+    rows = t.raw("orders").selectExpr("'order' as source_type", "cast(o_orderkey as string) as source_id", "o_orderdate as created_at")
+    return chunking.without_newest(rows, 25).select("source_type", "source_id")
+
+
+@query("SELECT event_type AS mode, round(avg(value), 6) AS avg, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, min(value) AS min, max(value) AS max, round(count(*) * 1000 / sum(value), 6) AS per_second FROM events GROUP BY 1")
+def latency_stats(t: Tables) -> DataFrame:
+    out = evaluation.latency(t.raw("events").selectExpr("event_type as mode", "value as ms"))
+    return out.withColumns({c: F.round(c, 6) for c in ("avg", "p50", "p95", "p99", "per_second")})
+
+
+@query("SELECT c_custkey AS id, coalesce(CASE WHEN c_custkey % 3 > 0 THEN c_name END, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END) AS speaker_name FROM customer")
+def speakers_from_snapshots(t: Tables) -> DataFrame:
+    rows = t.raw("customer").selectExpr("c_custkey as id", "case when c_custkey % 3 > 0 then c_name end as speaker_name", "case when c_custkey % 2 = 0 then to_json(named_struct('detected_speaker_name', c_mktsegment)) else 'not json' end as api_snapshot")
+    return ingest.fill_speakers(rows).select("id", "speaker_name")
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey < 15 AND n_nationkey % 4 <> 0 THEN 'old' ELSE 'new' END AS summary FROM nation WHERE n_nationkey < 15 OR (n_nationkey % 4 = 0 AND n_nationkey % 8 = 0)")
+def calendars_upsert(t: Tables) -> DataFrame:
+    """Stored calendars 0-14; every fourth comes in, selected if a multiple of eight."""
+    n = t.raw("nation").selectExpr("n_nationkey as id")
+    stored = n.filter("id < 15").withColumn("summary", F.lit("old"))
+    return ingest.upsert_calendars(stored, n.filter("id % 4 = 0").selectExpr("id", "'new' as summary", "id % 8 = 0 as selected"))

@@ -311,3 +311,54 @@ def test_streaming_ingest(spark, tmp_path):
     before = sink.current()
     sink.write(spark.createDataFrame([("z", "1", "z")], schema), before)  # a batch that ran already
     assert sink.read().count() == 2
+
+
+def test_sync_and_index(spark, tmp_path):
+    from quillspan.plans import index, messages, sync
+    from quillspan.sources.store import Store
+
+    zone = tmp_path / "zone"
+
+    def put(name, value):
+        (zone / name).mkdir(parents=True, exist_ok=True)
+        (zone / name / "r.json").write_text(json.dumps(value))
+
+    doc = {"id": "d1", "title": "T", "created_at": "2025-06-15T10:00:00Z", "updated_at": "2025-06-15T10:00:00Z", "notes_plain": "A paragraph that is long enough.\n\nshort"}
+    put("documents", {"docs": [doc]})
+    put("people", [{"id": "p", "name": "Ann"}])
+    put("utterances", [{"id": "u", "document_id": "d1", "text": "hello there, this is said and it is long enough to be a chunk", "start_timestamp": "2025-06-15T10:00:00Z", "source": "system"}, {"id": None, "document_id": "d1", "text": "no id"}, {"id": "x", "document_id": "unknown", "text": "lost"}])
+    store = Store(spark, str(tmp_path / "store"))
+    got = sync.full_sync(store, str(zone), "2025-07-01T00:00:00Z", account="acc")
+    assert got["documents"]["inserted"] == 1 and "error" in got["events"] and "error" in got["panels"]
+    assert [r["id"] for r in store.read("utterances").collect()] == ["u"]
+    assert store.read("documents").first()["source_account_id"] == "acc"
+    assert sync.full_sync(store, str(zone), "2025-07-02T00:00:00Z", only=["documents"])["documents"] == {"inserted": 0, "updated": 0, "unchanged": 1}
+    assert {r["kind"] for r in sync.work_list(store).collect()} == {"panels"}
+    put("documents", {"docs": []})
+    assert "right account" in sync.full_sync(store, str(zone), "2025-07-03T00:00:00Z", only=["documents"])["documents"]["error"]
+
+    make = lambda: embed.byte_embedder(16)
+    first = index.refresh(store, make, "bytes", 16)
+    assert first == {"embed": 2, "refresh": 0, "unchanged": 0, "orphan": 0, "failed": 0}
+
+    def never():
+        raise AssertionError("no model is needed")
+
+    assert index.refresh(store, never, "bytes", 16)["unchanged"] == 2
+    assert stats.freshness(store.read("metadata"), 2, "bytes", chunking.Config().notes()) == "Fresh"
+    stamped = ingest.stamp(store.read("metadata"), "panels", "2030-01-01T00:00:00Z")
+    state = stats.freshness(stamped, 2, "bytes", chunking.Config().notes())
+    assert state == "Stale" and messages.freshness_warning(state)
+    assert index.refresh(store, make, "other", 16)["embed"] == 2
+    index.clear(store, newest=1)
+    assert store.read("chunks").count() == store.read("embeddings").count() == 1
+    index.clear(store)
+    assert store.read("chunks").isEmpty()
+
+
+def test_messages():
+    from quillspan.plans import messages
+
+    assert messages.command_line("grep", 'a "b"', limit=5, include_deleted=True, meeting=None) == "grep 'a \"b\"' --limit 5 --include-deleted"
+    assert messages.grep_hint("q", 3, 3) is None and "3 meetings" in messages.grep_hint("q", 3, 1)
+    assert messages.ambiguous_speaker("x", ["a", "b"]) and messages.freshness_warning("Fresh") is None
