@@ -218,11 +218,15 @@ def panel_chunks(panels: DataFrame, config: Config = Config(), headers: DataFram
     return _split(_headed(rows, headers), F.concat("id", F.lit(":s"), "idx"), config, "panel_section", meta)
 
 
-def note_chunks(documents: DataFrame, config: Config = Config(min_chars=20), headers: DataFrame | None = None, separator: str = "\n\n") -> DataFrame:
-    """Paragraphs of at least min_chars; they are numbered after shorter ones have gone."""
+def note_units(documents: DataFrame, min_chars: int, separator: str = "\n\n") -> DataFrame:
+    """document_id, idx, unit: paragraphs of at least min_chars, numbered after shorter ones have gone."""
     live = documents.filter("deleted_at is null and notes_plain <> ''")
-    long = F.filter(paragraphs(F.col("notes_plain"), separator), lambda p: F.octet_length(p) >= config.min_chars)
-    rows = live.select(F.col("id").alias("document_id"), F.posexplode(long).alias("idx", "unit"))
+    long = F.filter(paragraphs(F.col("notes_plain"), separator), lambda p: F.octet_length(p) >= min_chars)
+    return live.select(F.col("id").alias("document_id"), F.posexplode(long).alias("idx", "unit"))
+
+
+def note_chunks(documents: DataFrame, config: Config = Config(min_chars=20), headers: DataFrame | None = None, separator: str = "\n\n") -> DataFrame:
+    rows = note_units(documents, config.min_chars, separator)
     return _split(_headed(rows, headers), F.concat("document_id", F.lit(":n"), "idx"), config, "notes_paragraph", F.struct(F.col("idx").alias("paragraph_idx")))
 
 

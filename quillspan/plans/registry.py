@@ -605,12 +605,17 @@ _NOTE_SQL = f"""np AS (SELECT id AS document_id, list_filter({_PARAS}, lambda p:
 nc AS (SELECT document_id, unnest(range(0, len(p))) AS i, unnest(p) AS text FROM np)"""
 
 
-@query(f"{with_('docs')}, {_NOTE_SQL} SELECT document_id || ':n' || i AS source_id, document_id, text, sha256(text) AS content_hash FROM nc WHERE strlen(text) <= 2048")
+@query(f"{with_('docs')}, {_NOTE_SQL} SELECT document_id || ':n' || i AS source_id, document_id, text, sha256(text) AS content_hash FROM nc")
+def paragraph_units(t: Tables) -> DataFrame:
+    """Paragraphs before long ones are cut, with their ids and hashes."""
+    units = chunking.note_units(t.documents(), 20, "\n")
+    return units.select(F.concat("document_id", F.lit(":n"), "idx").alias("source_id"), "document_id", F.col("unit").alias("text"), chunking.content_hash(F.lit(None).cast("string"), F.col("unit")).alias("content_hash"))
+
+
+@query()
 def paragraph_chunks(t: Tables) -> DataFrame:
-    """Paragraphs within the cap; longer ones are cut by sentences, which the tests hold against a plain version."""
-    made = chunking.desired(chunking.note_chunks(t.documents(), separator="\n"))
-    cut = made.filter("source_id like '%p%'").select(F.substring_index("source_id", "p", 1).alias("source_id"))
-    return made.join(cut, "source_id", "left_anti").filter("octet_length(text) <= 2048 and source_id not like '%p%'").select("source_id", "document_id", "text", "content_hash")
+    """All chunks of notes; cutting at sentences is tested against a plain version."""
+    return chunking.desired(chunking.note_chunks(t.documents(), separator="\n"))
 
 
 @query(f"{with_('docs', 'people', 'doc_people')} SELECT document_id, string_agg(name, ', ' ORDER BY name) AS names FROM (SELECT DISTINCT document_id, coalesce(full_name, email) AS name FROM doc_people WHERE coalesce(full_name, email) IS NOT NULL) GROUP BY document_id")
@@ -775,12 +780,12 @@ def freshness(t: Tables) -> DataFrame:
 
 def _results(t: Tables, least: float = 0.0) -> tuple[DataFrame, DataFrame]:
     near = semantic.search(t.chunks(), _vector_queries(t), min_score=least)
-    labels = t.chunks().filter("chunk_id % 40 = 3").select("document_id", "label").distinct()
+    labels = t.chunks().select("document_id", "label").distinct()
     wanted = _vector_queries(t).select("query_id", "label").join(labels, "label").select("query_id", F.col("document_id").alias("label"))
     return near.select("query_id", "document_id", "rank"), wanted
 
 
-_EVAL = f"""{_semantic_sql()}, lab AS (SELECT DISTINCT e.vec_id AS query_id, c.document_id AS label FROM embeddings e JOIN chunks c ON c.label = e.label WHERE e.vec_id % 50 = 0 AND c.chunk_id % 40 = 3),
+_EVAL = f"""{_semantic_sql()}, lab AS (SELECT DISTINCT e.vec_id AS query_id, c.document_id AS label FROM embeddings e JOIN chunks c ON c.label = e.label WHERE e.vec_id % 50 = 0),
 n AS (SELECT query_id, count(*) AS n_labels FROM lab GROUP BY query_id),
 m AS (SELECT lab.query_id, min(rank) AS best_rank, count(DISTINCT CASE WHEN rank <= 10 THEN label END) AS found FROM lab JOIN r ON r.query_id = lab.query_id AND r.document_id = lab.label GROUP BY lab.query_id),
 sc AS (SELECT n.query_id, best_rank, coalesce(found, 0) AS found, n_labels, CASE WHEN best_rank <= 10 THEN 1 ELSE 0 END AS hit, coalesce(found, 0) / CAST(n_labels AS DOUBLE) AS recall, CASE WHEN best_rank <= 10 THEN 1.0e0 / best_rank ELSE 0.0e0 END AS rr FROM n LEFT JOIN m USING (query_id))"""
@@ -817,9 +822,9 @@ def eval_win_loss_tie(t: Tables) -> DataFrame:
     return evaluation.win_loss_tie(evaluation.query_scores(results, labels), evaluation.query_scores(other, labels))
 
 
-@query(f"SELECT doc_id, array_to_string(list_sort({_content_sql('text')}), ' ') AS words FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, array_to_string(list_sort({_content_sql('text')}), ' ') AS words FROM documents")
 def content_words_rows(t: Tables) -> DataFrame:
-    return t.raw("documents").filter("lang = 'en'").select("doc_id", F.array_join(F.array_sort(content_words(F.col("text"))), " ").alias("words"))
+    return t.raw("documents").select("doc_id", F.array_join(F.array_sort(content_words(F.col("text"))), " ").alias("words"))
 
 
 @query(f"SELECT doc_id, len({_words('text')}) AS n, array_to_string({_words('text')}[1:5], ' ') AS first FROM documents")
