@@ -1,7 +1,7 @@
 """Embedding near-dedup: collision-counting projections.
 
 Vectors are projected on many one-dimensional lines, each the sum of one line of a set A and one of a set B,
-so that there are twice as many lines as vectors at the cost of the square root. A vector is listed on the
+so that there are 32 times as many lines as vectors at the cost of the square root. A vector is listed on the
 lines on which it is projected furthest out; each list is sorted by projection. Around each vector, a window
 of its list is a set of collisions, collisions are counted per pair over all lists, and pairs that reach the
 count are verified by their cosine in double precision. The number of lists a vector is put on and the
@@ -51,7 +51,7 @@ class Lines:
 
 def calibrate(dim: int, n: int, threshold: float, recall: float, pairs: int = 3000) -> tuple[int, int, int]:
     """(side, lists, count): the fewest lists and then the greatest count that reach the recall at the threshold."""
-    side = int(min(2048, max(8, np.ceil(np.sqrt(2 * n)))))
+    side = int(min(4096, max(8, np.ceil(np.sqrt(32 * n)))))
     rng = np.random.default_rng(5)
     x = rng.standard_normal((pairs, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
