@@ -6,10 +6,16 @@ and what is kept for each query and document is reduced before it is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.vectors import dot, norm
+from quillspan.functions.dates import DateRange
+from quillspan.operators.search import in_range
 
 MOST_QUERIES = 10_000
 #: The sources that chunks come from.
@@ -23,16 +29,41 @@ def source_filter(targets: tuple[str, ...] | None) -> list[str] | None:
     return [SOURCE_TYPES[t] for t in SOURCE_TYPES if t in targets]
 
 
-def scored(chunks: DataFrame, queries: DataFrame, sources: list[str] | None = None) -> DataFrame:
-    """query_id, document_id, chunk_id, source_type, score for all queries (query_id, q) against all chunks."""
+def scored(chunks: DataFrame, queries: DataFrame, sources: list[str] | None = None, min_score: float | None = None) -> DataFrame:
+    """query_id, document_id, chunk_id, source_type, score for all queries (query_id, q) against all chunks.
+
+    One matrix product for each Arrow batch of chunks. A zero vector scores 0; chunks without a vector, or with
+    one of another length, don't score. Scores are rounded to 12 digits, so equal vectors tie.
+    """
     if sources is not None:
         chunks = chunks.filter(F.col("source_type").isin(sources)) if sources else chunks.filter(F.lit(False))
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).limit(MOST_QUERIES + 1).collect()
+    if len(asked) > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} queries at once")
-    q = F.broadcast(queries.select("query_id", F.col("q"), norm(F.col("q")).alias("nq")))
-    both = chunks.withColumn("nv", norm(F.col("vector"))).crossJoin(q)
-    score = F.when(F.col("nv") * F.col("nq") == 0, F.lit(0.0)).otherwise(dot(F.col("vector"), F.col("q")) / (F.col("nv") * F.col("nq")))
-    return both.select("query_id", "document_id", "chunk_id", "source_type", score.alias("score"))
+    names = np.array([r["query_id"] for r in asked], dtype=np.int64)
+    matrix = np.array([r["q"] for r in asked], dtype=np.float64).reshape(len(asked), -1)
+    size = np.linalg.norm(matrix, axis=1, keepdims=True)
+    shared = chunks.sparkSession.sparkContext.broadcast((names, matrix / np.where(size == 0, 1, size)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, unit = shared.value
+        step = max(1, 200_000 // max(1, len(ids)))
+        for batch in batches:
+            fits = pc.fill_null(pc.equal(pc.list_value_length(batch.column("vector")), unit.shape[1]), False)
+            batch = batch.filter(fits)
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                v = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                n = np.linalg.norm(v, axis=1, keepdims=True)
+                score = np.round((v / np.where(n == 0, 1, n)) @ unit.T, 12).ravel()
+                row, query = np.divmod(np.arange(len(score)), max(1, len(ids)))
+                if min_score is not None:
+                    keep = np.flatnonzero(score >= min_score)
+                    row, query, score = row[keep], query[keep], score[keep]
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[query]), *(part.column(c).take(at) for c in ("document_id", "chunk_id", "source_type")), pa.array(score)], names=["query_id", "document_id", "chunk_id", "source_type", "score"])
+
+    return chunks.select("document_id", F.col("chunk_id").cast("long").alias("chunk_id"), "source_type", "vector").mapInArrow(run, "query_id long, document_id string, chunk_id long, source_type string, score double")
 
 
 def best_chunks(scores: DataFrame, min_score: float = 0.0) -> DataFrame:
@@ -52,13 +83,11 @@ def search(chunks: DataFrame, queries: DataFrame, allowed: DataFrame | None = No
     """Ranked documents; ``allowed`` (id) restricts them before anything is scored."""
     if allowed is not None:
         chunks = chunks.join(allowed, chunks["document_id"] == allowed["id"], "left_semi")
-    return ranked(best_chunks(scored(chunks, queries, sources), min_score), limit)
+    return ranked(best_chunks(scored(chunks, queries, sources, min_score), min_score), limit)
 
 
-def allowed_documents(documents: DataFrame, dates) -> DataFrame:
+def allowed_documents(documents: DataFrame, dates: DateRange = DateRange()) -> DataFrame:
     """Ids of documents that exist, aren't deleted and lie in the range."""
-    from quillspan.operators.search import in_range
-
     return documents.filter("deleted_at is null").filter(in_range(F.col("created_at"), dates)).select("id")
 
 

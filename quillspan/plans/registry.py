@@ -12,6 +12,7 @@ from quillspan.functions.dates import DateRange
 from quillspan.functions.text import MARKED, PLAIN, content_words, excerpt, parse_query, phrases, speaker_label, speaker_prefix, strip_footer, tokens
 from quillspan.functions.text import sections as sections_of
 from quillspan.functions.tiptap import tiptap_markdown
+from quillspan.functions.vectors import cosine
 from quillspan.operators import chunking, evaluation, evidence, fusion, ingest, listing, rerank, search, semantic, stats, transcripts
 from quillspan.sources.adapters import Tables, with_
 
@@ -409,6 +410,13 @@ def semantic_min_score(t: Tables) -> DataFrame:
     return _near(semantic.search(t.chunks(), _vector_queries(t), min_score=0.2, limit=20))
 
 
+@query("SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(z.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id = 0) z")
+def cosine_rows(t: Tables) -> DataFrame:
+    """The similarity function as a column: every vector against one."""
+    one = t.raw("embeddings").filter("vec_id = 0").select(F.col("embedding").alias("z"))
+    return t.raw("embeddings").crossJoin(F.broadcast(one)).select("vec_id", F.round(cosine(F.col("embedding"), F.col("z")), 6).alias("cosine"))  # one row
+
+
 # ---- fusion: the keyword list stands in for each query of the set, by its number of equal words
 
 _KEYWORD = f"""kw AS (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY score, document_id) AS rank FROM (SELECT q.query_id, d.document_id, d.score FROM (SELECT DISTINCT query_id FROM q) q, best_k d))"""
