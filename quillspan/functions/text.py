@@ -19,8 +19,9 @@ EXCERPT = T.StructType([T.StructField("text", T.StringType()), T.StructField("hi
 
 
 def fold(text: Column) -> Column:
-    """Lower case without marks."""
-    return F.translate(F.lower(text), "".join(MARKED), "".join(PLAIN))
+    """Lower case without marks; the slow letter-by-letter way is for texts that aren't ASCII alone."""
+    low = F.lower(text)
+    return F.when(F.octet_length(text) == F.length(text), low).otherwise(F.translate(low, "".join(MARKED), "".join(PLAIN)))
 
 
 def tokens(text: Column) -> Column:

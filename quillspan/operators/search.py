@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.dates import DateRange
-from quillspan.functions.text import contains, phrases, tokens
+from quillspan.functions.text import contains, fold, phrases, tokens
 
 #: Fixed values of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -35,13 +35,19 @@ def bm25(rows: DataFrame, query: str) -> DataFrame:
     Statistics are of all rows, null texts included. A query without words matches nothing.
     """
     parts = phrases(query)
-    words = rows.select("document_id", tokens(F.col("text")).alias("w"))
     if not parts:
-        return words.select("document_id", F.lit(0.0).alias("score")).filter(F.lit(False))
+        return rows.select("document_id", F.lit(0.0).alias("score")).filter(F.lit(False))
     tf = [f"f{i}" for i in range(len(parts))]
-    counted = words.select("document_id", F.size("w").alias("len"), *[occurrences(F.col("w"), p).alias(c) for c, p in zip(tf, parts, strict=True)])
-    stats = counted.agg(F.count("*").alias("n"), F.sum("len").cast("double").alias("total"), *[F.count_if(F.col(c) > 0).alias(f"n_{c}") for c in tf])
-    hits = counted.filter(reduce(Column.__and__, [F.col(c) > 0 for c in tf])).crossJoin(F.broadcast(stats))  # one row
+
+    def counted(some: DataFrame) -> DataFrame:
+        words = some.select("document_id", tokens(F.col("text")).alias("w"))
+        return words.select("document_id", F.size("w").alias("len"), *[occurrences(F.col("w"), p).alias(c) for c, p in zip(tf, parts, strict=True)])
+
+    stats = counted(rows).agg(F.count("*").alias("n"), F.sum("len").cast("double").alias("total"), *[F.count_if(F.col(c) > 0).alias(f"n_{c}") for c in tf])
+    # what doesn't hold every word as a substring needn't be cut into words
+    low = fold(F.col("text"))
+    likely = rows.filter(reduce(Column.__and__, [F.contains(low, F.lit(w)) for w in sorted({w for p in parts for w in p})]))
+    hits = counted(likely).filter(reduce(Column.__and__, [F.col(c) > 0 for c in tf])).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for c in tf:
         idf = F.log((F.col("n") - F.col(f"n_{c}") + 0.5) / (F.col(f"n_{c}") + 0.5))

@@ -18,7 +18,8 @@ class Tables:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
     def documents(self) -> DataFrame:
-        title = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^ \n\t]+"), F.lit(0)), 1, 6), " ")
+        head = F.regexp_extract("text", r"^[ \n\t]*((?:[^ \n\t]+[ \n\t]*){0,6})", 1)
+        title = F.array_join(F.filter(F.split(head, r"[ \n\t]+"), lambda w: w != ""), " ")
         created = F.expr(f"{EPOCH} + make_interval(0, 0, 0, cast(doc_id % 365 as int))")
         return self.raw("documents").select(
             F.col("doc_id").cast("string").alias("id"),
