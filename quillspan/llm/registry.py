@@ -109,6 +109,29 @@ run AS (
 SELECT r.doc_id, r.size, p.source_size, p.target,
        CAST(p.whole * r.size + greatest(least(p.part - r.before, r.size), 0) AS BIGINT) AS taken
 FROM run r JOIN per p ON r.source IS NOT DISTINCT FROM p.source""",
+    "op3_embeddings": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9e0),
+reach(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT links.b, reach.c FROM reach JOIN links ON links.a = reach.vec_id),
+comp AS (SELECT vec_id, min(c) AS component_id FROM reach GROUP BY vec_id)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = comp.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM comp""",
+    "op9_minhash": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{C0}-\x{1FFF}\x{2080}-\x{10FFFF}]+') AS w FROM documents),
+shingles AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM words),
+counts AS (SELECT doc_id, g, count(*) AS n FROM shingles GROUP BY doc_id, g),
+totals AS (SELECT doc_id, sum(n) AS total FROM counts GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS n FROM counts a JOIN counts b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+near AS (SELECT x, y FROM shared JOIN totals tx ON tx.doc_id = x JOIN totals ty ON ty.doc_id = y WHERE n * 1.8e0 >= 0.8e0 * (tx.total + ty.total)),
+links AS (SELECT x AS a, y AS b FROM near UNION ALL SELECT y, x FROM near),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT links.b, reach.c FROM reach JOIN links ON links.a = reach.doc_id),
+comp AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, component_id, doc_id = component_id AS kept FROM comp""",
     "op6_urls": rf"""
 WITH parts AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {_LETTERS}), '') AS host,
