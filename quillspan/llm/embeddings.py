@@ -1,8 +1,9 @@
 """Embedding near-dedup: collision-counting projections.
 
-Vectors are projected on many one-dimensional lines, each the sum of one line of a set A and one of a set B,
-so that there are 32 times as many lines as vectors at the cost of the square root. A vector is listed on the
-lines on which it is projected furthest out; each list is sorted by projection. Around each vector, a window
+Vectors are projected on many one-dimensional lines, each the sum of one direction of each of two sets, so that
+there are 32 times as many lines as vectors at the cost of the square root; of three sets, at the cost of
+the cube root, where two would need more than ``WIDEST`` directions each (from half a million vectors on). A
+vector is listed on the lines on which it is projected furthest out; each list is sorted by projection. Around each vector, a window
 of its list is a set of collisions, collisions are counted per pair over all lists, and pairs that reach the
 count are verified by their cosine in double precision. The number of lists a vector is put on and the
 count are calibrated on random pairs exactly at the threshold, for a recall of ``recall``.
@@ -27,31 +28,37 @@ from quillspan.llm.components import components
 from quillspan.llm.scratch import Scratch
 
 
+WIDEST = 4096
+
+
 class Lines:
-    """The sum lines of two seeded sets of ``side`` directions, for vectors of one length."""
+    """The sum lines of ``sets`` seeded sets of ``side`` directions, for vectors of one length."""
 
-    def __init__(self, dim: int, side: int, lists: int, threshold: float, seed: int = 11):
+    def __init__(self, dim: int, side: int, lists: int, threshold: float, sets: int = 2, seed: int = 11):
         rng = np.random.default_rng([seed, dim])
-        self.a, self.b = (rng.standard_normal((dim, side)) / np.sqrt(2) for _ in range(2))
+        self.sets = [rng.standard_normal((dim, side)) / np.sqrt(sets) for _ in range(sets)]
         self.side, self.lists = side, lists
-        self.top = min(side, max(4, int(np.ceil(np.sqrt(lists) * 2))))
+        self.top = min(side, max(4, int(np.ceil(lists ** (1 / sets) * 2))))
         self.window = 2.0 * np.sqrt(2 - 2 * threshold)
 
     def of(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(line, projection) of the ``lists`` lines on which each row is furthest out."""
-        pa_, pb = unit @ self.a, unit @ self.b
-        ia, ib = (np.argpartition(-p, self.top - 1, axis=1)[:, : self.top] for p in (pa_, pb))
-        va, vb = np.take_along_axis(pa_, ia, 1), np.take_along_axis(pb, ib, 1)
-        sums = (va[:, :, None] + vb[:, None, :]).reshape(len(unit), -1)
-        lines = (ia[:, :, None].astype(np.int64) * self.side + ib[:, None, :]).reshape(len(unit), -1)
-        k = min(self.lists, sums.shape[1])
-        best = np.argpartition(-sums, k - 1, axis=1)[:, :k]
-        return np.take_along_axis(lines, best, 1), np.take_along_axis(sums, best, 1)
-
-
-def calibrate(dim: int, n: int, threshold: float, recall: float, pairs: int = 3000) -> tuple[int, int, int]:
-    """(side, lists, count): the fewest lists and then the greatest count that reach the recall at the threshold."""
-    side = int(min(4096, max(8, np.ceil(np.sqrt(32 * n)))))
+        lines, sums = np.zeros((len(unit), 1), dtype=np.int64), np.zeros((len(unit), 1))
+        for directions in self.sets:
+            p = unit @ directions
+            i = np.argpartition(-p, self.top - 1, axis=1)[:, : self.top]
+            sums = (sums[:, :, None] + np.take_along_axis(p, i, 1)[:, None, :]).reshape(len(unit), -1)
+            lines = (lines[:, :, None] * self.side + i[:, None, :]).reshape(len(unit), -1)
+            k = min(self.lists, sums.shape[1])  # no other sum of these sets can be in one of the best of all
+            best = np.argpartition(-sums, k - 1, axis=1)[:, :k]
+            lines, sums = np.take_along_axis(lines, best, 1), np.take_along_axis(sums, best, 1)
+        return lines, sums
+
+
+def calibrate(dim: int, n: int, threshold: float, recall: float, pairs: int = 3000) -> tuple[int, int, int, int]:
+    """(sets, side, lists, count): the fewest lists and then the greatest count that reach the recall at the threshold."""
+    sets = 2 if 32 * n <= WIDEST**2 else 3
+    side = max(8, int(np.ceil((32 * n) ** (1 / sets))))
     rng = np.random.default_rng(5)
     x = rng.standard_normal((pairs, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -59,15 +66,15 @@ def calibrate(dim: int, n: int, threshold: float, recall: float, pairs: int = 30
     y -= (x * y).sum(axis=1, keepdims=True) * x
     y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
     y = threshold * x + np.sqrt(1 - threshold**2) * y if dim > 1 else x
-    for lists in (8, 12, 16, 24, 32, 48, 64, 96, 128):
-        lines = Lines(dim, side, lists, threshold)
+    for lists in (8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256):
+        lines = Lines(dim, side, lists, threshold, sets)
         (lx, vx), (ly, vy) = lines.of(x), lines.of(y)
         near = (lx[:, :, None] == ly[:, None, :]) & (np.abs(vx[:, :, None] - vy[:, None, :]) <= lines.window)
         hits = near.sum(axis=(1, 2))
         reached = [c for c in range(2, 9) if (hits >= c).mean() >= recall]
         if reached:
-            return side, lists, max(reached)
-    return side, lists, 1
+            return sets, side, lists, max(reached)
+    return sets, side, lists, 1
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -93,8 +100,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
-                side, lists, count = plans[int(dim)]
-                lines = made.setdefault(int(dim), Lines(int(dim), side, lists, threshold))
+                sets, side, lists, count = plans[int(dim)]
+                if int(dim) not in made:
+                    made[int(dim)] = Lines(int(dim), side, lists, threshold, sets)
+                lines = made[int(dim)]
                 own = batch.filter(pa.array(dims == dim))
                 for lo in range(0, own.num_rows, 1024):
                     part = own.slice(lo, 1024)

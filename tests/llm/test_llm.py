@@ -218,6 +218,36 @@ def test_embedding_links_by_brute_force(spark):
     assert ((got.index == got["component_id"]) == got["kept"]).all()
 
 
+@pytest.mark.parametrize("sets", [2, 3])
+def test_sum_lines_are_those_furthest_out(sets):
+    unit = np.random.default_rng(sets).standard_normal((40, 16))
+    lines = embeddings.Lines(16, 9, 12, 0.9, sets)
+    lines.top = 9  # all directions, so the best of all sums
+    line, value = lines.of(unit)
+    sums = np.zeros((40, 1))
+    for directions in lines.sets:
+        sums = (sums[:, :, None] + (unit @ directions)[:, None, :]).reshape(40, -1)
+    assert np.allclose(np.sort(value), np.sort(sums)[:, -12:])
+    assert np.allclose(np.take_along_axis(sums, line, 1), value)
+
+
+def test_calibration_reaches_the_recall_for_many_vectors():
+    """Of other pairs at the threshold, as many as were asked for meet often enough, with three sets of directions too."""
+    rng = np.random.default_rng(99)
+    x = rng.standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((1500, 64))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    for n, wanted in ((50_000, 2), (10_000_000, 3)):
+        sets, side, lists, count = embeddings.calibrate(64, n, 0.9, 0.98)
+        lines = embeddings.Lines(64, side, lists, 0.9, sets)
+        (lx, vx), (ly, vy) = lines.of(x), lines.of(y)
+        met = ((lx[:, :, None] == ly[:, None, :]) & (np.abs(vx[:, :, None] - vy[:, None, :]) <= lines.window)).sum(axis=(1, 2))
+        assert sets == wanted and side**sets >= 32 * n
+        assert (met >= count).mean() >= 0.96
+
+
 def test_no_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
