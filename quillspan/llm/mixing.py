@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from quillspan.llm.scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
+MOST_BROADCAST = 50_000  # sources, a row each; beyond them documents and buckets are joined by shuffles
 
 
 def n_words(text: Column) -> Column:
@@ -83,12 +84,22 @@ def mix(docs: DataFrame, weights: list[int], budget: tuple[int, int] = (3, 2), m
     b, t = parts.alias("b"), epochs.alias("t")
     edges = b.join(t, F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.source", "bucket", "words", "source_size", "target", "whole", "part").withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
     edges = edges.withColumn("room", F.greatest(F.least(F.col("part") - F.col("before"), F.col("words")), F.lit(0)))
-    edges = scratch.keep(edges.select(F.col("source").alias("e_source"), F.col("bucket").alias("e_bucket"), "words", "source_size", "target", "whole", "room"), "edges")
-
-    joined = sized.join(edges, sized["source"].eqNullSafe(edges["e_source"]) & (sized["bucket"] == edges["e_bucket"]))
-    inside = Window.partitionBy("e_source", "e_bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    plain = joined.filter("room = 0 or room = words").withColumn("extra", F.when(F.col("room") > 0, F.col("size")).otherwise(F.lit(0)).cast("long"))
-    cut = joined.filter("room > 0 and room < words").withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("extra", F.greatest(F.least(F.col("room") - F.col("before"), F.col("size")), F.lit(0)).cast("long")).drop("before")
+    inside = Window.partitionBy("e_source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    if targets.count() <= MOST_BROADCAST:
+        # a source's buckets are taken whole up to one, and one more in part: one row a source says it
+        room, whole_one = F.col("room") > 0, F.col("room") == F.col("words")
+        ends = edges.groupBy("source", "source_size", "target", "whole").agg(
+            F.max(F.when(room & whole_one, F.col("bucket"))).alias("full_to"), F.max(F.when(room & ~whole_one, F.col("bucket"))).alias("cut_at"), F.max(F.when(room & ~whole_one, F.col("room"))).alias("cut_room")
+        )
+        ends = scratch.keep(ends.withColumnRenamed("source", "e_source"), "ends")
+        joined = sized.join(F.broadcast(ends), sized["source"].eqNullSafe(ends["e_source"]))
+        is_cut, is_full, room_there = F.col("bucket").eqNullSafe(F.col("cut_at")), F.col("bucket") <= F.col("full_to"), F.col("cut_room")
+    else:
+        edges = scratch.keep(edges.select(F.col("source").alias("e_source"), F.col("bucket").alias("e_bucket"), "words", "source_size", "target", "whole", "room"), "edges")
+        joined = sized.join(edges.hint("merge"), sized["source"].eqNullSafe(edges["e_source"]) & (sized["bucket"] == edges["e_bucket"]))
+        is_cut, is_full, room_there = (F.col("room") > 0) & (F.col("room") < F.col("words")), F.col("room") > 0, F.col("room")
+    plain = joined.filter(~is_cut).withColumn("extra", F.when(is_full, F.col("size")).otherwise(F.lit(0)).cast("long"))
+    cut = joined.filter(is_cut).withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("extra", F.greatest(F.least(room_there - F.col("before"), F.col("size")), F.lit(0)).cast("long")).drop("before")
     return plain.unionByName(cut).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"), *whole)
 
 

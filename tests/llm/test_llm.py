@@ -132,6 +132,15 @@ def test_mixed_copies_hold_the_words_taken(spark):
     assert got == collections.Counter({k: v for k, v in taken.items() if v})
 
 
+def test_mixing_without_a_broadcast_is_the_same(spark, monkeypatch):
+    rows = [(i, " ".join(["w"] * (i % 13)), f"s{i % 7}" if i % 11 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = lambda: {r["doc_id"]: (r["taken"], r["target"], r["source_size"]) for r in mixing.mix(df, [5, 2, 1]).collect()}
+    small = taken()
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    assert len(small) == 400 and taken() == small
+
+
 def test_mixing_of_nothing(spark):
     assert mixing.mix(table(spark, []), [5]).count() == 0
     assert [r["taken"] for r in mixing.mix(table(spark, [(1, None), (2, "")]), [5]).collect()] == [0, 0]
