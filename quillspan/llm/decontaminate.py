@@ -3,12 +3,15 @@
 A seed is a run of words of which a fixed mask ignores some positions, so it survives a substituted word in
 a position that one of the masks ignores. Seeds of the benchmark's items are sorted by hash; seeds of every
 position of every document are looked up in them. Around each hit the item is laid over the document at
-the hit's offset, and the best stretch that scores 1 for an equal word and -2 for another is a find if it has
-``least`` words (or the whole item, where that is shorter), of which ``threshold`` are equal.
+the hit's offset, and any stretch of ``least`` words or more (or the whole item, where that is shorter), of which
+``threshold`` are equal, is a find. The best stretch that scores 1 for an equal word and -2 for another is looked at
+first, as it ends where the copy does; where edits near an end make it too short, all stretches are.
 
 The benchmark is taken in blocks of at most ``block_words`` words, chosen by a hash of the item, and each
 block is one pass over the documents: what is broadcast has a fixed bound whatever the benchmark's size.
-Items shorter than the shortest mask are found by all their words. Items without words find nothing.
+The masks miss no item of 11 words or more at the default threshold. Of shorter ones those of less than seven words
+are found word for word only, the others always word for word and with an edit if a mask ignores it. Items without
+words find nothing.
 
 Null and empty texts contain nothing; an empty benchmark finds nothing; an empty table gives an empty one.
 Equal items are all reported. Equal rows have equal results.
@@ -26,8 +29,9 @@ from pyspark.sql import functions as F
 from quillspan.llm.scratch import small_batches
 from quillspan.llm.tokens import U, mix, pieces, word_hashes
 
-#: Positions that count are 1: eight of eleven to thirteen words, each mask blind to others.
-MASKS = ("11011011011", "1110010110101", "101101110011")
+#: Positions that count are 1: six or eight of seven to eleven words. In 11 to 14 words with two edits, 15 to 19 with three and
+#: 20 with four, wherever these are, one of the masks finds a place that has no edit where it looks.
+MASKS = ("1110111", "110101011", "11100000111", "11011011011")
 
 
 def seeds(hashes: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +109,23 @@ class Block:
         start = int(np.flatnonzero(sums[: end + 1] == low[end])[-1]) if end else 0
         equal = int(same[start:end].sum())
         need = min(least, int(self.first[item + 1] - self.first[item]))
-        return equal if end - start >= need and equal >= threshold * (end - start) else 0
+        if end - start >= need and equal >= threshold * (end - start):
+            return equal
+        return _widest(same, need, threshold)
+
+
+def _widest(same: np.ndarray, need: int, threshold: float) -> int:
+    """Equal words of the longest stretch of ``need`` words or more of which ``threshold`` are equal; 0 if there is none."""
+    if len(same) < need:
+        return 0
+    equal = np.concatenate([[0], np.cumsum(same)])
+    value = equal - threshold * np.arange(len(equal))
+    low = np.minimum.accumulate(value)
+    # for each end, the first start from which enough words are equal: low only falls, so it is where low first is small enough
+    start = np.searchsorted(-low, -value - 1e-9)
+    size = np.arange(len(equal)) - start
+    end = int(np.argmax(size))
+    return int(equal[end] - equal[start[end]]) if size[end] >= max(1, need) else 0
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, threshold: float = 0.8, block_words: int = 4_000_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -497,6 +497,29 @@ def test_benchmark_items_are_found_with_substitutions(spark):
     assert decontaminate.contaminated(table(spark, []), bench).count() == 0
 
 
+def test_short_items_are_found_whichever_words_are_replaced(spark):
+    """Any 13 words in a row, or the whole item where it is shorter, of which 80 % are equal: as brute force has it."""
+    r = np.random.default_rng(17)
+    items = {k: prose(n, 6000 + k).split() for k, n in enumerate([11, 12, 13, 14, 15, 17, 20, 24])}
+    rows = {}
+    for k, words in items.items():
+        for share in (0.0, 0.1, 0.2, 0.3):
+            for _ in range(12):
+                own = list(words)
+                for i in r.choice(len(own), int(share * len(own)), replace=False):
+                    own[i] = f"zz{i}"
+                rows[1000 + len(rows)] = (k, own)
+    docs = table(spark, [(i, prose(20, i) + " " + " ".join(w) + " " + prose(20, i + 1)) for i, (_, w) in rows.items()])
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {x["doc_id"]: (x["items"], x["words"]) for x in decontaminate.contaminated(docs, bench).collect()}
+    for i, (k, own) in rows.items():
+        same = [a == b for a, b in zip(own, items[k], strict=True)]
+        need = min(13, len(same))
+        fits = any(sum(same[a:b]) >= 0.8 * (b - a) for a in range(len(same)) for b in range(a + need, len(same) + 1))
+        assert got[i][0] == ([k] if fits else []), (len(same), same)
+        assert (got[i][1] > 0) == fits
+
+
 # ---- the pipeline
 
 
