@@ -6,7 +6,10 @@ secrets of 32 digits or more. A value is permuted under a key within its own for
 network runs over its digits (or its day number, or its address), check digits are made anew, and marks
 and spaces stay where they were. The network is a permutation, so equal values get equal pseudonyms in
 all documents and different ones different pseudonyms. E-mail names and secrets, which have no fixed
-alphabet, get a keyed digest of their own length. What fails validation is left as it is.
+alphabet, get a keyed digest of their own length. What fails validation is left as it is, but never hides what
+is valid: card numbers and IBANs are looked for from each edge of a word to each edge within their longest length
+(the longest valid card number; the IBAN of its country's length, else the longest valid one), and the text is
+then cut at these very values. A phone number of three, three and four digits among other digits is found too.
 
 Null and empty texts stay as they are; texts of any length are rewritten whole; equal rows give equal
 results; an empty table gives an empty one; other columns pass through.
@@ -30,9 +33,15 @@ KINDS = {
     "card": r"[0-9](?:[ -]?[0-9]){12,18}",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}|\+[0-9]{8,14}",
 }
-ANY = r"(?<![A-Za-z0-9_+])(?:" + "|".join(KINDS.values()) + r")(?![A-Za-z0-9_])"
+EDGE, END = r"(?<![A-Za-z0-9_+])", r"(?![A-Za-z0-9_])"
+#: What begins at the edge of a word and may hold a card number or an IBAN.
+CARD_FROM = EDGE + r"(?=([0-9](?:[ -]?[0-9]){12,18})" + END + r")[0-9]+"
+IBAN_FROM = EDGE + rf"(?=({KINDS['iban']})" + END + r")[A-Z]{2}"
+#: Lengths of IBANs, by country.
+LENGTHS = "NO15 BE16 BI16 DK18 FK18 FO18 FI18 GL18 NL18 SD18 MK19 SI19 AT20 BA20 EE20 KZ20 LT20 LU20 MN20 XK20 CR22 CH21 HR21 LI21 LV21 BG22 BH22 DE22 GB22 GE22 IE22 ME22 RS22 VA22 AE23 GI23 IL23 IQ23 OM23 SO23 TL23 AD24 CZ24 ES24 MD24 PK24 RO24 SA24 SE24 SK24 TN24 VG24 CV25 LY25 AO25 GW25 MZ25 PT25 ST25 IR26 DZ26 IS26 TR26 BI27 CF27 CG27 CM27 DJ27 FR27 GA27 GQ27 GR27 IT27 KM27 MC27 MG27 MR27 SM27 TD27 AL28 AZ28 BF28 BJ28 BY28 CI28 CY28 DO28 GT28 HN28 HU28 LB28 MA28 ML28 NE28 NI28 PL28 SN28 SV28 TG28 BR29 EG29 PS29 QA29 UA29 JO30 KW30 MU30 YE30 MT31 SC31 LC32 RU33".split()
+OF_COUNTRY = "^(?:" + "|".join(f"{x[:2]}.{{{int(x[2:]) - 2}}}" for x in LENGTHS) + ")$"
 #: Cheap to look for, and in every match.
-HINT = r"[0-9]{3}|[0-9][./][0-9]|[0-9] [0-9]|@"
+HINT = r"[0-9]{3}|[0-9][ ./-][0-9]|@|[A-Z]{2}[0-9]{2}|[0-9a-f]{32}|[0-9A-F]{32}"
 ROUNDS = 8
 
 
@@ -184,13 +193,55 @@ def pseudonym(key: str, v: Column) -> Column:
     return F.coalesce(*tried, F.concat(F.lit("-"), v))
 
 
+def _valid_parts(text: Column, begins: str, least: int, valid: Callable[[Column], Column], first: Callable[[Column], Column] | None = None) -> Column:
+    """The valid value at each place where one may begin: of those that end at the edge of a word the longest, or one that is ``first``."""
+
+    def best(v: Column) -> Column:
+        size = F.length(v)
+        cut = F.filter(F.sequence(size, F.least(F.lit(least), size), F.lit(-1)), lambda n: F.substr(v, n, F.lit(2)).rlike("^[A-Z0-9](?:[ -]|$)"))
+        fits = F.filter(F.transform(cut, lambda n: F.substr(v, F.lit(1), n)), valid)
+        return F.coalesce(F.get(F.filter(fits, first), F.lit(0)), F.get(fits, F.lit(0))) if first else F.get(fits, F.lit(0))
+
+    return F.filter(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(begins), F.lit(1))), best), lambda v: v.isNotNull())
+
+
+def _is_card(v: Column) -> Column:
+    digits = F.regexp_replace(v, "[^0-9]", "")
+    size = F.length(digits)
+    return F.when((size >= 13) & (size <= 19), luhn_digit(F.substr(digits, F.lit(1), size - 1)) == F.substr(digits, size, F.lit(1))).otherwise(False)
+
+
+def _is_iban(v: Column) -> Column:
+    flat = F.regexp_replace(v, " ", "")
+    size = F.length(F.regexp_replace(F.substr(flat, F.lit(5), F.length(flat)), "[^0-9]", ""))
+    return F.when(_whole("iban", v) & (size >= 2) & (size <= 30), mod97(F.concat(F.substr(flat, F.lit(5), F.length(flat)), F.substr(flat, F.lit(1), F.lit(4)))) == 1).otherwise(False)
+
+
+def _pattern(text: Column) -> Column:
+    """What to cut the text at: its own valid IBANs and card numbers, longer ones first, then the other kinds, then what only looks like one."""
+    ibans = _valid_parts(text, IBAN_FROM, 12, _is_iban, lambda v: F.regexp_replace(v, " ", "").rlike(OF_COUNTRY))
+    cards = _valid_parts(text, CARD_FROM, 13, _is_card)
+    own = F.array_join(F.sort_array(F.array_distinct(F.concat(ibans, cards)), asc=False), "|")
+    known = F.when(own == "", F.lit("(?!)")).otherwise(F.concat(F.lit("(?:"), own, F.lit(")" + END)))
+    # what fails is passed over whole, up to what is valid
+    no = F.concat(F.lit("(?!" + EDGE), known, F.lit(")"))
+    iban = F.concat(F.lit("[A-Z]{2}[0-9]{2}(?: ?"), no, F.lit("[A-Z0-9]{4}){2,7}(?: ?"), no, F.lit("[A-Z0-9]{1,3})?"))
+    card = F.concat(F.lit("[0-9](?:[ -]?"), no, F.lit("(?!" + EDGE + "[0-9]{3}[ -][0-9]{3}[ -][0-9]{4}" + END + ")[0-9]){12,18}"))
+    rest = [F.lit(KINDS[k]) for k in ("secret", "ip", "date", "ssn")]
+    tried = [F.lit(KINDS["email"]), known, iban, *rest, F.lit("[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}"), card, F.lit(KINDS["phone"])]
+    return F.concat(F.lit(EDGE + "(?:"), F.concat_ws("|", *tried), F.lit(")" + END))
+
+
 def pseudonymise(docs: DataFrame, key: str = "quillspan", text: str = "text", prefix: str = "n_") -> DataFrame:
     """``docs`` with ``text`` rewritten and a count column for each kind: n_email, n_iban and so on."""
-    has = F.col(text).rlike(HINT)
-    found = F.when(has, F.transform(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)), lambda v: pseudonym(key, v)))
-    named = docs.withColumn("__found", found)
+    # where no card number or IBAN may begin, the pattern is the same in all texts
+    plain = EDGE + "(?:" + "|".join(KINDS.values()) + ")" + END
+    pattern = F.when(F.col(text).rlike(f"{CARD_FROM}|{IBAN_FROM}"), _pattern(F.col(text))).otherwise(F.lit(plain))
+    marked = docs.withColumn("__cut", F.when(F.col(text).rlike(HINT), pattern))
+    found = F.transform(F.regexp_extract_all(F.col(text), F.col("__cut"), F.lit(0)), lambda v: pseudonym(key, v))
+    named = marked.withColumn("__found", found)
     ends = F.concat(F.transform("__found", lambda x: F.substr(x, F.lit(2))), F.array(F.lit("")))
-    new = F.when(F.size("__found") > 0, F.array_join(F.zip_with(F.split(F.col(text), ANY, -1), ends, lambda x, y: F.concat(x, y)), "")).otherwise(F.col(text))
+    new = F.when(F.size("__found") > 0, F.array_join(F.zip_with(F.split(F.col(text), F.col("__cut"), -1), ends, lambda x, y: F.concat(x, y)), "")).otherwise(F.col(text))
     kinds = F.transform("__found", lambda x: F.substr(x, F.lit(1), F.lit(1)))
     out = named.withColumn("__kinds", kinds).withColumn(text, new)
 
@@ -199,4 +250,4 @@ def pseudonymise(docs: DataFrame, key: str = "quillspan", text: str = "text", pr
         return F.when(F.col("__kinds").isNull(), 0).otherwise(F.size(F.filter("__kinds", lambda x: x == letter))).cast("int")
 
     counts = {f"{prefix}{kind}": count(n) for n, kind in enumerate(KINDS)}
-    return out.withColumns(counts).drop("__found", "__kinds")
+    return out.withColumns(counts).drop("__cut", "__found", "__kinds")

@@ -339,6 +339,24 @@ def test_personal_data_is_replaced_in_its_format(spark):
     assert out[101]["score"] == 1 and pii.pseudonymise(table(spark, [])).count() == 0
 
 
+def test_valid_values_beside_other_numbers_are_replaced(spark):
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    hidden = {f"card {card} 05/27": [card], f"card {card} 123": [card], f"no 12 {card}": [card], f"{iban} 2024 paid": [iban], f"{iban} EUR": [iban], f"AB12 {card}": [card], f"{iban} {card} 4539-1488-0343-6467": [iban, card, "4539-1488-0343-6467"]}
+    hidden |= {"743-555-3824 743-555-3825": ["555-3824", "555-3825"], "k " + "ab" * 14 + "1a2b": ["ab" * 14], "c 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1": ["4-1-1-1-1-1"], "0" * 300 + f" {card}": [card]}
+    for tail in ("SE45 5000 0000 0583 9825 7466", "CZ65 0800 0000 1920 0014 5399", "PL61 1090 1014 0000 0712 1981 2874"):
+        hidden[f"to {tail.replace(' ', '')} 2024 A1"] = [tail.replace(" ", "")]
+    left = ["not 4539 1488 0343 6468 05", "1" * 13, "DE89 3704 0044 0532 0130 02 x", "12 3456"]
+    texts = [*hidden, *left]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(table(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        new = got[i]["text"]
+        for gone in hidden.get(t, ()):
+            assert gone not in new, (t, new)
+        assert len(new) == len(t) and (t not in left or new == t), (t, new)
+    assert got[0]["text"].endswith(" 05/27") and got[1]["text"].endswith(" 123") and got[3]["text"].endswith(" 2024 paid")
+    assert got[0]["n_card"] == 1 and got[6]["n_iban"] == 1 and got[6]["n_card"] == 2
+
+
 def test_dates_are_permuted_among_dates(spark):
     days = spark.range(73049).select(F.date_format(F.expr("date_add(date '1900-01-01', cast(id as int))"), "yyyy-MM-dd").alias("d"))
     out = days.select(pii._date("k", F.col("d")).alias("x")).agg(F.count_distinct("x"), F.min("x"), F.max("x")).first()
