@@ -1,16 +1,21 @@
 """Quality classifier: supervised subword embeddings.
 
-A document's features are its words, its pairs of neighbouring words and its byte 3- and 4-grams, each
-hashed to a row of a table of learned vectors. The vectors are averaged over each kind of feature and then
-over the kinds, so that words weigh as much as the more frequent byte grams, and a softmax layer is put on the average; all is learned by stochastic gradient descent in numpy, on at most
-``sample`` labelled rows (those whose digest of doc_id is least). The model is of fixed size.
+A document's features are its words, its pairs of words in a row, the byte 3- and 4-grams of its words
+(a gram may hold the space before or after a word, not one inside) and, for each word, how far back it
+stood last (as a power of two: repetition is a sign of quality that no list of words holds), each hashed to
+a row of a table of learned vectors. The vectors are averaged over each kind of feature and then over the kinds, so that words
+weigh as much as the more frequent byte grams, and a softmax layer is put on the average; all is learned by
+stochastic gradient descent in numpy, on at most ``sample`` labelled rows (those whose digest of doc_id is
+least). That bounded sample is fitted inside one task, which a lost executor starts again; only the model, of
+fixed size, comes to the driver.
 
 For a score of two classes, the dot product of each vector with the difference of the output rows is all
 that is needed, so scoring sums one number a feature over the whole text, in batches of Arrow rows.
 
 Null and empty texts have no features: their score is the softmax of the biases. Equal texts have equal
 scores. Without labelled rows of both classes the score is the share of label 1 (0.5 if none). Tables
-without rows give none. Labels join on doc_id; repeated labels of a document count once (the greatest).
+without rows give none. Labels join on doc_id; repeated labels of a document count once (the greatest). Rows
+without a doc_id are never learned from and count as held out.
 """
 
 from __future__ import annotations
@@ -26,12 +31,13 @@ from quillspan.llm.scratch import small_batches
 from quillspan.llm.tokens import Hashes, U, mix, pieces, solid
 
 BITS = 18
+_WHITE = np.array([32, *range(9, 14)], dtype=np.uint8)
 DIM = 8
 
 
 def held_out(doc_id: Column) -> Column:
-    """Rows that no label is learned from."""
-    return F.crc32(doc_id.cast("string")) % 5 == 0
+    """Rows that no label is learned from; a null doc_id has no label to learn."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -40,13 +46,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     h = Hashes(data).of(starts, ends)
     top = U(64 - BITS)
     yield (mix(h ^ U(1)) >> top).astype(np.int32), first
-    # a pair is known by its words' difference: a word said twice is the same pair whatever the word
-    pair = mix((h[1:] - h[:-1]) ^ U(2)) >> top
+    pair = mix(h[1:] * U(3) + h[:-1]) >> top
     per = np.maximum(np.diff(first) - 1, 0)
     before = np.concatenate([[0], np.cumsum(per)])
     row = np.repeat(np.arange(len(per)), per)
     yield pair[first[row] + np.arange(before[-1]) - before[row]].astype(np.int32), before
-    wide = data.astype(np.uint32)
+    yield (mix(_back(h, first).astype(np.uint64) + U(4000)) >> top).astype(np.int32), first
+    white = np.isin(data, _WHITE)
+    wide = np.where(white, 32, data).astype(np.uint32)
     for n in (3, 4):
         if len(data) < n:
             yield np.zeros(0, dtype=np.int32), np.zeros(len(offsets), dtype=np.int64)
@@ -57,15 +64,27 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         g *= np.uint32(2654435761)
         g = (g ^ (g >> np.uint32(15))) * np.uint32(2246822519) + np.uint32(n)
         g >>= np.uint32(32 - BITS)
-        per = np.maximum(np.diff(offsets) - n + 1, 0)
-        before = np.concatenate([[0], np.cumsum(per)])
         inside = np.ones(len(g), dtype=bool)
         for k in range(1, n):  # grams that would cross into the next row
             at = offsets[1:-1] - k
             inside[at[(at >= 0) & (at < len(g))]] = False
+        for k in range(1, n - 1):  # and those that reach from one word into another
+            inside &= ~white[k : len(data) - n + 1 + k]
+        before = np.concatenate([[0], np.cumsum(inside)])[np.minimum(offsets, len(g))]
         yield g[inside].astype(np.int32), before
 
 
+def _back(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each word, the binary logarithm of the words since it stood last in its row; 40 if it didn't."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    key = h ^ mix(row.astype(np.uint64))
+    order = np.argsort(key, kind="stable")
+    far = np.full(len(h), 40, dtype=np.int64)
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    far[order[same + 1]] = np.log2(order[same + 1] - order[same]).astype(np.int64)
+    return far
+
+
 def rowsums(values: np.ndarray, before: np.ndarray) -> np.ndarray:
     sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
     return sums[before[1:]] - sums[before[:-1]]
@@ -130,12 +149,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")
-    got = rows.mapInArrow(counted, "label int, ids binary, shares binary").toPandas()
-    # the same rows in the same order whatever the partitions
-    got = got.assign(key=[hash_of(x, y) for x, y in zip(got["ids"], got["shares"], strict=True)]).sort_values(["key", "label"], ignore_index=True)
-    ids = [np.frombuffer(x, dtype="<i4") for x in got["ids"]]
-    shares = [np.frombuffer(x, dtype="<f4") for x in got["shares"]]
-    return fit(ids, shares, got["label"].to_numpy(dtype=np.int64))
+    got = rows.mapInArrow(counted, "label int, ids binary, shares binary").repartition(1).mapInArrow(_fitted, "number binary, bias double").first()
+    return np.frombuffer(got["number"], dtype=np.float32), got["bias"]
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows of the sample, in the same order whatever the partitions; of no row too."""
+    own: list[tuple[bytes, int, np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        for label, ids, shares in zip(batch.column("label").to_pylist(), batch.column("ids").to_pylist(), batch.column("shares").to_pylist(), strict=True):
+            own.append((hash_of(ids, shares), label, np.frombuffer(ids, dtype="<i4"), np.frombuffer(shares, dtype="<f4")))
+    own.sort(key=lambda x: x[:2])
+    number, bias = fit([x[2] for x in own], [x[3] for x in own], np.array([x[1] for x in own], dtype=np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array([number.tobytes()], pa.binary()), pa.array([bias])], names=["number", "bias"])
 
 
 def hash_of(*parts: bytes) -> bytes:

@@ -13,10 +13,12 @@ _local_root: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own only where none is named."""
+    """The folder named in ``spark.checkpoint.dir``; one of our own only where none is named and all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "root" not in _local_root:
         _local_root["root"] = "file://" + tempfile.mkdtemp(prefix="quillspan-")
     return _local_root["root"]
