@@ -7,8 +7,9 @@ the hit's offset, and any stretch of ``least`` words or more (or the whole item,
 ``threshold`` are equal, is a find. The best stretch that scores 1 for an equal word and -2 for another is looked at
 first, as it ends where the copy does; where edits near an end make it too short, all stretches are.
 
-The benchmark is taken in blocks of at most ``block_words`` words, chosen by a hash of the item, and each
-block is one pass over the documents: what is broadcast has a fixed bound whatever the benchmark's size.
+The benchmark is taken in blocks of at most about ``block_words`` words, chosen by a hash of the item, and each
+block is one pass over the documents: what is broadcast has a fixed bound whatever the benchmark's size (some 90 bytes
+a word, 36 MB by default).
 The masks miss no item of 11 words or more at the default threshold. Of shorter ones those of less than seven words
 are found word for word only, the others always word for word and with an edit if a mask ignores it. Items without
 words find nothing.
@@ -74,7 +75,7 @@ class Block:
         h = np.concatenate([x for x, _ in found])
         order = np.argsort(h, kind="stable")
         self.hash, self.at = h[order], self.at[order]
-        bits = max(16, min(27, (32 * max(1, len(h))).bit_length()))
+        bits = max(16, min(25, (16 * max(1, len(h))).bit_length()))
         self.shift = U(64 - bits)
         self.maybe = np.zeros(1 << bits, dtype=bool)
         self.maybe[(self.hash >> self.shift).astype(np.int64)] = True
@@ -90,10 +91,10 @@ class Block:
             for p, a, b in zip(at[some[hi > lo]], lo[hi > lo], hi[hi > lo], strict=True):
                 for q in self.at[a:b]:
                     item = int(np.searchsorted(self.first, q, side="right")) - 1
-                    if (item, p - q) in tried:  # this item at this offset was seen
-                        continue
-                    tried.add((item, p - q))
                     row = int(np.searchsorted(first, p, side="right")) - 1
+                    if (row, item, p - q) in tried:  # this item at this offset in this row was seen
+                        continue
+                    tried.add((row, item, p - q))
                     n = self._stretch(hashes, first[row], first[row + 1], int(p) - int(q), item, least, threshold)
                     if n:
                         own = out.setdefault(row, {})
@@ -128,7 +129,7 @@ def _widest(same: np.ndarray, need: int, threshold: float) -> int:
     return int(equal[end] - equal[start[end]]) if size[end] >= max(1, need) else 0
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, threshold: float = 0.8, block_words: int = 4_000_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, threshold: float = 0.8, block_words: int = 400_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of every row, contaminated, n_items, items (sorted item_ids) and words (equal words of the longest find)."""
     spark = docs.sparkSession
     small_batches(spark)

@@ -10,12 +10,16 @@ made only up to a bound that fills all components: the work is in proportion to
 25 bands of 6 components find a pair of similarity 0.8 with probability 0.9995. Equal multisets are collapsed
 first. All members of a bucket are compared with its head, the smallest doc_id, which is the same in most buckets
 of a group. Two members that still are in different components can't share more of their head than either of
-them does, and nothing else but what both have beyond it: only pairs for which this sum may reach the
-threshold are compared in full, so no link between members of a bucket is lost, and a group of n near
-copies costs about n comparisons, not n * n / 2.
-
-Texts without words link with nothing. Equal texts link. Null ids are not allowed to link: they are dropped.
-Repeated ids must not differ in text. Tables without rows give none.
+them does, and nothing else but what both have beyond it. If that leaves k shingles to be found beyond the
+head, both must hold one of them among their first ones, all but k - 1 in the order of hashes: members are joined
+on these. Only members that lie in their head but for a fifth are joined by the head itself. What may still reach the threshold is
+compared in full, so no link between members of a bucket is lost; a group of n near copies costs about n
+comparisons, and so do n documents that share no more than a passage with their head.
+
+Texts without words link with nothing. Equal texts link. Rows of one doc_id are one document: its texts count as linked
+and one of its rows is kept. Rows without an id are judged by their text, rows of equal text being one document; their
+component is that of the linked documents with ids, else null, and one of the group is kept all the same. Ids under 2**62
+are looked for. Tables without rows give none.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.components import components
@@ -146,10 +150,25 @@ def _members(candidates: IdFilter):
     return run
 
 
+NAMELESS = 1 << 62
+
+
+def node(doc_id: Column, text: Column) -> Column:
+    """A document's number: its doc_id; above all ids, a digest of the text where there is none."""
+    return F.coalesce(doc_id.cast("long"), F.xxhash64(text).bitwiseAND(F.lit(NAMELESS - 1)) + F.lit(NAMELESS))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One row a document: doc_id, component_id (smallest doc_id reachable by links), kept."""
+    """One row for each of ``docs``: doc_id, component_id (smallest doc_id reachable by links), kept."""
+    nth = groups(docs, threshold).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    shown = lambda c: F.when(F.col(c) < NAMELESS, F.col(c))
+    return nth.select(shown("node").alias("doc_id"), shown("component").alias("component_id"), ((F.col("node") == F.col("component")) & (F.col("nth") == 1)).alias("kept"))
+
+
+def groups(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """One row a document: node, n (its rows), component (smallest node reachable by links)."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    texts = docs.select(node(F.col("doc_id"), F.col("text")).alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     bands = scratch.keep(texts.mapInArrow(_banded, "doc_id long, m1 long, m2 long, keys array<long>"), "bands")
     # one of equal multisets stands for all
     classes = scratch.keep(bands.groupBy("m1", "m2").agg(F.min("doc_id").alias("rep")), "classes")
@@ -159,7 +178,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     pairs = scratch.keep(exploded.join(crowded, "key").filter("doc_id <> head").select("doc_id", "head").distinct(), "pairs")
     ids = scratch.keep(pairs.select("doc_id").union(pairs.select("head")).distinct(), "ids")
     candidates = IdFilter(ids, "doc_id")
-    bag = scratch.keep(texts.withColumn("h", F.xxhash64("doc_id")).mapInArrow(_members(candidates), "doc_id long, members binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bags")
+    bag = scratch.keep(texts.withColumn("h", F.xxhash64("doc_id")).mapInArrow(_members(candidates), "doc_id long, members binary").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("members").alias("members")), "bags")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whether x and y are linked, x's size, their common members, and x's other members."""
@@ -188,13 +207,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     named = tested.select(F.col("y").alias("head"), F.col("x").alias("id"), "size", "both", "other").join(labels, "id", "left").withColumn("c", F.coalesce("component", "id"))
     mixed = named.groupBy("head").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("head")
     named = scratch.keep(named.join(mixed, "head", "left_semi").select("head", "id", "size", "both", "other", "c"), "mixed")
-    p, q = (named.select("head", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "size", "both", "other", "c")]) for side in "pq")
+    # of these shingles of x's own, as many at least must be shared by whatever is linked to x
+    named = named.withColumn("k", F.ceil(F.lit(threshold) * F.col("size") - F.col("both") - 1e-6).cast("int"))
     need = F.lit(threshold / (1 + threshold)) * (F.col("size_p") + F.col("size_q")) - F.least("both_p", "both_q") - 1e-6
-    may = (F.col("c_p") < F.col("c_q")) & (F.least(F.size("other_p"), F.size("other_q")) >= need)
-    may = may & F.when(need <= 0, True).otherwise(F.size(F.array_intersect("other_p", "other_q")) >= need)
-    open_pairs = p.join(q, (p["head"] == q["head"]) & may).select(F.col("id_p").alias("x"), F.col("id_q").alias("y")).distinct()
+    side = lambda df, s, *on: df.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "both", "other", "c")])
+    first = named.withColumn("e", F.explode(F.slice(F.array_sort("other"), F.lit(1), F.greatest(F.size("other") - F.greatest("k", F.lit(1)) + 1, F.lit(0)))))
+    meet = lambda df, *on: side(df, "p", *on).join(side(df, "q", *on), list(on)).filter((F.col("c_p") < F.col("c_q")) & (F.least(F.size("other_p"), F.size("other_q")) >= need))
+    sharing = meet(first, "head", "e").filter(F.size(F.array_intersect("other_p", "other_q")) >= need)
+    inside = meet(named.filter("k <= 0"), "head").filter(need <= 0)
+    open_pairs = sharing.union(inside.withColumn("e", F.lit(0)).select(sharing.columns)).select(F.col("id_p").alias("x"), F.col("id_q").alias("y")).distinct()
     more = compared(open_pairs).filter("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     labels = components(scratch, links.union(more))
     rows = bands.select("doc_id", "m1", "m2").join(classes, ["m1", "m2"]).join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
-    every = texts.select("doc_id").join(rows.groupBy("doc_id").agg(F.min("c").alias("c")), "doc_id", "left")
-    return every.select("doc_id", F.coalesce("c", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    every = texts.groupBy("doc_id").agg(F.count("*").alias("n")).join(rows.groupBy("doc_id").agg(F.min("c").alias("c")), "doc_id", "left")
+    return every.select(F.col("doc_id").alias("node"), "n", F.coalesce("c", "doc_id").alias("component"))

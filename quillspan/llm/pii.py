@@ -5,14 +5,15 @@ Found and validated: card numbers (13 to 19 digits, Luhn), IBANs (modulo 97), ca
 secrets of 32 digits or more. A value is permuted under a key within its own format: a keyed Feistel
 network runs over its digits (or its day number, or its address), check digits are made anew, and marks
 and spaces stay where they were. The network is a permutation, so equal values get equal pseudonyms in
-all documents and different ones different pseudonyms. E-mail names and secrets, which have no fixed
-alphabet, get a keyed digest of their own length. What fails validation is left as it is, but never hides what
+all documents and different ones different pseudonyms. A social security number that falls on one that can't be valid is
+permuted on until it is. E-mail names and secrets, which have no fixed alphabet, get a keyed digest (of 80 bits
+at least): equal values get equal ones, and two different values share one by chance of that size only. What fails validation is left as it is, but never hides what
 is valid: card numbers and IBANs are looked for from each edge of a word to each edge within their longest length
 (the longest valid card number; the IBAN of its country's length, else the longest valid one), and the text is
 then cut at these very values. A phone number of three, three and four digits among other digits is found too.
 
 Null and empty texts stay as they are; texts of any length are rewritten whole; equal rows give equal
-results; an empty table gives an empty one; other columns pass through.
+results; an empty table gives an empty one; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ IBAN_FROM = EDGE + rf"(?=({KINDS['iban']})" + END + r")[A-Z]{2}"
 #: Lengths of IBANs, by country.
 LENGTHS = "NO15 BE16 BI16 DK18 FK18 FO18 FI18 GL18 NL18 SD18 MK19 SI19 AT20 BA20 EE20 KZ20 LT20 LU20 MN20 XK20 CR22 CH21 HR21 LI21 LV21 BG22 BH22 DE22 GB22 GE22 IE22 ME22 RS22 VA22 AE23 GI23 IL23 IQ23 OM23 SO23 TL23 AD24 CZ24 ES24 MD24 PK24 RO24 SA24 SE24 SK24 TN24 VG24 CV25 LY25 AO25 GW25 MZ25 PT25 ST25 IR26 DZ26 IS26 TR26 BI27 CF27 CG27 CM27 DJ27 FR27 GA27 GQ27 GR27 IT27 KM27 MC27 MG27 MR27 SM27 TD27 AL28 AZ28 BF28 BJ28 BY28 CI28 CY28 DO28 GT28 HN28 HU28 LB28 MA28 ML28 NE28 NI28 PL28 SN28 SV28 TG28 BR29 EG29 PS29 QA29 UA29 JO30 KW30 MU30 YE30 MT31 SC31 LC32 RU33".split()
 OF_COUNTRY = "^(?:" + "|".join(f"{x[:2]}.{{{int(x[2:]) - 2}}}" for x in LENGTHS) + ")$"
-#: Cheap to look for, and in every match.
+#: Cheap to look for, and in every match: a secret of letters alone has 32 of them in a row.
 HINT = r"[0-9]{3}|[0-9][ ./-][0-9]|@|[A-Z]{2}[0-9]{2}|[0-9a-f]{32}|[0-9A-F]{32}"
 ROUNDS = 8
 
@@ -165,15 +166,18 @@ def _phone(key: str, v: Column) -> Column:
 
 def _ssn(key: str, v: Column) -> Column:
     digits = F.regexp_replace(v, "-", "")
-    bad = digits.rlike("^(000|666|9)|^...00|0000$")
-    return F.when(~bad, refilled(v, permuted_digits(key, F.lit("ssn"), digits)))
+    bad = lambda d: d.rlike("^(000|666|9)|^...00|0000$")
+    once = lambda d: permuted_digits(key, F.lit("ssn"), d)
+    # one in nine is not valid, so 40 steps are never used up
+    new = F.aggregate(F.sequence(F.lit(1), F.lit(40)), once(digits), lambda d, _: F.when(bad(d), once(d)).otherwise(d))
+    return F.when(~bad(digits), refilled(v, new))
 
 
 def _email(key: str, v: Column) -> Column:
-    """Case doesn't tell addresses apart; the name's length stays (8 at least), the domain is reserved."""
+    """Case doesn't tell addresses apart; the name's length stays (20 to 40 digits), the domain is reserved."""
     name = F.substring_index(v, "@", 1)
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(v)), 256)
-    return F.concat(F.lit("u"), F.substr(digest, F.lit(1), F.greatest(F.least(F.length(name), F.lit(40)), F.lit(12))), F.lit("@example.invalid"))
+    return F.concat(F.lit("u"), F.substr(digest, F.lit(1), F.greatest(F.least(F.length(name), F.lit(40)), F.lit(20))), F.lit("@example.invalid"))
 
 
 def _secret(key: str, v: Column) -> Column:
@@ -232,8 +236,13 @@ def _pattern(text: Column) -> Column:
     return F.concat(F.lit(EDGE + "(?:"), F.concat_ws("|", *tried), F.lit(")" + END))
 
 
-def pseudonymise(docs: DataFrame, key: str = "quillspan", text: str = "text", prefix: str = "n_") -> DataFrame:
-    """``docs`` with ``text`` rewritten and a count column for each kind: n_email, n_iban and so on."""
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", prefix: str = "n_") -> DataFrame:
+    """``docs`` with ``text`` rewritten and a count column for each kind: n_email, n_iban and so on.
+
+    Whoever knows the key can undo the numbers. Where ``docs`` has such a column, all counts get one more underscore before.
+    """
+    while any(c.lower() == f"{prefix}{kind}" for c in docs.columns for kind in KINDS):
+        prefix = "_" + prefix
     # where no card number or IBAN may begin, the pattern is the same in all texts
     plain = EDGE + "(?:" + "|".join(KINDS.values()) + ")" + END
     pattern = F.when(F.col(text).rlike(f"{CARD_FROM}|{IBAN_FROM}"), _pattern(F.col(text))).otherwise(F.lit(plain))

@@ -18,6 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The session's key for pseudonyms; a public one, for tests, where none is set."""
+    return spark.conf.get("spark.quillspan.pii.key", "not a secret")
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), MIX_WEIGHTS)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -38,7 +43,7 @@ def op4_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
     return out.withColumn("n_found", sum(F.col(f"n_{kind}") for kind in pii.KINDS))
 
 

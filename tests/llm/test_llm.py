@@ -16,6 +16,7 @@ from quillspan.llm.scratch import IdFilter, Scratch
 
 RNG = np.random.default_rng(3)
 VOCABULARY = ["".join(RNG.choice(list("abcdefghijklmnop"), RNG.integers(2, 9))) for _ in range(900)]
+DOCS_NAMES = ["doc_id", "text", "lang", "source", "n_chars"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -199,9 +200,29 @@ def test_segments_are_the_maximal_ones():
         assert np.allclose(sorted(got), sorted(plain(s.tolist()))), seed
 
 
-def test_a_token_counts_once_in_a_document():
+def test_a_token_repeated_nearby_counts_once():
     s = np.array([2, -0.05, 2, 2], dtype=np.float32)
     assert np.allclose(toxicity.segments(s, np.array([7, 1, 7, 7])), [2])
+    far = np.concatenate([[2.0], np.full(60, -0.1), [2.0]]).astype(np.float32)
+    assert np.allclose(toxicity.segments(far, np.concatenate([[7], np.ones(60), [7]])), [2, 2])
+
+
+def test_the_curve_of_rows_that_a_line_parts():
+    """Evidence of 0 in all clean rows and more in all others: steps of full length diverge here."""
+    x = np.concatenate([np.zeros(9000), np.random.default_rng(1).exponential(9, 900) + 4])
+    slope, base = toxicity.logistic(x, (x > 0).astype(float))
+    assert slope > 1 and base < -2 and np.isfinite([slope, base]).all()
+
+
+def test_copies_share_one_rows_weight(spark):
+    """A toxic text repeated a hundred times says no more of its rare words than one row does."""
+    docs, labels = labelled(spark)
+    again = table(spark, [(2000 + k, "rareword " + prose(60, 9999)) for k in range(100)])
+    toxic = spark.createDataFrame([(2000 + k, 1, 1) for k in range(100)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs.select(DOCS_NAMES).unionByName(again), labels.union(toxic))
+    h, first = toxicity.tokens_of(*next(tokens.pieces(pa.array(["rareword idiocy"])))[2:])
+    s = model.of(h)
+    assert s[0] < 0 < s[1]
 
 
 # ---- 3 embeddings
@@ -323,7 +344,7 @@ def test_personal_data_is_replaced_in_its_format(spark):
     iban = "DE89 3704 0044 0532 0130 00"
     text = f"Mail jo.doe@mail.example.org or +1 (743) 555-3824; {card}, not {bad}. {iban}; 2024-02-29, 31/12/1999, 2023-02-30; ip 10.1.2.250 v1.2.3; 078-05-1120; key \"{'ab12' * 10}\"."
     docs = table(spark, [(100, text), (101, "again " + card + " on 2024-02-29"), *EDGES], extra=True)
-    out = {r["doc_id"]: r for r in pii.pseudonymise(docs).collect()}
+    out = {r["doc_id"]: r for r in pii.pseudonymise(docs, "k").collect()}
     new = out[100]["text"]
     assert {k: out[100][f"n_{k}"] for k in pii.KINDS} == {"email": 1, "iban": 1, "secret": 1, "ip": 1, "date": 2, "ssn": 1, "card": 1, "phone": 1}
     for gone in ("jo.doe", "555-3824", card, iban, "2024-02-29", "31/12/1999", "10.1.2.250", "078-05-1120", "ab12" * 10):
@@ -336,7 +357,7 @@ def test_personal_data_is_replaced_in_its_format(spark):
     assert shape[1] in out[101]["text"] and shape[3] in out[101]["text"]
     for i, t in EDGES:
         assert out[i]["text"] == t
-    assert out[101]["score"] == 1 and pii.pseudonymise(table(spark, [])).count() == 0
+    assert out[101]["score"] == 1 and pii.pseudonymise(table(spark, []), "k").count() == 0
 
 
 def test_valid_values_beside_other_numbers_are_replaced(spark):
@@ -347,7 +368,7 @@ def test_valid_values_beside_other_numbers_are_replaced(spark):
         hidden[f"to {tail.replace(' ', '')} 2024 A1"] = [tail.replace(" ", "")]
     left = ["not 4539 1488 0343 6468 05", "1" * 13, "DE89 3704 0044 0532 0130 02 x", "12 3456"]
     texts = [*hidden, *left]
-    got = {r["doc_id"]: r for r in pii.pseudonymise(table(spark, list(enumerate(texts)))).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(table(spark, list(enumerate(texts))), "k").collect()}
     for i, t in enumerate(texts):
         new = got[i]["text"]
         for gone in hidden.get(t, ()):
@@ -357,6 +378,18 @@ def test_valid_values_beside_other_numbers_are_replaced(spark):
     assert got[0]["n_card"] == 1 and got[6]["n_iban"] == 1 and got[6]["n_card"] == 2
 
 
+def test_secrets_of_letters_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "key deadbeefdeadbeefcafebabecafebabe end", "mine", "x")], "doc_id long, text string, n_email string, __cut string")
+    r = pii.pseudonymise(docs, "k").first()
+    assert "deadbeef" not in r["text"] and r["n_email"] == "mine" and r["_n_secret"] == 1
+
+
+def test_social_security_numbers_stay_valid_and_apart(spark):
+    rows = spark.range(3000).select(F.format_string("%03d-%02d-%04d", 100 + F.col("id") % 500, 1 + F.col("id") % 98, 1 + F.col("id")).alias("d"))
+    out = [r["x"] for r in rows.select(pii._ssn("k", F.col("d")).alias("x")).collect()]
+    assert len(set(out)) == 3000 and all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x) for x in out)
+
+
 def test_dates_are_permuted_among_dates(spark):
     days = spark.range(73049).select(F.date_format(F.expr("date_add(date '1900-01-01', cast(id as int))"), "yyyy-MM-dd").alias("d"))
     out = days.select(pii._date("k", F.col("d")).alias("x")).agg(F.count_distinct("x"), F.min("x"), F.max("x")).first()
@@ -485,6 +518,22 @@ def test_near_duplicates_by_brute_force(spark):
     assert neardup.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_rows_of_one_id_and_without_an_id(spark):
+    t = [prose(60, 880 + k) for k in range(4)]
+    rows = [(1, t[0]), (1, t[0]), (2, t[0]), (None, t[0]), (None, t[1]), (None, t[1]), (None, edited(t[1], 55, 3)), (5, t[2]), (5, t[3]), (6, t[3]), (None, None), (None, "")]
+    got = collections.Counter((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(table(spark, rows)).collect())
+    # null and "" are two nameless documents without words
+    assert got == {(1, 1, True): 1, (1, 1, False): 1, (2, 1, False): 1, (None, 1, False): 1, (None, None, True): 3, (None, None, False): 2, (5, 5, True): 1, (5, 5, False): 1, (6, 5, False): 1}
+
+
+def test_documents_that_share_a_passage_with_their_head_only(spark):
+    """Many members of one bucket that aren't linked: those that are near each other are found all the same."""
+    head = prose(120, 4242)
+    rows = [(1, head)] + [(10 + k, head + " " + prose(60, 5000 + k // 2) + f" w{k}") for k in range(40)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(table(spark, rows)).collect()}
+    assert got == {1: 1} | {10 + k: 10 + k - k % 2 for k in range(40)}
+
+
 def test_bag_signatures_are_unbiased():
     diff = []
     for t in range(60):
@@ -515,6 +564,16 @@ def test_benchmark_items_are_found_with_substitutions(spark):
     assert decontaminate.contaminated(table(spark, []), bench).count() == 0
 
 
+def test_a_row_is_judged_by_itself(spark):
+    """An item's end opens a row and its beginning ends the row before: neither hides the other."""
+    item = prose(40, 4321).split()
+    rows = [(1, prose(30, 1) + " " + " ".join(item[:20])), (2, " ".join(item[20:]) + " " + prose(30, 2))]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    for part in (rows, rows[1:], rows[::-1]):
+        got = {r["doc_id"]: r["items"] for r in decontaminate.contaminated(table(spark, part).coalesce(1), bench).collect()}
+        assert got == {i: [7] for i, _ in part}
+
+
 def test_short_items_are_found_whichever_words_are_replaced(spark):
     """Any 13 words in a row, or the whole item where it is shorter, of which 80 % are equal: as brute force has it."""
     r = np.random.default_rng(17)
