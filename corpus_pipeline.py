@@ -7,7 +7,7 @@ signatures, keyed digests), so ORACLE_SQL is None; tests hold each stage against
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm import decontaminate, mixing, neardup, pii, quality
@@ -28,9 +28,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id."""
-    classes = neardup.near_duplicates(docs)
-    return docs.join(classes.filter("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of near duplicates: that of the smallest doc_id, or one without an id where none has one.
+
+    Of rows that share a doc_id, and of rows of equal text without one, the first by a digest of all columns counts.
+    """
+    kept = neardup.groups(docs).filter("node = component").select("node")
+    plain, names = _renamed(docs)
+    own = F.col(names[docs.columns.index("doc_id")])
+    order = Window.partitionBy("node").orderBy(F.xxhash64(*[c for c, t in plain.dtypes if "map<" not in t and t != "variant"]))
+    rows = plain.withColumn("node", neardup.node(own, F.col("text"))).withColumn("nth", F.row_number().over(order)).filter("nth = 1")
+    return rows.join(kept, "node", "left_semi").select(*names).toDF(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +49,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced; n_chars follows the new text."""
-    out = pii.pseudonymise(docs, prefix="__n_").select(*docs.columns)
+    out = pii.pseudonymise(docs, spark.conf.get("spark.quillspan.pii.key", "not a secret")).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
