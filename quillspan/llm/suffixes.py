@@ -1,10 +1,11 @@
 """Suffix-array dedup: common-prefix-aware distributed merge sort of sampled suffixes.
 
-A byte goes if a string of ``length`` bytes that covers it starts anywhere else too. Sorting the suffixes at
+A byte goes if a string of ``length`` bytes that covers it starts anywhere else too. Bytes of strings of
+``report`` bytes that do are counted beside (n_repeated) and stay. Sorting the suffixes at
 all bytes would move every text hundreds of times, so suffixes are sampled: a place is an anchor if its
-100-byte string has the least hash of some window of length - 99 places. What is chosen in a window depends
-on the window alone, so every copy of a string of ``length`` bytes holds the same anchor at the same distance,
-and no repeat can be missed.
+100-byte string has the least hash of some window of report - 99 places. What is chosen in a window depends
+on the window alone, so every copy of a string of ``report`` bytes or more holds the same anchor at the same
+distance, and no repeat can be missed.
 
 1. Anchors whose 100-byte string stands once in the corpus are dropped, as nothing can repeat there. Where
    all that can matter around an anchor (300 bytes before, 400 after) is equal to another anchor's
@@ -14,16 +15,17 @@ and no repeat can be missed.
    before it, and the rest) and send the runs to partitions by the anchor's 100 bytes. There, loser
    trees merge the runs; each suffix carries the length of the prefix that it shares with the last
    winner, so shared prefixes are never compared again and the merge yields the prefix array of the
-   sorted suffixes. The text before the anchors is sorted in the same way.
+   sorted suffixes. The texts before the anchors, read backwards, are sent and merged in the same way.
 3. For each number of bytes before the anchor, two anchors' strings are equal if no shared prefix between
    them, on either side, is too short: a scan of both prefix arrays.
 
 An anchor with more than ``most`` different surroundings isn't gathered: for it, the hashes of all its
-strings are counted by Spark. Hashes have 64 bits; equal hashes are taken as equal strings in step 1 and in
-that case, and compared byte by byte in step 2.
+strings are counted by Spark. Hashes have 64 bits; equal hashes are taken as equal strings in step 1, which decides
+most removals, and in that case; strings are compared byte by byte in step 2.
 
 Null and empty texts have 0 bytes. Texts shorter than ``length`` lose nothing. A repeated row is a repeat: its
-text goes whole if it is long enough. A doc_id stands for one text. A table without rows gives none.
+text goes whole if it is long enough. Rows are told apart by doc_id and text, so ids may be null or have several
+texts. A table without rows gives none.
 """
 
 from __future__ import annotations
@@ -44,17 +46,17 @@ from quillspan.llm.windows import minimizers
 GRAM = 100
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, shortest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, place, hash of its GRAM bytes, hash of its surroundings) of all anchors, by row and place."""
     size = np.diff(offsets)
-    count = np.where(size >= length, size - GRAM + 1, 0)
+    count = np.where(size >= shortest, size - GRAM + 1, 0)
     before = np.concatenate([[0], np.cumsum(count)])
     if not before[-1]:
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, empty.view(np.uint64), empty.view(np.uint64)
     hashes = Hashes(data)
     start = np.repeat(offsets[:-1] - before[:-1], count) + np.arange(before[-1])
-    at = minimizers(hashes.of(start, start + GRAM), before, length - GRAM + 1)
+    at = minimizers(hashes.of(start, start + GRAM), before, shortest - GRAM + 1)
     row = np.searchsorted(before, at, side="right") - 1
     place = at - before[row]
     here = offsets[row] + place
@@ -179,17 +181,30 @@ def _lists(values: list[np.ndarray], cut: np.ndarray) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(v)) for v in values]
 
 
-def dedup(docs: DataFrame, length: int = 400, most: int = 50_000, run_bytes: int = 8 << 20) -> DataFrame:
-    """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256. 100 <= length < 65536."""
+def _runs(lo: np.ndarray, hi: np.ndarray, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of what the spans cover, of those that have ``least`` bytes inside the text; a start below 0 is none."""
+    lo, hi = lo[lo >= 0], np.minimum(hi[lo >= 0], size)
+    lo, hi = lo[hi - lo >= least], hi[hi - lo >= least]
+    if not len(lo):
+        return lo, hi
+    order = np.argsort(lo, kind="stable")
+    lo, reach = lo[order], np.maximum.accumulate(hi[order])
+    new = np.flatnonzero(np.concatenate([[True], lo[1:] > reach[:-1]]))
+    return lo[new], reach[np.append(new[1:], len(lo)) - 1]
+
+
+def dedup(docs: DataFrame, length: int = 400, report: int = 280, most: int = 50_000, run_bytes: int = 8 << 20) -> DataFrame:
+    """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated. 100 <= report <= length < 65536."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
-    before = length - GRAM
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    before, early = length - GRAM, report - GRAM
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", "text").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = rows.select("doc_id", "text")
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in pieces(batch.column("text")):
-                row, place, h, around = anchors(data, offsets, length)
+                row, place, h, around = anchors(data, offsets, length, report)
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *_lists([place.astype(np.int32), h.astype(np.int64), around.astype(np.int64)], cut)], names=["doc_id", "at", "h", "around"])
 
@@ -197,7 +212,9 @@ def dedup(docs: DataFrame, length: int = 400, most: int = 50_000, run_bytes: int
     found = lists.select("doc_id", F.explode(F.arrays_zip("at", "h", "around")).alias("a")).select("doc_id", F.col("a.at").alias("at"), F.col("a.h").alias("h"), F.col("a.around").alias("around"))
     # written, so that both sides of the join are plain shuffles, of which Spark splits a hot key's
     kinds = scratch.keep(found.groupBy("h").agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).filter("n > 1"), "kinds")
-    repeated = scratch.keep(found.join(kinds.select("h", (F.col("lo") != F.col("hi")).alias("open")), "h").select("doc_id", "at", "h", "around", "open"), "repeated")
+    # rows of a frequent string are dealt over several keys
+    salts = F.least(F.floor(F.col("n") / 2000) + 1, F.lit(1000)).cast("long").alias("salts")
+    repeated = scratch.keep(found.join(kinds.select("h", (F.col("lo") != F.col("hi")).alias("open"), salts), "h").select("doc_id", "at", "h", "around", "open", "salts"), "repeated")
 
     # texts that may lose something
     ids = scratch.keep(repeated.select("doc_id").distinct(), "ids")
@@ -211,16 +228,21 @@ def dedup(docs: DataFrame, length: int = 400, most: int = 50_000, run_bytes: int
 
     # anchors with twin surroundings: all strings over them repeat
     classes = scratch.keep(
-        repeated.filter("open").groupBy("h", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("r")).select("h", "around", "n", F.col("r.doc_id").alias("doc_id"), F.col("r.at").alias("at")), "classes"
+        repeated.filter("open").groupBy("h", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("r"), F.max("salts").alias("salts")).select("h", "around", "n", "salts", F.col("r.doc_id").alias("doc_id"), F.col("r.at").alias("at")), "classes"
     )
     crowd = scratch.keep(classes.groupBy("h").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most).select("h"), "crowd")
-    twins = repeated.filter("open").join(classes.filter("n > 1").select("h", "around"), ["h", "around"], "left_semi").select("doc_id", "at")
-    whole = repeated.filter("not open").select("doc_id", "at").union(twins).select("doc_id", F.greatest(F.col("at") - before, F.lit(0)).alias("lo"), (F.col("at") + length).alias("hi"))
+    shared_by_many = classes.filter("n > 1").select("h", "around", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    twins = repeated.filter("open").withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), "salts")).join(shared_by_many, ["h", "around", "salt"], "left_semi").select("doc_id", "at")
+    from_ = lambda n: F.greatest(F.col("at") - n, F.lit(0)).cast("long")
+    to = lambda n: (F.col("at") + n).cast("long")
+    whole = repeated.filter("not open").select("doc_id", "at").union(twins).select("doc_id", from_(before).alias("lo"), to(length).alias("hi"), from_(early).alias("rlo"), to(report).alias("rhi"))
 
     few = classes.join(crowd, "h", "left_anti")
     targets = max(1, min(20_000, -(-few.count() // 10_000)))
     asked = few.groupBy("doc_id").agg(F.collect_list(F.struct("at", F.pmod("h", F.lit(targets)).cast("int").alias("target"))).alias("q"))
 
+    names = ["target", "lcp", "sizes", "rests", "left_lcp", "left_sizes", "left_rests", "left", "docs", "at"]
+
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted, front-coded runs for each target of about ``run_bytes`` of text."""
 
@@ -230,11 +252,12 @@ def dedup(docs: DataFrame, length: int = 400, most: int = 50_000, run_bytes: int
             rows = []
             for lo, hi in zip(cut, cut[1:], strict=False):
                 own = held[lo:hi]
-                lcp, sizes, rests = front_coded([x[1] for x in own])
-                rows.append((own[0][0], lcp.tobytes(), sizes.tobytes(), rests, np.array([len(x[2]) for x in own], dtype="<u2").tobytes(), b"".join(x[2] for x in own), np.array([x[3] for x in own], dtype="<i8").tobytes(), np.array([x[4] for x in own], dtype="<i4").tobytes()))
-            types = [pa.int32(), *[pa.binary()] * 7]
+                left = sorted(range(len(own)), key=lambda i: own[i][2])
+                both = [x for coded in (front_coded([x[1] for x in own]), front_coded([own[i][2] for i in left])) for x in (coded[0].tobytes(), coded[1].tobytes(), coded[2])]
+                rows.append((own[0][0], *both, np.array(left, dtype="<i4").tobytes(), np.array([x[3] for x in own], dtype="<i8").tobytes(), np.array([x[4] for x in own], dtype="<i4").tobytes()))
+            types = [pa.int32(), *[pa.binary()] * 9]
             for k in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64], strict=True), types, strict=True)], names=["target", "lcp", "sizes", "rests", "lefts", "left", "docs", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64], strict=True), types, strict=True)], names=names)
 
         held, size = [], 0
         for batch in batches:
@@ -254,58 +277,58 @@ def dedup(docs: DataFrame, length: int = 400, most: int = 50_000, run_bytes: int
         sizes = [len(x) // 2 for x in rows["lcp"]]
         base = np.concatenate([[0], np.cumsum(sizes)]).tolist()
         streams = [decoded(a, b, c, n) for a, b, c, n in zip(rows["lcp"], rows["sizes"], rows["rests"], base, strict=False)]
-        lefts: list[bytes] = []
-        for s, text in zip(rows["lefts"], rows["left"], strict=True):
-            ends = np.cumsum(np.frombuffer(s, "<u2").astype(np.int64)).tolist()
-            lefts += [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        lefts = [decoded(a, b, c, n) for a, b, c, n in zip(rows["left_lcp"], rows["left_sizes"], rows["left_rests"], base, strict=False)]
+        places = np.concatenate([np.frombuffer(x, "<i4") + n for x, n in zip(rows["left"], base, strict=False)])
         who = np.concatenate([np.frombuffer(x, "<i8") for x in rows["docs"]])
         at = np.concatenate([np.frombuffer(x, "<i4") for x in rows["at"]])
         n = base[-1]
         lcp, size, order = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         for i, (s, shared_, p) in enumerate(merge(streams)):
             lcp[i], size[i], order[i] = shared_, len(s), p
-        by_left = sorted(range(n), key=lambda i: lefts[order[i]])
-        left_lcp, rank = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-        last = b""
-        for r, i in enumerate(by_left):
-            rank[i], left_lcp[r], last = r, shared(last, lefts[order[i]]) if r else 0, lefts[order[i]]
-        least, most_ = resolve(lcp, size, rank, left_lcp, np.array([len(lefts[p]) for p in order], dtype=np.int64), length)
-        hit = least >= 0
-        place = at[order][hit].astype(np.int64)
-        return pd.DataFrame({"doc_id": who[order][hit], "lo": place - most_[hit], "hi": place - least[hit] + length})
-
-    sent = sub.dropDuplicates(["doc_id"]).join(asked, "doc_id").select("doc_id", "text", "q").mapInArrow(runs, "target int, lcp binary, sizes binary, rests binary, lefts binary, left binary, docs binary, at binary")
-    edges = sent.groupBy("target").applyInPandas(merged, "doc_id long, lo long, hi long")
-    spans = whole.select("doc_id", F.col("lo").cast("long"), F.col("hi").cast("long")).union(edges)
+        left_lcp, left_size, rank = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        for r, (s, shared_, p) in enumerate(merge(lefts)):
+            left_lcp[r], left_size[places[p]], rank[places[p]] = shared_, len(s), r
+        place = at[order].astype(np.int64)
+        out = {"doc_id": who[order]}
+        for lo, hi, wide in (("lo", "hi", length), ("rlo", "rhi", report)):
+            least, most_ = resolve(lcp, size, rank[order], left_lcp, left_size[order], wide)
+            out |= {lo: np.where(least >= 0, place - most_, -1), hi: np.where(least >= 0, place - least + wide, -1)}
+        return pd.DataFrame(out)[lambda x: (x["lo"] >= 0) | (x["rlo"] >= 0)]
+
+    shape = "doc_id long, lo long, hi long, rlo long, rhi long"
+    sent = sub.dropDuplicates(["doc_id"]).join(asked, "doc_id").select("doc_id", "text", "q").mapInArrow(runs, "target int, " + ", ".join(f"{c} binary" for c in names[1:]))
+    edges = sent.groupBy("target").applyInPandas(merged, shape)
+    spans = whole.union(edges)
     if not crowd.isEmpty():
-        spans = spans.union(_counted(sub, classes.join(crowd, "h", "left_semi"), length))
+        spans = spans.union(_counted(sub, classes.join(crowd, "h", "left_semi"), length, report))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids_, removed, runs_, digests = [], [], [], []
-            for doc, text, los, his in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("los").to_pylist(), batch.column("his").to_pylist(), strict=True):
-                order = np.argsort(los, kind="stable")
-                lo, hi = np.array(los)[order], np.minimum(np.array(his)[order], len(text))
-                reach = np.maximum.accumulate(hi)
-                new = np.flatnonzero(np.concatenate([[True], lo[1:] > reach[:-1]]))
-                starts, ends = lo[new], reach[np.append(new[1:], len(lo)) - 1]
+            ids_, removed, runs_, digests, again = [], [], [], [], []
+            for doc, text, *lists_ in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), *(batch.column(c).to_pylist() for c in ("los", "his", "rlos", "rhis")), strict=True):
+                lo, hi, rlo, rhi = (np.array(x, dtype=np.int64) for x in lists_)
+                starts, ends = _runs(lo, hi, len(text), length)
+                r_starts, r_ends = _runs(rlo, rhi, len(text), report)
                 digest = hashlib.sha256()
                 for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(text)], strict=True):
                     digest.update(text[a:b])
                 ids_.append(doc)
                 removed.append(int((ends - starts).sum()))
-                runs_.append(len(new))
+                runs_.append(len(starts))
                 digests.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(ids_, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs_, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "removed", "runs", "sha"])
-
-    own = spans.groupBy("doc_id").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
-    cut = scratch.keep(sub.dropDuplicates(["doc_id"]).join(own, "doc_id").select("doc_id", "text", "los", "his").mapInArrow(cut_out, "doc_id long, removed long, runs long, sha string"), "cut")
-    plain = texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("all_sha"))
-    out = plain.join(cut, "doc_id", "left")
-    return out.select("doc_id", "n_bytes", F.coalesce("removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("runs", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("sha", "all_sha").alias("kept_sha256"))
+                again.append(int((r_ends - r_starts).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids_, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs_, pa.int64()), pa.array(digests, pa.string()), pa.array(again, pa.int64())], names=["doc_id", "removed", "runs", "sha", "again"])
+
+    own = spans.groupBy("doc_id").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("lo", "hi", "rlo", "rhi")])
+    cut = scratch.keep(sub.dropDuplicates(["doc_id"]).join(own, "doc_id").select("doc_id", "text", "los", "his", "rlos", "rhis").mapInArrow(cut_out, "doc_id long, removed long, runs long, sha string, again long"), "cut")
+    plain = rows.select("doc_id", "id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("all_sha"))
+    none = F.lit(0).cast("long")
+    return plain.join(cut, "doc_id", "left").select(
+        F.col("id").alias("doc_id"), "n_bytes", F.coalesce("removed", none).alias("n_removed"), F.coalesce("runs", none).alias("n_spans"), F.coalesce("sha", "all_sha").alias("kept_sha256"), F.coalesce("again", none).alias("n_repeated")
+    )
 
 
-def _counted(texts: DataFrame, classes: DataFrame, length: int) -> DataFrame:
+def _counted(texts: DataFrame, classes: DataFrame, length: int, report: int) -> DataFrame:
     """Spans at anchors of too many kinds of surroundings: all their strings' hashes, counted by Spark."""
     asked = classes.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
 
@@ -315,10 +338,16 @@ def _counted(texts: DataFrame, classes: DataFrame, length: int) -> DataFrame:
                 data = np.frombuffer(text, dtype=np.uint8)
                 hashes = Hashes(data)
                 for at in places:
-                    start = np.arange(max(0, at - (length - GRAM)), min(at, len(data) - length) + 1)
-                    s = hashes.of(start, start + length).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc)), pa.array(start), pa.array(s)], names=["doc_id", "lo", "s"])
-
-    made = texts.dropDuplicates(["doc_id"]).join(asked, "doc_id").select("doc_id", "text", "at").mapInArrow(strings, "doc_id long, lo long, s long").distinct()  # anchors near each other share strings
-    twice = made.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1").select("s")
-    return made.join(twice, "s", "left_semi").select("doc_id", "lo", (F.col("lo") + length).alias("hi"))
+                    for wide in (length, report):
+                        start = np.arange(max(0, at - (wide - GRAM)), min(at, len(data) - wide) + 1)
+                        s = hashes.of(start, start + wide).astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc)), pa.array(start, pa.int64()), pa.array(s), pa.array(np.full(len(s), wide, dtype=np.int32))], names=["doc_id", "lo", "s", "wide"])
+
+    made = texts.dropDuplicates(["doc_id"]).join(asked, "doc_id").select("doc_id", "text", "at").mapInArrow(strings, "doc_id long, lo long, s long, wide int").distinct()  # anchors near each other share strings
+    twice = made.groupBy("s", "wide").agg(F.count("*").alias("n")).filter("n > 1").select("s", "wide")
+    none = F.lit(-1).cast("long")
+    side = lambda wide, at: F.when(F.col("wide") == wide, at).otherwise(none)
+    hit = made.join(twice, ["s", "wide"], "left_semi")
+    if length == report:
+        return hit.select("doc_id", "lo", (F.col("lo") + length).alias("hi"), F.col("lo").alias("rlo"), (F.col("lo") + length).alias("rhi"))
+    return hit.select("doc_id", side(length, F.col("lo")).alias("lo"), side(length, F.col("lo") + length).alias("hi"), side(report, F.col("lo")).alias("rlo"), side(report, F.col("lo") + report).alias("rhi"))

@@ -457,14 +457,17 @@ def test_suffixes_by_brute_force(spark, most):
     p = [prose(60, 700 + k) for k in range(4)]
     rows = [(10, prose(50, 1) + p[0] + prose(30, 2)), (11, prose(40, 3) + p[0] + p[1]), (12, p[1] + prose(20, 4)), (13, prose(300, 5)), (14, prose(300, 5)), (15, prose(300, 5)[7:-9]), (16, p[2] + " mid " + p[2]), (17, "ab" * 700), (18, "x" * 399), (19, "x" * 399), (20, "é" * 250), (21, p[3][:200]), (22, p[3][:201])]
     rows += [(30 + k, edited(prose(150, 9), 25, k)) for k in range(8)] + EDGES
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.dedup(table(spark, rows, extra=True), most=most, run_bytes=5000).collect()}
-    assert got == plain_removed(rows, 400)
+    out = suffixes.dedup(table(spark, rows, extra=True), most=most, run_bytes=5000).collect()
+    assert {r["doc_id"]: tuple(r)[1:5] for r in out} == plain_removed(rows, 400)
+    assert {r["doc_id"]: r["n_repeated"] for r in out} == {i: x[1] for i, x in plain_removed(rows, 280).items()}
 
 
 def test_suffixes_of_repeated_rows_and_nothing(spark):
     t = prose(100, 12)
     out = suffixes.dedup(table(spark, [(1, t), (1, t), (2, prose(100, 13))])).collect()
     assert sorted(r["n_removed"] for r in out) == [0, len(t), len(t)]
+    odd = suffixes.dedup(table(spark, [(None, t), (3, t), (3, prose(100, 14)), (None, None)])).collect()
+    assert sorted((r["doc_id"] or 0, r["n_removed"] > 0) for r in odd) == [(0, False), (0, True), (3, False), (3, True)]
     assert suffixes.dedup(table(spark, [])).count() == 0
 
 
