@@ -226,13 +226,13 @@ def dedup(docs: DataFrame, length: int = 400, report: int = 280, most: int = 50_
 
     sub = scratch.keep(texts.withColumn("h", F.xxhash64("doc_id")).mapInArrow(chosen, "doc_id long, text string"), "texts")
 
-    # anchors with twin surroundings: all strings over them repeat
-    classes = scratch.keep(
-        repeated.filter("open").groupBy("h", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("r"), F.max("salts").alias("salts")).select("h", "around", "n", "salts", F.col("r.doc_id").alias("doc_id"), F.col("r.at").alias("at")), "classes"
-    )
+    # anchors with twin surroundings: all strings over them repeat. Counted by salted key first, so no task gets a frequent string's rows
+    opened = repeated.filter("open").withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), "salts"))
+    parts = scratch.keep(opened.groupBy("h", "around", "salt").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("r")), "parts")
+    classes = scratch.keep(parts.groupBy("h", "around").agg(F.sum("n").alias("n"), F.min("r").alias("r")).select("h", "around", "n", F.col("r.doc_id").alias("doc_id"), F.col("r.at").alias("at")), "classes")
     crowd = scratch.keep(classes.groupBy("h").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most).select("h"), "crowd")
-    shared_by_many = classes.filter("n > 1").select("h", "around", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    twins = repeated.filter("open").withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), "salts")).join(shared_by_many, ["h", "around", "salt"], "left_semi").select("doc_id", "at")
+    shared_by_many = parts.join(classes.filter("n > 1").select("h", "around"), ["h", "around"], "left_semi").select("h", "around", "salt")
+    twins = opened.join(shared_by_many, ["h", "around", "salt"], "left_semi").select("doc_id", "at")
     from_ = lambda n: F.greatest(F.col("at") - n, F.lit(0)).cast("long")
     to = lambda n: (F.col("at") + n).cast("long")
     whole = repeated.filter("not open").select("doc_id", "at").union(twins).select("doc_id", from_(before).alias("lo"), to(length).alias("hi"), from_(early).alias("rlo"), to(report).alias("rhi"))
