@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -102,31 +104,38 @@ def sections(markdown: pd.Series) -> pd.Series:
     return markdown.map(lambda m: [{"idx": i, "heading": h, "body": b} for i, h, b in split_sections(m)])
 
 
-def _occurrences(text: str, part: str) -> list[tuple[int, int]]:
-    return [m.span() for m in re.finditer(re.escape(part), text, re.IGNORECASE)] if part else []
+def _found(text: str, parts: list[str]) -> list[tuple[int, int]]:
+    """Where the parts stand in ``text``, without regard to case. Letters whose lower case is longer count as they are."""
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    spans = set()
+    for part in (p.lower() for p in parts if p):
+        at = low.find(part)
+        while at >= 0:
+            spans.add((at, at + len(part)))
+            at = low.find(part, at + len(part))
+    return sorted(spans)
 
 
 def excerpt_of(text: str, parts: list[str], width: int) -> tuple[str, list[tuple[int, int]]]:
-    """At most ``width`` characters around the first match, on whole words, and where the parts are in it.
+    """Whole words around the first match, and where the parts are in them.
 
-    The match stands about a third into the window; an ellipsis marks a cut end.
+    Words before the match are taken while they fit a third of ``width``, words from it on while all fit ``width``, then more
+    before it if the text ended. The word of the match is shown whatever its length. An ellipsis marks a cut end.
     """
-    line = " ".join(text.split())
-    hits = sorted(s for p in parts for s in _occurrences(line, p))
-    lo, hi = 0, len(line)
-    if len(line) > width:
-        lo = min(max(0, hits[0][0] - width // 3) if hits else 0, len(line) - width)
-        hi = lo + width
-        if lo:
-            space = line.find(" ", lo, min(hi, hits[0][0]) if hits else hi)
-            lo = space + 1 if space >= 0 else lo
-        if hi < len(line):
-            space = line.rfind(" ", max(hits[0][1] if hits else lo, lo + 1), hi)
-            hi = space if space >= 0 else hi
-    body = line[lo:hi]
-    head, tail = "…" if lo else "", "…" if hi < len(line) else ""
-    spans = sorted({(a + len(head), b + len(head)) for p in parts for a, b in _occurrences(body, p)})
-    return head + body + tail, spans
+    words = text.split()
+    ends = list(accumulate(len(w) + 1 for w in words))  # each word's end in the line, with a space after it
+    starts = [0, *ends[:-1]] if words else []
+    line = " ".join(words)
+    match = next(iter(_found(line, parts)), (0, 0))[0]
+    here = max(0, bisect_right(starts, match) - 1)
+    room = min(width // 3, max(0, width - len(words[here]))) if words else 0
+    first = bisect_left(starts, starts[here] - room, 0, here) if words else 0
+    last = max(here + 1, bisect_right(ends, starts[first] + width + 1)) if words else 0
+    if last == len(words) and words:
+        first = min(first, bisect_left(starts, len(line) - width))
+    head, tail = "…" if first else "", "…" if last < len(words) else ""
+    body = " ".join(words[first:last])
+    return head + body + tail, [(a + len(head), b + len(head)) for a, b in _found(body, parts)]
 
 
 def excerpt(text: Column, parts: list[str], width: int = 160) -> Column:

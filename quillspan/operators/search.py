@@ -32,7 +32,8 @@ def occurrences(words: Column, phrase: list[str]) -> Column:
 def bm25(rows: DataFrame, query: str) -> DataFrame:
     """document_id and score (lower is better) of each row of (document_id, text) with every part of the query.
 
-    Statistics are of all rows, null texts included. A query without words matches nothing.
+    Statistics are of all rows, null texts included; where ``rows`` has a column ``live``, only rows of which it is true
+    are found. A query without words matches nothing.
     """
     parts = phrases(query)
     if not parts:
@@ -46,7 +47,8 @@ def bm25(rows: DataFrame, query: str) -> DataFrame:
     stats = counted(rows).agg(F.count("*").alias("n"), F.sum("len").cast("double").alias("total"), *[F.count_if(F.col(c) > 0).alias(f"n_{c}") for c in tf])
     # what doesn't hold every word as a substring needn't be cut into words
     low = fold(F.col("text"))
-    likely = rows.filter(reduce(Column.__and__, [F.contains(low, F.lit(w)) for w in sorted({w for p in parts for w in p})]))
+    live = rows.filter("live") if "live" in rows.columns else rows
+    likely = live.filter(reduce(Column.__and__, [F.contains(low, F.lit(w)) for w in sorted({w for p in parts for w in p})]))
     hits = counted(likely).filter(reduce(Column.__and__, [F.col(c) > 0 for c in tf])).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for c in tf:

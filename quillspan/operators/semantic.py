@@ -1,12 +1,13 @@
 """Vector retrieval: exact cosine of few queries against all chunks, and the best chunk of a document.
 
-Queries are a bounded set, written by a caller: they go to every task, chunks are never moved to meet them,
-and what is kept for each query and document is reduced before it is shuffled.
+Queries go to every task in blocks of bounded size, chunks are never moved to meet them,
+and what is kept for each query is reduced inside the tasks before it is sent back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from quillspan.functions.dates import DateRange
 from quillspan.operators.search import in_range
 
-MOST_QUERIES = 10_000
+MOST_QUERIES = 10_000  # at once
 #: The sources that chunks come from.
 SOURCE_TYPES = {"transcripts": "transcript_window", "panels": "panel_section", "notes": "notes_paragraph"}
 
@@ -29,25 +30,35 @@ def source_filter(targets: tuple[str, ...] | None) -> list[str] | None:
     return [SOURCE_TYPES[t] for t in SOURCE_TYPES if t in targets]
 
 
-def scored(chunks: DataFrame, queries: DataFrame, sources: list[str] | None = None, min_score: float | None = None) -> DataFrame:
+def scored(chunks: DataFrame, queries: DataFrame, sources: list[str] | None = None, min_score: float | None = None, best: bool = False, limit: int | None = None) -> DataFrame:
     """query_id, document_id, chunk_id, source_type, score for all queries (query_id, q) against all chunks.
 
-    One matrix product for each Arrow batch of chunks. A zero vector scores 0; chunks without a vector, or with
-    one of another length, don't score. Scores are rounded to 12 digits, so equal vectors tie.
+    One matrix product for some rows of a batch of chunks at once; queries go in blocks of at most about ``MOST_QUERIES``, one pass
+    over the chunks each. A zero vector scores 0; chunks without a vector, or with one of another length, don't
+    score. Scores are rounded to 12 digits, so equal vectors tie. With ``best``, a task returns only each document's best
+    chunk, of its ``limit`` best documents a query where that is given: all that can be among the best of all.
     """
     if sources is not None:
         chunks = chunks.filter(F.col("source_type").isin(sources)) if sources else chunks.filter(F.lit(False))
-    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries at once")
-    names = np.array([r["query_id"] for r in asked], dtype=np.int64)
-    matrix = np.array([r["q"] for r in asked], dtype=np.float64).reshape(len(asked), -1)
-    size = np.linalg.norm(matrix, axis=1, keepdims=True)
-    shared = chunks.sparkSession.sparkContext.broadcast((names, matrix / np.where(size == 0, 1, size)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, unit = shared.value
-        step = max(1, 200_000 // max(1, len(ids)))
+    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q"))
+    blocks = max(1, -(-asked.count() // MOST_QUERIES))
+    rows = chunks.select("document_id", F.col("chunk_id").cast("long").alias("chunk_id"), "source_type", "vector")
+    made = []
+    for k in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).collect()
+        names = np.array([r["query_id"] for r in part], dtype=np.int64)
+        matrix = np.array([r["q"] for r in part], dtype=np.float64).reshape(len(part), -1)
+        size = np.linalg.norm(matrix, axis=1, keepdims=True)
+        shared = chunks.sparkSession.sparkContext.broadcast((names, matrix / np.where(size == 0, 1, size)))
+        made.append(rows.mapInArrow(_scorer(shared, min_score, best, limit), "query_id long, document_id string, chunk_id long, source_type string, score double"))
+    return reduce(DataFrame.union, made)
+
+
+def _scorer(shared, min_score: float | None, best: bool, limit: int | None):
+    names = ["query_id", "document_id", "chunk_id", "source_type", "score"]
+
+    def products(batches: Iterator[pa.RecordBatch], unit: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        step = max(1, 200_000 // max(1, len(unit)))
         for batch in batches:
             fits = pc.fill_null(pc.equal(pc.list_value_length(batch.column("vector")), unit.shape[1]), False)
             batch = batch.filter(fits)
@@ -55,15 +66,54 @@ def scored(chunks: DataFrame, queries: DataFrame, sources: list[str] | None = No
                 part = batch.slice(lo, step)
                 v = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
                 n = np.linalg.norm(v, axis=1, keepdims=True)
-                score = np.round((v / np.where(n == 0, 1, n)) @ unit.T, 12).ravel()
-                row, query = np.divmod(np.arange(len(score)), max(1, len(ids)))
-                if min_score is not None:
-                    keep = np.flatnonzero(score >= min_score)
-                    row, query, score = row[keep], query[keep], score[keep]
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[query]), *(part.column(c).take(at) for c in ("document_id", "chunk_id", "source_type")), pa.array(score)], names=["query_id", "document_id", "chunk_id", "source_type", "score"])
+                yield part, np.round((v / np.where(n == 0, 1, n)) @ unit.T, 12)
 
-    return chunks.select("document_id", F.col("chunk_id").cast("long").alias("chunk_id"), "source_type", "vector").mapInArrow(run, "query_id long, document_id string, chunk_id long, source_type string, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, unit = shared.value
+        held: list[pa.Table] = []
+        size, most = 0, max(500_000, 2 * len(ids) * (limit or 0))
+        for part, score in products(batches, unit):
+            score = score.ravel()
+            row, query = np.divmod(np.arange(len(score)), max(1, len(ids)))
+            if min_score is not None:
+                keep = np.flatnonzero(score >= min_score)
+                row, query, score = row[keep], query[keep], score[keep]
+            at = pa.array(row)
+            out = pa.RecordBatch.from_arrays([pa.array(ids[query]), *(part.column(c).take(at) for c in names[1:4]), pa.array(score)], names=names)
+            if not best:
+                yield out
+                continue
+            held.append(pa.Table.from_batches([out]))
+            size += out.num_rows
+            if size > most:
+                held = [_reduced(pa.concat_tables(held), limit)]
+                size = held[0].num_rows
+                if size > most:  # documents without a limit
+                    yield from held[0].to_batches(max_chunksize=10_000)
+                    held, size = [], 0
+        if held:
+            yield from _reduced(pa.concat_tables(held), limit).to_batches(max_chunksize=10_000)
+
+    return run
+
+
+def _reduced(rows: pa.Table, limit: int | None) -> pa.Table:
+    """The best chunk of each query and document, of the ``limit`` best documents of each query."""
+
+    def firsts(t: pa.Table, by: list[str]) -> np.ndarray:
+        """Whether a sorted row is the first of its group."""
+        new = np.ones(t.num_rows, dtype=bool)
+        new[1:] = np.any([pc.not_equal(t[c][1:], t[c][:-1]).to_numpy() for c in by], axis=0)
+        return new
+
+    rows = rows.sort_by([("query_id", "ascending"), ("document_id", "ascending"), ("score", "descending"), ("chunk_id", "ascending")]).combine_chunks()
+    rows = rows.filter(pa.array(firsts(rows, ["query_id", "document_id"])))
+    if limit is None:
+        return rows
+    rows = rows.sort_by([("query_id", "ascending"), ("score", "descending"), ("document_id", "ascending")]).combine_chunks()
+    new = np.flatnonzero(firsts(rows, ["query_id"]))
+    nth = np.arange(rows.num_rows) - np.repeat(new, np.diff(np.append(new, rows.num_rows)))
+    return rows.filter(pa.array(nth < limit))
 
 
 def best_chunks(scores: DataFrame, min_score: float = 0.0) -> DataFrame:
@@ -83,7 +133,7 @@ def search(chunks: DataFrame, queries: DataFrame, allowed: DataFrame | None = No
     """Ranked documents; ``allowed`` (id) restricts them before anything is scored."""
     if allowed is not None:
         chunks = chunks.join(allowed, chunks["document_id"] == allowed["id"], "left_semi")
-    return ranked(best_chunks(scored(chunks, queries, sources, min_score), min_score), limit)
+    return ranked(best_chunks(scored(chunks, queries, sources, min_score, best=True, limit=limit), min_score), limit)
 
 
 def allowed_documents(documents: DataFrame, dates: DateRange = DateRange()) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.text import contains
 
+MOST_NAMES = 10_000  # that a pattern may stand for
 
 def load(utterances: DataFrame, document_id: str) -> DataFrame:
     return utterances.filter(F.col("document_id") == document_id).orderBy("start_timestamp", "id")
@@ -31,11 +32,16 @@ def resolve_names(utterances: DataFrame, pattern: str) -> list[str]:
         raise ValueError("a speaker's name is needed")
     known = speakers(utterances)
     exact = F.lower("speaker_name") == pattern.strip().lower()
-    found = known.filter(exact | contains(F.col("speaker_name"), pattern.strip())).select("speaker_name", exact.alias("exact")).limit(1000).collect()
+    equal = known.filter(exact).collect()  # spellings of one name that differ in case
+    if equal:
+        return sorted(r[0] for r in equal)
+    found = known.filter(contains(F.col("speaker_name"), pattern.strip())).limit(MOST_NAMES + 1).collect()
+    if len(found) > MOST_NAMES:
+        raise ValueError(f"{pattern!r} stands for more than {MOST_NAMES} speakers")
     if not found:
         some = [r[0] for r in known.limit(10).collect()]
         raise ValueError(f"no speaker {pattern!r}; known: {', '.join(some)}")
-    return sorted(r[0] for r in found if r["exact"]) or sorted(r[0] for r in found)
+    return sorted(r[0] for r in found)
 
 
 def show_speaker(utterances: DataFrame, document_id: str, speaker: str, names: list[str] | None = None) -> tuple[DataFrame, str]:

@@ -52,7 +52,7 @@ def _tf(words: str, phrase: list[str]) -> str:
 
 
 def _bm25_sql(rows: str, q: str, tag: str = "") -> str:
-    """CTEs ending in best{tag}(document_id, score). rows: a query of document_id and text."""
+    """CTEs ending in best{tag}(document_id, score). rows: a query of document_id, text and perhaps live."""
     parts = phrases(q)
     n = range(len(parts))
     counts = ", ".join(f"{_tf('w', p)} AS f{i}" for i, p in enumerate(parts))
@@ -60,8 +60,10 @@ def _bm25_sql(rows: str, q: str, tag: str = "") -> str:
     dfs = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in n)
     idf = [f"(CASE WHEN ln((n - n{i} + 0.5e0) / (n{i} + 0.5e0)) <= 0 THEN 1e-6 ELSE ln((n - n{i} + 0.5e0) / (n{i} + 0.5e0)) END)" for i in n]
     score = " ".join(f"- {idf[i]} * f{i} * 2.2e0 / (f{i} + 1.2e0 * (0.25e0 + 0.75e0 * len_ / (total / n)))" for i in n)
-    return f"""words{tag} AS (SELECT document_id, {_words('text')} AS w FROM ({rows})),
-counted{tag} AS (SELECT document_id, len(w) AS len_, {counts} FROM words{tag}),
+    live = ", live" if " AS live" in rows else ""
+    hits += " AND live" if live else ""
+    return f"""words{tag} AS (SELECT document_id, {_words('text')} AS w{live} FROM ({rows})),
+counted{tag} AS (SELECT document_id, len(w) AS len_, {counts}{live} FROM words{tag}),
 stat{tag} AS (SELECT count(*) AS n, CAST(sum(len_) AS DOUBLE) AS total, {dfs} FROM counted{tag}),
 best{tag} AS (SELECT document_id, 0 {score} AS score FROM counted{tag}, stat{tag} WHERE {hits})"""
 
@@ -69,13 +71,14 @@ best{tag} AS (SELECT document_id, 0 {score} AS score FROM counted{tag}, stat{tag
 _NOTES = "SELECT id AS document_id, notes_plain AS text FROM docs"
 _TITLES = "SELECT id AS document_id, title AS text FROM docs"
 _UTTS = "SELECT document_id, text FROM utts"
+_PANELS = r"""SELECT document_id, array_to_string(list_transform(lines, lambda l, i: '## Part ' || (i - 1) || chr(10) || chr(10) || l), chr(10) || chr(10)) || ' Chat with us' AS text, NOT deleted AS live FROM panels"""
 _TOP = "ORDER BY score, created_at DESC, id"
 
 
 def _search_sql(rows: dict[str, str], q: str, where: str = "deleted_at IS NULL") -> str:
     ctes = ",\n".join(_bm25_sql(r, q, f"_{t}") for t, r in rows.items())
     union = " UNION ALL ".join(f"SELECT * FROM best_{t}" for t in rows)
-    return f"""{with_('docs', 'utts')},
+    return f"""{with_('docs', 'utts', 'panels')},
 {ctes},
 top AS (SELECT document_id, min(score) AS score FROM ({union}) GROUP BY document_id)
 SELECT id, title, created_at, round(score, 6) AS score FROM docs JOIN top ON id = document_id WHERE {where}"""
@@ -86,6 +89,7 @@ def _sources(t: Tables, which: str) -> dict[str, DataFrame]:
         "notes": lambda: t.documents().select(F.col("id").alias("document_id"), F.col("notes_plain").alias("text")),
         "titles": lambda: t.documents().select(F.col("id").alias("document_id"), F.col("title").alias("text")),
         "transcripts": lambda: t.utterances().select("document_id", "text"),
+        "panels": lambda: t.panels().select("document_id", F.col("content_markdown").alias("text"), (~F.col("deleted")).alias("live")),
     }
     return {w: made[w]() for w in which.split()}
 
@@ -124,6 +128,16 @@ def fts_union_sources_min_score(t: Tables) -> DataFrame:
     return _shown(search.search(t.documents(), _sources(t, "notes titles transcripts"), "der"))
 
 
+@query(_search_sql({"panels": _PANELS}, "idiot chat"))
+def fts_panels(t: Tables) -> DataFrame:
+    return _shown(search.search(t.documents(), _sources(t, "panels"), "idiot chat"))
+
+
+@query(_search_sql({"notes": _NOTES, "titles": _TITLES, "transcripts": _UTTS, "panels": _PANELS}, "der"))
+def fts_union_four_sources(t: Tables) -> DataFrame:
+    return _shown(search.search(t.documents(), _sources(t, "notes titles transcripts panels"), "der"))
+
+
 @query(f"{_search_sql({'notes': _NOTES}, 'idiot')}".replace("SELECT id, title, created_at, round(score, 6) AS score", "SELECT count(*) AS keyword_total"))
 def fts_keyword_total(t: Tables) -> DataFrame:
     return search.keyword_total(search.search(t.documents(), _sources(t, "notes"), "idiot"))

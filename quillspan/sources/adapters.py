@@ -56,7 +56,7 @@ class Tables:
         """An order is one person's part in a document."""
         o, p = self.raw("orders"), self.people()
         return o.join(p, o["o_custkey"].cast("string") == p["id"]).select(
-            F.expr("cast(o_orderkey % 500 as string)").alias("document_id"), "email", F.expr("case when o_custkey % 10 > 0 then name end").alias("full_name"), F.expr("case when o_orderpriority like '1%' then 'creator' else 'attendee' end").alias("role")
+            F.expr("cast(o_orderkey div 15 as string)").alias("document_id"), "email", F.expr("case when o_custkey % 10 > 0 then name end").alias("full_name"), F.expr("case when o_orderpriority like '1%' then 'creator' else 'attendee' end").alias("role")
         )
 
     def calendars(self) -> DataFrame:
@@ -74,16 +74,16 @@ class Tables:
         return self.raw("part").select(F.col("p_partkey").cast("string").alias("id"), F.expr("concat(lower(replace(p_name, ' ', '-')), '-', p_partkey)").alias("slug"), visibility.alias("visibility"), F.expr("p_partkey % 13 = 0").alias("deleted"))
 
     def panels(self) -> DataFrame:
-        """Every third document's lines as sections under headings, with a footer."""
+        """Each document's lines as sections under headings, with a footer."""
         body = F.expr("array_join(transform(split(text, '\n'), (l, i) -> concat('## Part ', i, '\n\n', l)), '\n\n')")
-        return self.raw("documents").filter("doc_id % 3 = 0").select(
+        return self.raw("documents").select(
             F.expr("concat('p', doc_id)").alias("id"), F.col("doc_id").cast("string").alias("document_id"), F.concat(body, F.lit("\n\n---\n\nChat with us")).alias("content_markdown"), F.expr("doc_id % 33 = 0").alias("deleted")
         )
 
     def chunks(self) -> DataFrame:
-        """Vectors as the chunks of 400 documents."""
+        """Vectors as the chunks of documents, five each."""
         kind = F.expr("case vec_id % 3 when 0 then 'transcript_window' when 1 then 'panel_section' else 'notes_paragraph' end")
-        return self.raw("embeddings").select(F.col("vec_id").alias("chunk_id"), F.expr("cast(vec_id % 400 as string)").alias("document_id"), kind.alias("source_type"), F.col("embedding").alias("vector"), "label")
+        return self.raw("embeddings").select(F.col("vec_id").alias("chunk_id"), F.expr("cast(vec_id div 5 as string)").alias("document_id"), kind.alias("source_type"), F.col("embedding").alias("vector"), "label")
 
 
 _E = "TIMESTAMP '2024-01-01 00:00:00'"
@@ -95,14 +95,14 @@ SQL = {
     {_E} + to_days(CAST(conv_id % 365 AS INTEGER)) + to_seconds(turn * 30) AS start_timestamp, {_E} + to_days(CAST(conv_id % 365 AS INTEGER)) + to_seconds(turn * 30 + 5 + turn % 20) AS end_timestamp,
     text, CASE role WHEN 'user' THEN 'microphone' WHEN 'assistant' THEN 'system' END AS source, CASE WHEN role = 'assistant' AND conv_id % 4 > 0 THEN 'Speaker ' || (conv_id % 4) END AS speaker_name FROM conversations)""",
     "people": """people AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, 'c' || c_custkey || '@' || lower(c_mktsegment) || '.example' AS email, c_mktsegment AS company_name, 'nation ' || c_nationkey AS job_title FROM customer)""",
-    "doc_people": """doc_people AS (SELECT CAST(o_orderkey % 500 AS VARCHAR) AS document_id, email, CASE WHEN o_custkey % 10 > 0 THEN name END AS full_name, CASE WHEN o_orderpriority LIKE '1%' THEN 'creator' ELSE 'attendee' END AS role
+    "doc_people": """doc_people AS (SELECT CAST(o_orderkey // 15 AS VARCHAR) AS document_id, email, CASE WHEN o_custkey % 10 > 0 THEN name END AS full_name, CASE WHEN o_orderpriority LIKE '1%' THEN 'creator' ELSE 'attendee' END AS role
     FROM orders JOIN people ON CAST(o_custkey AS VARCHAR) = people.id)""",
     "cals": """cals AS (SELECT CAST(n_nationkey AS VARCHAR) AS id, r_name AS provider, n_nationkey % 5 = 0 AS "primary", n_name AS summary FROM nation JOIN region ON n_regionkey = r_regionkey)""",
     "evs": """evs AS (SELECT CAST(event_id AS VARCHAR) AS id, event_type AS summary, ts AS start_time, 'cal-' || (user_id % 25) AS calendar_id FROM events)""",
     "templates": """templates AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, p_type AS category, p_partkey % 11 = 0 AS deleted FROM part)""",
     "recipes": """recipes AS (SELECT CAST(p_partkey AS VARCHAR) AS id, lower(replace(p_name, ' ', '-')) || '-' || p_partkey AS slug, CASE p_partkey % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'user' ELSE 'shared' END AS visibility, p_partkey % 13 = 0 AS deleted FROM part)""",
-    "panels": r"""panels AS (SELECT 'p' || doc_id AS id, CAST(doc_id AS VARCHAR) AS document_id, string_split(text, chr(10)) AS lines, doc_id % 33 = 0 AS deleted FROM documents WHERE doc_id % 3 = 0)""",
-    "chunks": """chunks AS (SELECT vec_id AS chunk_id, CAST(vec_id % 400 AS VARCHAR) AS document_id, CASE vec_id % 3 WHEN 0 THEN 'transcript_window' WHEN 1 THEN 'panel_section' ELSE 'notes_paragraph' END AS source_type, embedding AS vector, label FROM embeddings)""",
+    "panels": r"""panels AS (SELECT 'p' || doc_id AS id, CAST(doc_id AS VARCHAR) AS document_id, string_split(text, chr(10)) AS lines, doc_id % 33 = 0 AS deleted FROM documents)""",
+    "chunks": """chunks AS (SELECT vec_id AS chunk_id, CAST(vec_id // 5 AS VARCHAR) AS document_id, CASE vec_id % 3 WHEN 0 THEN 'transcript_window' WHEN 1 THEN 'panel_section' ELSE 'notes_paragraph' END AS source_type, embedding AS vector, label FROM embeddings)""",
 }
 
 

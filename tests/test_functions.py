@@ -3,6 +3,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillspan.functions import dates, text, tiptap, vectors
@@ -54,6 +55,16 @@ def test_excerpt_window():
     assert [shown[a:b] for a, b in marks] == ["needle"]
     assert text.excerpt_of("short  text", ["q"], 60) == ("short text", [])
     assert text.excerpt_of("", ["x"], 10) == ("", [])
+    assert text.excerpt_of("a b " + "y" * 40, ["yy"], 10)[0] == "…" + "y" * 40
+    assert text.excerpt_of("one two three four five six", ["six"], 12)[0] == "…five six"
+    assert text.excerpt_of("İx needle", ["NEEDLE"], 60) == ("İx needle", [(3, 9)])
+    r = np.random.default_rng(1)
+    for _ in range(300):
+        line = " ".join("x" * int(n) for n in r.integers(1, 9, 40)) + " hit " + " ".join("y" * int(n) for n in r.integers(1, 9, int(r.integers(1, 40))))
+        shown, marks = text.excerpt_of(line, ["hit"], 40)
+        body = shown.strip("…")
+        assert len(body) <= 40 and body in line and marks == [(shown.index("hit"), shown.index("hit") + 3)]
+        assert len(body) >= 40 - 18 and (shown.startswith("…") or line.startswith(body)) and (shown.endswith("…") or line.endswith(body))
 
 
 def test_chat_link(spark):
@@ -120,6 +131,8 @@ def test_tiptap():
         ],
     }
     assert tiptap.to_markdown(json.dumps(doc)) == "###### H\n\na[**b**](u)\n\n- x\n  3. y\n- z\n  w\n\n---\n\nkept"
+    deep = '{"content":[' + '{"type":"x","content":[' * 300 + '{"type":"text","text":"end"}' + ']}' * 300 + ']}'
+    assert tiptap.to_markdown(deep) == "end"
     assert tiptap.to_markdown("{broken") is None and tiptap.to_markdown(None) is None
 
 
