@@ -315,6 +315,23 @@ def test_fuzzy_passages_are_found_and_clean_texts_left(spark):
     assert chains.repeated_words(table(spark, [])).count() == 0
 
 
+def test_a_passage_whose_pieces_stand_in_earlier_documents(spark):
+    """Each piece of the passage has another first place; the document before has it whole."""
+    p = prose(70, 990).split()
+    rows = [(k, prose(30, 60 + k) + " " + " ".join(p[10 * k : 10 * k + 20]) + " " + prose(30, 70 + k)) for k in range(6)]
+    rows += [(20, prose(40, 80) + " " + " ".join(p)), (21, " ".join(p) + " " + prose(40, 81))]
+    got = {r["doc_id"]: r for r in chains.repeated_words(table(spark, rows)).collect()}
+    assert got[21]["sources"] == [20] and got[21]["n_repeated"] >= 68
+
+
+def test_long_gaps_are_aligned():
+    r = np.random.default_rng(4)
+    x = r.integers(0, 60, 900).astype("<u2")
+    y = x[np.sort(r.choice(900, 700, replace=False))]
+    assert chains._subsequence(x, y).sum() == 700
+    assert chains._subsequence(x[:1], y).sum() == int(x[0] in y) and chains._lengths(x, y)[-1] == 700
+
+
 # ---- 5 pseudonyms
 
 
