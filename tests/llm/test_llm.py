@@ -164,9 +164,10 @@ def labelled(spark, n=500):
 @pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers_on_held_out_rows(spark, module, label):
     docs, labels = labelled(spark)
-    out = module.score(docs, module.train(docs, labels)).join(labels, "doc_id").filter(quality.held_out(F.col("doc_id"))).toPandas()
+    model = module.train(docs, labels)
+    out = module.score(docs, model).join(labels, "doc_id").filter(quality.held_out(F.col("doc_id"))).toPandas()
     assert (out["predicted"] == out[label]).mean() > 0.95
-    all_scores = module.score(docs, module.train(docs, labels)).toPandas()
+    all_scores = module.score(docs, model).toPandas()
     assert len(all_scores) == docs.count() and all_scores["score"].between(0, 1).all()
     twice = module.score(docs.repartition(5), module.train(docs.repartition(3), labels)).toPandas()
     assert np.allclose(all_scores.sort_values("doc_id")["score"], twice.sort_values("doc_id")["score"])
