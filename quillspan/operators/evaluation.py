@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def query_scores(results: DataFrame, labels: DataFrame, k: int = 10) -> DataFrame:
+def query_scores(results: DataFrame, labels: DataFrame, k: int = 10, documents: DataFrame | None = None) -> DataFrame:
     """query_id, best_rank, found, n_labels, hit, recall, rr of results (query_id, document_id, rank).
 
-    labels: (query_id, label). best_rank looks at the whole list, the others at the first k.
+    labels: (query_id, label), ids; where by_id is false, titles, which any of ``documents`` (id, title) of that very title
+    meets. best_rank looks at the whole list, the others at the first k.
     """
-    wanted = labels.select("query_id", "label").distinct()
+    found = results.select("query_id", "rank", F.col("document_id").alias("label"))
+    if documents is not None:
+        named = results.join(documents.select(F.col("id").alias("document_id"), "title"), "document_id")
+        found = found.withColumn("by_id", F.lit(True)).unionByName(named.select("query_id", "rank", F.col("title").alias("label"), F.lit(False).alias("by_id")))
+    on = [c for c in ("query_id", "label", "by_id") if c in found.columns]
+    wanted = labels.select(*on).distinct()
     n = wanted.groupBy("query_id").agg(F.count("*").alias("n_labels"))
-    met = results.join(wanted, (results["query_id"] == wanted["query_id"]) & (results["document_id"] == wanted["label"])).select(results["query_id"], "label", "rank")
+    met = found.join(wanted, on).select("query_id", "label", "rank")
     best = met.groupBy("query_id").agg(F.min("rank").alias("best_rank"), F.count_distinct(F.when(F.col("rank") <= k, F.col("label"))).alias("found"))
     rows = n.join(best, "query_id", "left").withColumn("found", F.coalesce("found", F.lit(0).cast("long")))
     hit = F.coalesce(F.col("best_rank") <= k, F.lit(False))

@@ -6,14 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def latest(incoming: DataFrame, key: str = "id", guard: str | None = "updated_at") -> DataFrame:
+    """One row a key: the newest by the guard, of equal ones the greatest by a digest of the whole row. Rows without a key are left out."""
+    columns = [F.col(f"`{c}`") for c in incoming.columns]
+    digest = F.xxhash64(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+    order = F.struct(*([F.col(f"`{guard}`")] if guard else []), digest)  # nulls are the least
+    newest = incoming.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("row"))
+    return newest.select("row.*")
+
+
 def classify(stored: DataFrame, incoming: DataFrame, key: str = "id", guard: str | None = "updated_at") -> DataFrame:
     """key and action (inserted, updated, unchanged, kept). With a guard, equal ones (nulls too) are unchanged.
 
-    Incoming rows without a key are skipped; the last of equal keys isn't known, so one of them must be given.
+    Incoming rows without a key are skipped, and rows of one key count once (see ``latest``).
     """
     columns = [key] if guard is None else [key, guard]
     o = stored.select(*columns, F.lit(1).alias("have")).alias("o")
-    n = incoming.filter(F.col(key).isNotNull()).select(*columns, F.lit(1).alias("got")).alias("n")
+    n = latest(incoming, key, guard).select(*columns, F.lit(1).alias("got")).alias("n")
     joined = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
     same = F.lit(False) if guard is None else F.col(f"o.{guard}").eqNullSafe(F.col(f"n.{guard}"))
     action = F.when(F.col("got").isNull(), "kept").when(F.col("have").isNull(), "inserted").when(same, "unchanged").otherwise("updated")
@@ -22,7 +31,7 @@ def classify(stored: DataFrame, incoming: DataFrame, key: str = "id", guard: str
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str = "id", guard: str | None = "updated_at", insert_only: tuple[str, ...] = ("source_account_id",)) -> DataFrame:
     """The new snapshot. Columns of ``insert_only`` keep what was stored when a row is updated."""
-    o, n = stored.withColumn("have", F.lit(True)).alias("o"), incoming.filter(F.col(key).isNotNull()).withColumn("got", F.lit(True)).alias("n")
+    o, n = stored.withColumn("have", F.lit(True)).alias("o"), latest(incoming, key, guard).withColumn("got", F.lit(True)).alias("n")
     joined = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
     same = F.lit(False) if guard is None else F.col(f"o.{guard}").eqNullSafe(F.col(f"n.{guard}"))
     old = F.col("got").isNull() | (F.col("have").isNotNull() & same)
@@ -77,10 +86,16 @@ def failure_counts(log: DataFrame, documents: DataFrame) -> DataFrame:
     return log.join(documents, log["document_id"] == documents["id"], "left_semi").groupBy("status").agg(F.count("*").alias("n"))
 
 
-def replace_transcript(stored: DataFrame, fresh: DataFrame, documents: DataFrame) -> DataFrame:
-    """Transcripts of the fresh rows' documents replaced whole; unknown documents and rows without an id are skipped."""
-    good = fresh.filter("id is not null").join(documents.select(F.col("id").alias("document_id")), "document_id", "left_semi")
-    return replace_children(stored, good, good.select("document_id"))
+def replace_transcript(stored: DataFrame, fresh: DataFrame, documents: DataFrame, fetched: DataFrame | None = None) -> DataFrame:
+    """Transcripts replaced whole; unknown documents and rows without an id are skipped.
+
+    fetched: document_id of all that were asked for, so that one that came back empty loses its old rows; None takes
+    the documents that have fresh rows.
+    """
+    known = documents.select(F.col("id").alias("document_id"))
+    good = fresh.filter("id is not null").join(known, "document_id", "left_semi")
+    asked = good if fetched is None else fetched.join(known, "document_id", "left_semi")
+    return replace_children(stored, good, asked.select("document_id"))
 
 
 def stamp(metadata: DataFrame, entity: str, at: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import speaker_label
+from quillspan.operators.ingest import transfer_decision
 
 
 def json_rows(df: DataFrame) -> DataFrame:
@@ -56,10 +57,16 @@ def record_run(metrics: DataFrame, ledger: str, runs: str, name: str) -> str:
     return path
 
 
-def copy_tables(spark: SparkSession, names: list[str], source: str, target: str) -> None:
-    """Replicate stored tables; what may be overwritten is for ``ingest.transfer_decision`` to say."""
-    for name in names:
+def copy_tables(spark: SparkSession, names: list[str], source: str, target: str, hashes: dict[str, tuple[str, str | None, str | None]], force: bool = False) -> dict[str, str]:
+    """Replicate stored tables where ``ingest.transfer_decision`` lets them go (or ``force``); returns what it said of each.
+
+    hashes: each table's content hash at the source, at the target (null: none there) and at the last copy.
+    """
+    rows = spark.createDataFrame([(n, *hashes[n]) for n in names], "name string, source string, target string, synced string")
+    said = {r["name"]: r["d"] for r in rows.select("name", transfer_decision(F.col("source"), F.col("target"), F.col("synced")).alias("d")).collect()}  # a row a table
+    for name in [n for n in names if said[n] == "proceed" or force]:
         spark.read.parquet(f"{source}/{name}").write.mode("overwrite").parquet(f"{target}/{name}")
+    return said
 
 
 def content_hashes(spark: SparkSession, path: str, block: int = 4 << 20) -> DataFrame:

@@ -792,10 +792,12 @@ def sync_stats(t: Tables) -> DataFrame:
     return stats.sync_stats(t.documents(), t.utterances(), t.panels())
 
 
-@query("SELECT '2024-03-02T00:00:00Z' AS stamp")
+@query("SELECT strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM events WHERE event_id % 4 < 2")
 def freshness(t: Tables) -> DataFrame:
-    rows = [("last_sync_documents", "2024-03-01T10:00:00+00:00"), ("last_sync_panels", "not a time"), ("last_sync_transcripts", "2024-03-02T00:00:00Z"), ("last_sync_people", "2025-01-01T00:00:00Z")]
-    return stats.newest_stamp(t.spark.createDataFrame(rows, "key string, value string"))
+    """Events as syncs: of documents, transcripts and people, and of panels with a stamp that can't be read."""
+    kind = F.element_at(F.array(*map(F.lit, ("documents", "transcripts", "people", "panels"))), (F.col("event_id") % 4 + 1).cast("int"))
+    stamp = F.when(kind == "panels", "not a time").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return stats.newest_stamp(t.raw("events").select(F.concat(F.lit("last_sync_"), kind).alias("key"), stamp.alias("value")))
 
 
 # ---- retrieval quality: a document is relevant to a query vector if its best chunk has the same label

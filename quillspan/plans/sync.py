@@ -1,6 +1,7 @@
 """A full sync: every entity's landing zone upserted into the store, then transcripts, panels and the index.
 
-An entity that fails is reported and the others go on. Every entity that succeeds stamps its time.
+An entity that fails is reported and the others go on. Every entity that succeeds stamps its time. The first account ever
+seen is filled in where rows have none.
 """
 
 from __future__ import annotations
@@ -11,9 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.operators import ingest
+from quillspan.plans import index
 from quillspan.sources import landing
 from quillspan.sources.store import Store
 
+#: Tables whose rows name the account that they came from.
+OF_ACCOUNTS = ("documents", "people", "calendars", "events", "templates", "recipes")
+#: Where failed fetches of each kind are logged.
+LOGS = {"utterances": "sync_log", "panels": "panel_sync_log"}
 #: Entities whose rows are compared by updated_at; the others are always taken.
 GUARDED = {"documents", "templates", "recipes"}
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -51,9 +57,26 @@ def stamp(store: Store, entity: str, at: str) -> None:
     store.write("metadata", ingest.stamp(store.read("metadata"), entity, at))
 
 
-def full_sync(store: Store, landing_root: str, at: str, account: str | None = None, only: list[str] | None = None) -> dict[str, dict]:
-    """Sync all entities (or ``only`` some) from ``<landing_root>/<entity>``; returns each one's counts or error."""
+def see_account(store: Store, account: str, user: str | None, email: str | None, at: str) -> None:
+    """Log an account; if it is the first ever, rows stored without one become its own."""
+    known = store.read("accounts")
+    if known.isEmpty():
+        for name in OF_ACCOUNTS:
+            rows = store.read(name)
+            if not rows.filter("source_account_id is null").isEmpty():
+                store.write(name, ingest.backfill_account(rows, known, account))
+    store.write("accounts", ingest.log_account(known, account, user, email, at))
+
+
+def full_sync(store: Store, landing_root: str, at: str, account: str | None = None, only: list[str] | None = None, user: str | None = None, email: str | None = None, chat_host: str | None = None, embedder: tuple[Callable, str, int] | None = None) -> dict[str, dict]:
+    """Sync all entities (or ``only`` some) from ``<landing_root>/<entity>``; returns each one's counts or error.
+
+    embedder: what makes the model, its name and its width; with it the index is brought up to date at the end.
+    ``<landing_root>/fetched`` may list (document_id, kind, status) of what was asked for, status being null where it came.
+    """
     out: dict[str, dict] = {}
+    if account is not None:
+        see_account(store, account, user, email, at)
     for name in only or [*READERS, "calendars", "utterances", "panels"]:
         path = f"{landing_root}/{name}"
         try:
@@ -61,9 +84,9 @@ def full_sync(store: Store, landing_root: str, at: str, account: str | None = No
                 store.write("calendars", ingest.upsert_calendars(store.read("calendars"), _calendar_rows(store, landing.selected_calendars(store.spark, path))))
                 out[name] = {}
             elif name == "utterances":
-                out[name] = _children(store, "utterances", landing.transcript(store.spark, path))
+                out[name] = _children(store, "utterances", landing.transcript(store.spark, path), landing.fetched(store.spark, landing_root, "transcript"), at)
             elif name == "panels":
-                out[name] = _children(store, "panels", landing.panels(store.spark, path))
+                out[name] = _children(store, "panels", landing.panels(store.spark, path, chat_host), landing.fetched(store.spark, landing_root, "panels"), at)
             else:
                 incoming = READERS[name](store.spark, path)
                 if name == "documents" and (warning := ingest.empty_account(incoming.count(), store.read("documents"))):
@@ -71,31 +94,42 @@ def full_sync(store: Store, landing_root: str, at: str, account: str | None = No
                 out[name] = sync_entity(store, name, incoming, account)
             stamp(store, {"utterances": "transcripts"}.get(name, name), at)
         except Exception as e:  # noqa: BLE001  an entity's errors must not stop the others
-            out[name] = {"error": str(e).splitlines()[0] if str(e) else type(e).__name__}
+            out[name] = _error(e)
+    if embedder is not None:
+        try:
+            out["index"] = index.refresh(store, *embedder)
+        except Exception as e:  # noqa: BLE001  what was synced stays
+            out["index"] = _error(e)
     return out
 
 
+def _error(e: Exception) -> dict[str, str]:
+    return {"error": str(e).splitlines()[0] if str(e) else type(e).__name__}
+
+
 def _calendar_rows(store: Store, incoming: DataFrame) -> DataFrame:
     stored = store.read("calendars")
     return incoming.select("selected", *[(F.col(f"`{f.name}`") if f.name in incoming.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in stored.schema])
 
 
-def _children(store: Store, name: str, fresh: DataFrame) -> dict[str, int]:
-    """Transcripts or panels of the fresh rows' documents, replaced whole."""
+def _children(store: Store, name: str, fresh: DataFrame, asked: DataFrame | None, at: str) -> dict[str, int]:
+    """Transcripts or panels replaced whole: of the documents that were asked for and came, or of those with fresh rows."""
     stored, documents = store.read(name), store.read("documents")
     rows = fresh.select(*[(F.col(f"`{f.name}`") if f.name in fresh.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in stored.schema])
-    store.write(name, ingest.replace_transcript(stored, rows, documents))
-    log = store.read("sync_log")
-    store.write("sync_log", ingest.redo_log(log, rows.limit(0).selectExpr("document_id", "'' as status", "current_timestamp() as at"), rows.select("document_id").distinct()))
+    came = rows.select("document_id").distinct() if asked is None else asked.filter("status is null").select("document_id").distinct()
+    store.write(name, ingest.replace_transcript(stored, rows, documents, came))
+    failed = rows.limit(0).selectExpr("document_id", "'' as status") if asked is None else asked.filter("status is not null").select("document_id", "status")
+    log = LOGS[name]
+    store.write(log, ingest.redo_log(store.read(log), failed.withColumn("at", F.try_to_timestamp(F.lit(at))), came))
     return {"documents": rows.select("document_id").distinct().count()}
 
 
 def work_list(store: Store, retry: bool = False) -> DataFrame:
     """Documents whose transcripts or panels are to be fetched; logged failures only to ``retry`` them."""
-    log = None if retry else store.read("sync_log")
+    logs = {name: None if retry else store.read(log) for name, log in LOGS.items()}
     documents = store.read("documents")
-    transcripts = ingest.without_transcripts(documents, store.read("utterances"), log).select("id", F.lit("transcript").alias("kind"))
-    return transcripts.unionByName(ingest.without_panels(documents, store.read("panels"), log).select("id", F.lit("panels").alias("kind")))
+    transcripts = ingest.without_transcripts(documents, store.read("utterances"), logs["utterances"]).select("id", F.lit("transcript").alias("kind"))
+    return transcripts.unionByName(ingest.without_panels(documents, store.read("panels"), logs["panels"]).select("id", F.lit("panels").alias("kind")))
 
 
 def accounts_seen(store: Store) -> DataFrame:

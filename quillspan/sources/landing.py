@@ -1,26 +1,34 @@
-"""Readers of JSON landing zones, one for each response of the upstream service, and of golden sets."""
+"""Readers of JSON landing zones, one for each response of the upstream service, and of golden sets.
+
+A nested value that is stored as JSON is declared a string: Spark then keeps its text as it stands.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.functions.text import chat_url, redacted, without_chat_line
 from quillspan.functions.tiptap import tiptap_markdown
 from quillspan.sources.schemas import GOLDEN, PEOPLE
 
 _EVENT_TIME = "struct<dateTime: string, date_time: string, timeZone: string>"
-DOCUMENTS = "docs array<struct<id: string, title: string, created_at: string, updated_at: string, deleted_at: string, `type`: string, notes_plain: string, notes_markdown: string, summary: string>>"
-EVENTS = f"results struct<events: array<struct<id: string, summary: string, start: {_EVENT_TIME}, end: {_EVENT_TIME}, calendarId: string, calendar_id: string, status: string>>>"
+DOCUMENTS = "docs array<struct<id: string, title: string, created_at: string, updated_at: string, deleted_at: string, `type`: string, notes_plain: string, notes_markdown: string, summary: string, people: string, google_calendar_event: string>>"
+EVENTS = f"results struct<events: array<struct<id: string, summary: string, start: {_EVENT_TIME}, end: {_EVENT_TIME}, calendarId: string, calendar_id: string, status: string, attendees: string, description: string>>>"
 UTTERANCE = "id string, document_id string, start_timestamp string, end_timestamp string, text string, source string, is_final boolean, detected_speaker_name string"
 PERSON = "id string, name string, email string, company_name string, job_title string"
-PANEL = "id string, document_id string, title string, content string, template_slug string, created_at string, updated_at string, deleted_at string"
-TEMPLATE = "id string, title string, category string, symbol string, color string, description string, created_at string, updated_at string, deleted_at string"
-_RECIPE = "array<struct<id: string, slug: string, visibility: string, publisher_slug: string, creator_name: string, created_at: string, updated_at: string, deleted_at: string>>"
+PANEL = "id string, document_id string, title string, content string, original_content string, generated_lines string, suggested_questions string, template_slug string, created_at string, updated_at string, deleted_at string"
+TEMPLATE = "id string, title string, category string, symbol string, color string, description string, sections string, {builtin} boolean, created_at string, updated_at string, deleted_at string"
+_RECIPE = "array<struct<id: string, slug: string, visibility: string, publisher_slug: string, creator_name: string, config: string, created_at: string, updated_at: string, deleted_at: string>>"
 #: Buckets of the recipe response, and the visibility of recipes that name none.
 RECIPE_BUCKETS = {"defaultRecipes": "default", "publicRecipes": "public", "sharedRecipes": "shared", "userRecipes": "user", "unlistedRecipes": "unlisted"}
 RECIPES = ", ".join(f"{b} {_RECIPE}" for b in RECIPE_BUCKETS)
+#: Bulky fields of a panel and of an utterance, noted as stored in what is kept of a response.
+PANEL_BULK = {"content", "original_content", "generated_lines", "suggested_questions"}
+UTTERANCE_BULK = {"text"}
 CALENDARS = "calendars_selected map<string, boolean>, enabled_calendars array<struct<id: string, provider: string, `primary`: boolean, accessRole: string, summary: string, backgroundColor: string>>"
 
 
@@ -33,7 +41,7 @@ def _instants(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    rows = _json(spark, path, DOCUMENTS).select(F.explode("docs").alias("d")).select("d.*").withColumnRenamed("type", "doc_type")
+    rows = _json(spark, path, DOCUMENTS).select(F.explode("docs").alias("d")).select("d.*").withColumnsRenamed({"type": "doc_type", "people": "people_json", "google_calendar_event": "event_json"})
     return _instants(rows, "created_at", "updated_at", "deleted_at").withColumn("title", F.coalesce("title", F.lit("")))
 
 
@@ -59,25 +67,45 @@ def events(spark: SparkSession, path: str) -> DataFrame:
         F.try_to_timestamp(F.coalesce("e.end.dateTime", "e.end.date_time")).alias("end_time"),
         F.coalesce("e.calendarId", "e.calendar_id").alias("calendar_id"),
         "e.status",
+        F.col("e.attendees").alias("attendees_json"),
+        "e.description",
     )
 
 
-def templates(spark: SparkSession, path: str) -> DataFrame:
-    return _instants(_json(spark, path, TEMPLATE), "created_at", "updated_at", "deleted_at")
+def templates(spark: SparkSession, path: str, builtin: str = "is_builtin") -> DataFrame:
+    """builtin: the response's field that says whether a template is the service's own."""
+    rows = _json(spark, path, TEMPLATE.format(builtin=f"`{builtin}`")).withColumnsRenamed({builtin: "is_builtin", "sections": "sections_json"})
+    return _instants(rows, "created_at", "updated_at", "deleted_at")
 
 
-def panels(spark: SparkSession, path: str) -> DataFrame:
-    return _instants(_json(spark, path, PANEL), "created_at", "updated_at", "deleted_at").withColumn("content_markdown", tiptap_markdown("content"))
+def panels(spark: SparkSession, path: str, chat_host: str | None = None) -> DataFrame:
+    """Panels as Markdown; a line that links to ``chat_host`` is cut off and its address kept as chat_url."""
+    raw = _json(spark, path, PANEL)
+    rows = raw.withColumns({"content_json": F.col("content"), "content_markdown": tiptap_markdown("content"), "api_snapshot": redacted(raw.columns, PANEL_BULK)})
+    if chat_host is not None:
+        rows = rows.withColumns({"chat_url": chat_url(F.col("content_markdown"), chat_host), "content_markdown": without_chat_line(F.col("content_markdown"), chat_host)})
+    return _instants(rows.drop(*PANEL_BULK), "created_at", "updated_at", "deleted_at")
 
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
     raw = _json(spark, path, RECIPES)
     parts = [raw.select(F.explode(b).alias("r")).select("r.*").withColumn("visibility", F.coalesce("visibility", F.lit(v))) for b, v in RECIPE_BUCKETS.items()]
-    return _instants(reduce(DataFrame.unionByName, parts), "created_at", "updated_at", "deleted_at")
+    return _instants(reduce(DataFrame.unionByName, parts).withColumnRenamed("config", "config_json"), "created_at", "updated_at", "deleted_at")
 
 
 def transcript(spark: SparkSession, path: str) -> DataFrame:
-    return _instants(_json(spark, path, UTTERANCE), "start_timestamp", "end_timestamp").withColumnRenamed("detected_speaker_name", "speaker_name")
+    raw = _json(spark, path, UTTERANCE)
+    rows = raw.withColumns({"api_snapshot": redacted(raw.columns, UTTERANCE_BULK), "transcript_source": F.lit("api")})
+    return _instants(rows, "start_timestamp", "end_timestamp").withColumnRenamed("detected_speaker_name", "speaker_name")
+
+
+def fetched(spark: SparkSession, root: str, kind: str) -> DataFrame | None:
+    """document_id and status (null: it came) of the documents whose ``kind`` was asked for; None where no list was left."""
+    try:
+        rows = _json(spark, f"{root}/fetched", "document_id string, kind string, status string")
+    except AnalysisException:  # no such folder
+        return None
+    return rows.filter(F.col("kind") == kind).select("document_id", "status")
 
 
 def document_people(documents: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ VERSION = 1
 TABLES = {
     "documents": "id string, title string, created_at timestamp, updated_at timestamp, deleted_at timestamp, doc_type string, notes_plain string, notes_markdown string, summary string, people_json string, event_json string, extra_json string, raw_json string, source_account_id string",
     "utterances": "id string, document_id string, start_timestamp timestamp, end_timestamp timestamp, text string, transcript_source string, source string, is_final boolean, api_snapshot string, speaker_name string",
-    "panels": "id string, document_id string, title string, content_json string, content_markdown string, template_slug string, created_at timestamp, updated_at timestamp, deleted_at timestamp, chat_url string",
+    "panels": "id string, document_id string, title string, content_json string, content_markdown string, template_slug string, created_at timestamp, updated_at timestamp, deleted_at timestamp, chat_url string, api_snapshot string",
     "people": "id string, name string, email string, company_name string, job_title string, extra_json string, source_account_id string",
     "document_people": "document_id string, email string, full_name string, role string, source string",
     "calendars": "id string, provider string, `primary` boolean, access_role string, summary string, background_color string, source_account_id string",
@@ -22,6 +22,7 @@ TABLES = {
     "embeddings": "source_type string, source_id string, vector array<float>",
     "metadata": "key string, value string",
     "sync_log": "document_id string, status string, last_attempted_at timestamp, attempts int",
+    "panel_sync_log": "document_id string, status string, last_attempted_at timestamp, attempts int",
     "accounts": "account_id string, user_id string, email string, first_seen_at timestamp",
 }
 

@@ -6,7 +6,7 @@ snapshot; readers take the snapshot that the pointer names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -41,10 +41,7 @@ class SnapshotSink:
         """For foreachBatch. Of equal keys in a batch the latest by the guard counts."""
         if n <= self.current():
             return
-        order = F.col(self.guard).desc_nulls_last() if self.guard else F.lit(0)
-        w = Window.partitionBy(self.key).orderBy(order)
-        latest = batch.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
-        upsert(self.read(), latest, self.key, self.guard, insert_only=()).write.mode("overwrite").parquet(f"{self.root}/{n}/rows")
+        upsert(self.read(), batch, self.key, self.guard, insert_only=()).write.mode("overwrite").parquet(f"{self.root}/{n}/rows")
         if self.text:
             rows = self.spark.read.parquet(f"{self.root}/{n}/rows").select(F.col(self.key).alias("document_id"), F.col(self.key).alias("row_id"), F.col(self.text).alias("text"))
             postings(rows).sort("term").write.mode("overwrite").parquet(f"{self.root}/{n}/postings")

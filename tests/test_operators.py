@@ -356,6 +356,66 @@ def test_sync_and_index(spark, tmp_path):
     assert store.read("chunks").isEmpty()
 
 
+def test_sync_of_people_panels_and_accounts(spark, tmp_path):
+    from quillspan.operators import listing
+    from quillspan.plans import sync
+    from quillspan.sources.store import Store
+
+    zone = tmp_path / "zone"
+
+    def put(name, value):
+        (zone / name).mkdir(parents=True, exist_ok=True)
+        (zone / name / "r.json").write_text(json.dumps(value))
+
+    person = lambda email, full: {"email": email, "details": {"person": {"name": {"fullName": full}}}}
+    at = "2025-06-15T10:00:00Z"
+    doc = {"id": "d1", "title": "T", "created_at": at, "updated_at": at, "notes_plain": "A paragraph that is long enough.", "people": {"creator": {"name": "Al", "email": "a@x"}, "attendees": [person("b@x", "Bob Full")]}, "google_calendar_event": {"id": "e"}}
+    put("documents", {"docs": [doc, doc, {"id": "d2", "title": "U", "created_at": at, "updated_at": at}]})
+    put("templates", [{"id": "t", "title": "t", "is_builtin": True, "sections": [{"title": "s"}]}])
+    put("recipes", {"userRecipes": [{"id": "r", "config": {"model": "m"}}]})
+    put("events", {"results": {"events": [{"id": "e", "attendees": [{"email": "b@x"}], "description": "why"}]}})
+    put("utterances", [{"id": "u", "document_id": "d1", "text": "hello", "source": "system", "detected_speaker_name": "Bob"}])
+    link = {"type": "text", "text": "chat", "marks": [{"type": "link", "attrs": {"href": "https://chat.example/t/1"}}]}
+    put("panels", [{"id": "p", "document_id": "d1", "content": {"type": "doc", "content": [{"type": "paragraph", "content": [{"type": "text", "text": "hi"}]}, {"type": "paragraph", "content": [link]}]}}])
+    put("fetched", [{"document_id": "d1", "kind": "transcript"}, {"document_id": "d2", "kind": "transcript", "status": "not_found"}, {"document_id": "d1", "kind": "panels"}])
+    store = Store(spark, str(tmp_path / "store"))
+    store.write("people", spark.createDataFrame([("old",)], "id string"))
+    got = sync.full_sync(store, str(zone), at, account="acc", chat_host="chat.example", embedder=(lambda: embed.byte_embedder(8), "bytes", 8))
+    assert got["documents"] == {"inserted": 2, "updated": 0, "unchanged": 0} and got["index"]["failed"] == 0
+    assert {(r["document_id"], r["full_name"], r["role"]) for r in store.read("document_people").collect()} == {("d1", "Al", "creator"), ("d1", "Bob Full", "attendee")}
+    assert [r["id"] for r in listing.meetings_with(store.read("documents"), store.read("document_people"), "bob").collect()] == ["d1"]
+    assert json.loads(store.read("documents").filter("id = 'd1'").first()["event_json"]) == {"id": "e"}
+    t, r, e = (store.read(n).first() for n in ("templates", "recipes", "events"))
+    assert t["is_builtin"] and json.loads(t["sections_json"]) == [{"title": "s"}] and json.loads(r["config_json"]) == {"model": "m"}
+    assert json.loads(e["attendees_json"]) == [{"email": "b@x"}] and e["description"] == "why"
+    p = store.read("panels").first()
+    assert p["content_markdown"] == "hi" and p["chat_url"] == "https://chat.example/t/1" and json.loads(p["api_snapshot"])["content"] == "[stored]"
+    u = store.read("utterances").first()
+    assert json.loads(u["api_snapshot"])["text"] == "[stored]" and json.loads(u["api_snapshot"])["detected_speaker_name"] == "Bob" and u["text"] == "hello"
+    assert store.read("people").first()["source_account_id"] == "acc" and [a["account_id"] for a in sync.accounts_seen(store).collect()] == ["acc"]
+    assert [(x["document_id"], x["status"], x["attempts"]) for x in store.read("sync_log").collect()] == [("d2", "not_found", 1)]
+    assert {(x["id"], x["kind"]) for x in sync.work_list(store).collect()} == {("d2", "panels")}
+    put("utterances", [])  # d1's transcript comes back empty
+    sync.full_sync(store, str(zone), at, account="later", only=["utterances"])
+    assert store.read("utterances").isEmpty() and store.read("people").first()["source_account_id"] == "acc"
+
+
+def test_repeated_keys_titles_and_copies(spark, tmp_path):
+    stored = spark.createDataFrame([("a", "1", "x")], "id string, updated_at string, v string")
+    incoming = spark.createDataFrame([("a", "2", "y"), ("a", "3", "z"), ("a", "3", "z"), ("b", None, "n"), (None, "9", "q")], stored.schema)
+    assert {(r["id"], r["action"]) for r in ingest.classify(stored, incoming).collect()} == {("a", "updated"), ("b", "inserted")}
+    assert {(r["id"], r["v"]) for r in ingest.upsert(stored, incoming).collect()} == {("a", "z"), ("b", "n")}
+    results = spark.createDataFrame([(1, "d1", 1), (1, "d2", 2), (2, "d1", 1)], "query_id int, document_id string, rank int")
+    labels = spark.createDataFrame([(1, "U", False), (2, "d1", True), (2, "d9", True)], "query_id int, label string, by_id boolean")
+    documents = spark.createDataFrame([("d1", "d9"), ("d2", "U")], "id string, title string")  # a title that is another's id
+    scores = {r["query_id"]: (r["best_rank"], r["found"], r["n_labels"]) for r in evaluation.query_scores(results, labels, documents=documents).collect()}
+    assert scores == {1: (2, 1, 1), 2: (1, 1, 2)}
+    for name in ("new", "same", "both"):
+        stored.write.parquet(f"{tmp_path}/from/{name}")
+    said = sinks.copy_tables(spark, ["new", "same", "both"], f"{tmp_path}/from", f"{tmp_path}/to", {"new": ("h", None, None), "same": ("h", "h", "h"), "both": ("h", "i", "j")})
+    assert said == {"new": "proceed", "same": "up_to_date", "both": "diverged"} and [p.name for p in (tmp_path / "to").iterdir()] == ["new"]
+
+
 def test_messages():
     from quillspan.plans import messages
 
