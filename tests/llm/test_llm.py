@@ -237,6 +237,8 @@ def test_embedding_links_by_brute_force(spark):
     odd = [(1, None), (2, [0.0] * 32), (3, [float("nan")] + [1.0] * 31), (4, [None] + [1.0] * 31), (5, []), (6, rows[0][1]), (7, [1e38] * 3), (8, [1e38] * 3), (9, [float("inf")] * 32)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
     got = embeddings.near_duplicates(df).toPandas().set_index("vec_id")
+    cut = embeddings.near_duplicates(df, at_once=5).toPandas().set_index("vec_id")  # lists over several blocks
+    assert cut.loc[got.index, "n_links"].tolist() == got["n_links"].tolist()
     u = np.concatenate([x, x[:1]]).astype(float)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     ids = [i for i, _ in rows] + [6]
