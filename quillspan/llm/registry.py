@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import chains, decontaminate, embeddings, mixing, neardup, pii, quality, suffixes, toxicity, urls
+from quillspan.llm import chains, decontaminate, embeddings, mixing, neardup, pii, quality, suffixes, toxicity, urls, variants
 
 #: Fixed values of the queries.
 MIX_WEIGHTS = [5, 2, 1]
@@ -69,6 +69,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_quality, op3_embeddings, op4_chains, op5_pseudonyms, op6_urls, op7_suffixes, op8_toxicity, op9_minhash, op10_decontamination, pipeline)
+    for f in (op1_mixing, op2_quality, op3_embeddings, op4_chains, op5_pseudonyms, op6_urls, op7_suffixes, op8_toxicity, op9_minhash, op10_decontamination, op11_variants, pipeline)
 }
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -137,6 +141,36 @@ links AS (SELECT x AS a, y AS b FROM near UNION ALL SELECT y, x FROM near),
 reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT links.b, reach.c FROM reach JOIN links ON links.a = reach.doc_id),
 comp AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, component_id, doc_id = component_id AS kept FROM comp""",
+    "op11_variants": r"""
+WITH RECURSIVE steps AS (
+  SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256))),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+summed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+      flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(unicode(c) AS BIGINT) - 64] END))),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM counted, steps),
+cut AS (
+  SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM summed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+places AS (SELECT word, unnest(range(length(word))) AS i FROM words),
+keys AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS key FROM places),
+near AS (
+  SELECT a.word AS a, b.word AS b FROM keys a JOIN keys b ON a.key = b.key AND a.i = b.i AND a.word <> b.word
+  UNION SELECT keys.word, words.word FROM keys JOIN words ON keys.key = words.word
+  UNION SELECT words.word, keys.word FROM keys JOIN words ON keys.key = words.word),
+best AS (
+  SELECT near.a AS word, count(*) AS n_near, arg_min(w.word, (-w.n, w.word)) AS form, max(w.n) AS form_n FROM near JOIN words w ON w.word = near.b GROUP BY near.a),
+formed AS (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * words.n THEN form END AS form, CASE WHEN form_n >= 10 * words.n THEN form_n END AS form_n
+  FROM words LEFT JOIN best ON words.word = best.word),
+follow(word, root, step) AS (
+  SELECT word, word, 0 FROM words UNION ALL SELECT follow.word, formed.form, step + 1 FROM follow JOIN formed ON formed.word = follow.root WHERE formed.form IS NOT NULL)
+SELECT word, form, (SELECT arg_max(f.root, f.step) FROM follow f WHERE f.word = formed.word) AS root, n, n_near, form_n FROM formed""",
     "op6_urls": rf"""
 WITH parts AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {_LETTERS}), '') AS host,
