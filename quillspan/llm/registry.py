@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import chains, decontaminate, embeddings, mixing, neardup, pii, quality, suffixes, toxicity, urls, variants
+from quillspan.llm import chains, decontaminate, embeddings, extraction, mixing, neardup, pii, quality, suffixes, toxicity, urls, variants
 
 #: Fixed values of the queries.
 MIX_WEIGHTS = [5, 2, 1]
@@ -73,6 +73,10 @@ def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(_table(spark, sf_dir, "documents"))
 
 
+def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_quality, op3_embeddings, op4_chains, op5_pseudonyms, op6_urls, op7_suffixes, op8_toxicity, op9_minhash, op10_decontamination, op11_variants, pipeline)
+    for f in (op1_mixing, op2_quality, op3_embeddings, op4_chains, op5_pseudonyms, op6_urls, op7_suffixes, op8_toxicity, op9_minhash, op10_decontamination, op11_variants, op12_extraction, pipeline)
 }
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -171,6 +175,16 @@ formed AS (
 follow(word, root, step) AS (
   SELECT word, word, 0 FROM words UNION ALL SELECT follow.word, formed.form, step + 1 FROM follow JOIN formed ON formed.word = follow.root WHERE formed.form IS NOT NULL)
 SELECT word, form, (SELECT arg_max(f.root, f.step) FROM follow f WHERE f.word = formed.word) AS root, n, n_near, form_n FROM formed""",
+    # what the rules come to on pages that have one article each, with no other markup in it than headings, paragraphs, bold and breaks
+    "op12_extraction": r"""
+WITH article AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS a FROM pages),
+cut AS (
+  SELECT page_id, url, string_split(regexp_replace(regexp_replace(replace(a, '<br>', ' '), '</?b>', '', 'g'), '</?(?:p|h1)>', chr(1), 'g'), chr(1)) AS b FROM article),
+plain AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(b, lambda x:
+      trim(regexp_replace(regexp_replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM cut)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM plain""",
     "op6_urls": rf"""
 WITH parts AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {_LETTERS}), '') AS host,
