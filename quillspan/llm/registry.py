@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import chains, decontaminate, embeddings, extraction, mixing, neardup, pii, quality, suffixes, toxicity, urls, variants
+from quillspan.llm import chains, collocations, decontaminate, embeddings, extraction, mixing, neardup, pii, quality, suffixes, toxicity, urls, variants
 
 #: Fixed values of the queries.
 MIX_WEIGHTS = [5, 2, 1]
@@ -77,6 +77,10 @@ def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(_table(spark, sf_dir, "pages"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_quality, op3_embeddings, op4_chains, op5_pseudonyms, op6_urls, op7_suffixes, op8_toxicity, op9_minhash, op10_decontamination, op11_variants, op12_extraction, pipeline)
+    for f in (op1_mixing, op2_quality, op3_embeddings, op4_chains, op5_pseudonyms, op6_urls, op7_suffixes, op8_toxicity, op9_minhash, op10_decontamination, op11_variants, op12_extraction, op13_collocations, pipeline)
 }
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -185,6 +189,26 @@ plain AS (
   SELECT page_id, url, array_to_string(list_filter(list_transform(b, lambda x:
       trim(regexp_replace(regexp_replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM cut)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM plain""",
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 5) AS r(k) WHERE len(w) >= k),
+freq AS (SELECT lang, w[i:i + k - 1] AS g, k, count(*) AS f FROM places GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM freq WHERE k = 1 GROUP BY lang),
+cands AS (SELECT * FROM freq WHERE k >= 2 AND f >= 30),
+inner_parts AS (
+  SELECT lang, f, g[i:i + s - 1] AS part FROM (SELECT lang, f, g, k, s, unnest(range(1, k - s + 2)) AS i FROM cands, range(2, 4) AS r(s) WHERE s < k)),
+covered AS (SELECT lang, part, max(f) AS inside FROM inner_parts GROUP BY lang, part),
+kept AS (SELECT c.* FROM cands c LEFT JOIN covered v ON v.lang = c.lang AND v.part = c.g WHERE inside IS NULL OR 100 * inside < 80 * f),
+cuts AS (
+  SELECT c.lang, c.g, c.f AS a, j, l.f AS l, r.f AS r, CAST(2000000 * CAST(c.f AS HUGEINT) // (l.f + r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM kept) c
+  JOIN freq l ON l.lang = c.lang AND l.g = c.g[1:j] JOIN freq r ON r.lang = c.lang AND r.g = c.g[j + 1:c.k]),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+ranked AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM weakest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
     "op6_urls": rf"""
 WITH parts AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {_LETTERS}), '') AS host,
