@@ -8,8 +8,8 @@ First pass: link density, length and stop-word density decide a block alone. Man
 good if it has stop words, or in an article or main element; text of middle length is good if it has many stop
 words. Short blocks, and headings, are not decided. Second pass: these inherit the label of the nearest decided
 block of the same article (of the page, where there is none: then its two ends count as bad blocks). At equal
-distance to a good and a bad one, what is in an article and headings are good. An article without a good block
-keeps all its undecided ones.
+distance to a good and a bad one, what is in an article and headings are good; in an article, what holds no link
+takes the good one of its two neighbours, however far. An article without a good block keeps all its undecided ones.
 
 Null and empty pages, and pages without text, give an empty text. Markup that is cut off or not closed ends with
 the page; tags, comments and quoted attributes are read as browsers do, in time linear in the page. Pages of any
@@ -233,7 +233,10 @@ def labels(part: list[Block]) -> list[bool]:
             continue
         good = min(d for label, d in (before, after, (1, far)) if label > 0)
         worse = min(d for label, d in (before, after, (-1, far)) if label < 0)
-        out.append(good < worse or good == worse and (inside or block.heading))
+        if inside and not block.linked:
+            out.append(good < far)
+        else:
+            out.append(good < worse or good == worse and (inside or block.heading))
     return out
 
 

@@ -12,7 +12,8 @@ is valid: card numbers and IBANs are looked for from each edge of a word to each
 (the longest valid card number; the IBAN of its country's length, else the longest valid one), and the text is
 then cut at these very values. A phone number of three, three and four digits among other digits is found too.
 
-Null and empty texts stay as they are; texts of any length are rewritten whole; equal rows give equal
+An address has 256 characters before the @, labels of 63 and 127 labels at most. Null and empty texts stay as they are;
+texts of any length are rewritten whole, at a cost that grows with the square of the card numbers in one text; equal rows give equal
 results; an empty table gives an empty one; other columns pass through, whatever their names.
 """
 
@@ -23,9 +24,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed patterns, first fit first. Each starts and ends at the edge of a word.
+#: Fixed patterns, first fit first. Each starts and ends at the edge of a word. All repetitions of groups are bounded
+#: (the JVM's expressions recurse once for each), as are those that a place may be the start of again and again.
 KINDS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,255}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,63}",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
     "secret": r"(?:[0-9a-f]{32,}|[0-9A-F]{32,})",
     "ip": r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}",
@@ -197,6 +199,11 @@ def pseudonym(key: str, v: Column) -> Column:
     return F.coalesce(*tried, F.concat(F.lit("-"), v))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _valid_parts(text: Column, begins: str, least: int, valid: Callable[[Column], Column], first: Callable[[Column], Column] | None = None) -> Column:
     """The valid value at each place where one may begin: of those that end at the edge of a word the longest, or one that is ``first``."""
 
@@ -204,7 +211,7 @@ def _valid_parts(text: Column, begins: str, least: int, valid: Callable[[Column]
         size = F.length(v)
         cut = F.filter(F.sequence(size, F.least(F.lit(least), size), F.lit(-1)), lambda n: F.substr(v, n, F.lit(2)).rlike("^[A-Z0-9](?:[ -]|$)"))
         fits = F.filter(F.transform(cut, lambda n: F.substr(v, F.lit(1), n)), valid)
-        return F.coalesce(F.get(F.filter(fits, first), F.lit(0)), F.get(fits, F.lit(0))) if first else F.get(fits, F.lit(0))
+        return _let(fits, lambda fits: F.coalesce(F.get(F.filter(fits, first), F.lit(0)), F.get(fits, F.lit(0)))) if first else F.get(fits, F.lit(0))
 
     return F.filter(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(begins), F.lit(1))), best), lambda v: v.isNotNull())
 
@@ -226,7 +233,12 @@ def _pattern(text: Column) -> Column:
     ibans = _valid_parts(text, IBAN_FROM, 12, _is_iban, lambda v: F.regexp_replace(v, " ", "").rlike(OF_COUNTRY))
     cards = _valid_parts(text, CARD_FROM, 13, _is_card)
     own = F.array_join(F.sort_array(F.array_distinct(F.concat(ibans, cards)), asc=False), "|")
-    known = F.when(own == "", F.lit("(?!)")).otherwise(F.concat(F.lit("(?:"), own, F.lit(")" + END)))
+    known = _let(own, lambda own: F.when(own == "", F.lit("(?!)")).otherwise(F.concat(F.lit("(?:"), own, F.lit(")" + END))))
+    return _let(known, _cut_at)
+
+
+def _cut_at(known: Column) -> Column:
+    """The pattern of a text with its own known values."""
     # what fails is passed over whole, up to what is valid
     no = F.concat(F.lit("(?!" + EDGE), known, F.lit(")"))
     iban = F.concat(F.lit("[A-Z]{2}[0-9]{2}(?: ?"), no, F.lit("[A-Z0-9]{4}){2,7}(?: ?"), no, F.lit("[A-Z0-9]{1,3})?"))
