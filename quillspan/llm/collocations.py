@@ -4,7 +4,7 @@
    without the last and without the first word both passed the length before (their hashes are in a bitmap of
    fixed size), Spark sums them, and those of the least frequency stay. Hash collisions and chance hits in the
    bitmap only add candidates, so none is missed (Apriori).
-2. A scan gathers the candidates' texts. They are dealt into blocks of bounded size by hash, and each block's task
+2. A scan gathers the candidates' texts, each from one place (the least of the texts' hashes that hold it). They are dealt into blocks of bounded size by hash, and each block's task
    builds its minimal perfect hash by displacement: buckets, larger ones first, get a number that sends their keys
    to free slots, buckets of one key get the slot itself. Each slot stores its key, 95 bits of two hash families.
 3. A last scan counts. Tasks hand the candidates' counts to their blocks, at most so many tasks to one array, where
@@ -26,10 +26,12 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from quillspan.llm.scratch import Scratch
 from quillspan.llm.tokens import Hashes, U, _spans, mix, pieces
@@ -78,7 +80,9 @@ class Words:
             if len(self.starts) > k:
                 here[:-k] = self.whole[-1][:-k] & joined[k - 1 :]
             self.whole.append(here)
-        self.h = Hashes(self.data).of(self.starts, self.ends)
+        hashes = Hashes(self.data)
+        self.h = hashes.of(self.starts, self.ends)
+        self.of_row = (hashes.of(offsets[:-1], offsets[1:]) >> U(44)).astype(np.int64)
         self.lang = lang[self.row] if len(lang) else np.zeros(0, dtype=np.uint64)
         self._second: np.ndarray | None = None
 
@@ -101,6 +105,10 @@ class Words:
             out = (out * _STEP + self._second[at + j] + 1) % _PRIME
         return out
 
+    def place(self, at: np.ndarray) -> np.ndarray:
+        """20 bits of the hash of the text that holds each place."""
+        return self.of_row[self.row[at]]
+
     def text(self, k: int, at: int) -> str:
         return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.starts[at : at + k], self.ends[at : at + k])).decode("utf-8", "replace")
 
@@ -145,13 +153,18 @@ def candidates_at(words: Words, k: int, filters: list[Bits]) -> np.ndarray:
     return at
 
 
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes and the sums of their counts."""
-    h, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct hashes, the sums of their counts and the least of their places."""
+    h, n, place = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(h, kind="stable")
-    h, n = h[order], n[order]
-    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
-    return h[new], np.add.reduceat(n, new) if len(h) else n
+    h, n, place = h[order], n[order], place[order]
+    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[new], np.add.reduceat(n, new), np.minimum.reduceat(place, new)
+
+
+def _placed(h: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A hash with a place, in one number."""
+    return mix(h.view(np.uint64) ^ (place.astype(np.uint64) * U(0x9E3779B97F4A7C15))).view(np.int64)
 
 
 def _count_hashes(k: int, filters: list) -> Callable:
@@ -169,24 +182,24 @@ def _count_hashes(k: int, filters: list) -> Callable:
                 held[lang] = [_added(held[lang])]
                 size += len(held[lang][0][0])
             if size > least:
-                for lang, [(h, n)] in held.items():
-                    for lo in range(0, len(h), 1 << 16):
-                        part = h[lo : lo + (1 << 16)]
-                        yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array(part), pa.array(n[lo : lo + (1 << 16)])], names=["lang", "h", "n"])
+                for lang, [found] in held.items():
+                    for lo in range(0, len(found[0]), 1 << 16):
+                        part = [pa.array(x[lo : lo + (1 << 16)]) for x in found]
+                        yield pa.record_batch([pa.array([lang] * len(part[0]), pa.string()), *part], names=["lang", "h", "n", "place"])
                 held.clear()
                 size = 0
 
         for words, lang in _runs(batches):
             at = candidates_at(words, k, own)
-            h = words.first(k, at)
+            h, place = words.first(k, at), words.place(at)
             if k == 1:
                 names, of = np.unique(np.array(lang, dtype=object).astype(str), return_inverse=True)
-                groups = [(str(x), h[of[words.row[at]] == i]) for i, x in enumerate(names)]
+                groups = [(str(x), of[words.row[at]] == i) for i, x in enumerate(names)]
             else:
-                groups = [("", h)]
-            for name, part in groups:
-                if len(part):
-                    held.setdefault(name, []).append(_added([(part, np.ones(len(part), dtype=np.int64))]))
+                groups = [("", np.ones(len(at), dtype=bool))]
+            for name, own_rows in groups:
+                if own_rows.any():
+                    held.setdefault(name, []).append(_added([(h[own_rows], np.ones(int(own_rows.sum()), dtype=np.int64), place[own_rows])]))
                     size += len(held[name][-1][0])
             if size > 2 * HELD:
                 yield from out(HELD)
@@ -195,17 +208,21 @@ def _count_hashes(k: int, filters: list) -> Callable:
     return run
 
 
-def _gather(filters: list) -> Callable:
-    """Texts and keys of candidates, and keys of the parts that their cuts leave, once a task (or a million)."""
+def _gather(filters: list, wanted: list, placed: bool) -> Callable:
+    """Texts and keys of the wanted candidates, and keys of the parts that their cuts leave, once a task (or a million).
+
+    wanted: a bitmap a length, of hashes, or of hashes with the place that one text each is to be taken from.
+    """
     schema = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("h", pa.int64()), ("h2", pa.int64()), ("parts", pa.list_(pa.int64())), ("parts2", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [f.value for f in filters]
+        own, chosen = [f.value for f in filters], [f.value for f in wanted]
         seen: set[tuple[int, int]] = set()
         for words, lang in _runs(batches):
             for k in range(1, LONGEST + 1):
                 at = candidates_at(words, k, own)
-                at = at[own[k - 1](words.first(k, at))]
+                h = words.first(k, at)
+                at = at[chosen[k - 1](_placed(h, words.place(at)) if placed else h)]
                 h, h2 = words.first(k, at), words.second(k, at)
                 one = _distinct(h, h2)
                 one = [i for i, key in zip(one.tolist(), zip(h[one].tolist(), h2[one].tolist())) if key not in seen and not seen.add(key)]
@@ -385,20 +402,50 @@ def _frequent(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame, DataFrame,
     filters: list = []
     totals, hashes = None, None
     for k in range(1, LONGEST + 1):
-        counted = docs.mapInArrow(_count_hashes(k, list(filters)), "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
+        counted = docs.mapInArrow(_count_hashes(k, list(filters)), "lang string, h long, n long, place long").groupBy("lang", "h").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
         if k == 1:
             counted = scratch.keep(counted, "words")
             totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
-        kept = scratch.keep(counted.filter(F.col("n") >= LEAST).select(F.lit(k).alias("k"), "h").distinct(), f"frequent{k}")
+        kept = scratch.keep(counted.filter(F.col("n") >= LEAST).select(F.lit(k).alias("k"), "h", "n", "place"), f"frequent{k}")
         filters.append(spark.sparkContext.broadcast(Bits(kept)))
         hashes = kept if hashes is None else hashes.unionByName(kept)
     return totals, hashes, filters
 
 
-def _counts(scratch: Scratch, docs: DataFrame, hashes: DataFrame, filters: list) -> tuple[DataFrame, int]:
+def _wanted(spark: SparkSession, hashes: DataFrame) -> list:
+    """A broadcast bitmap for each length of (k, h)."""
+    return [spark.sparkContext.broadcast(Bits(hashes.filter(F.col("k") == k))) for k in range(1, LONGEST + 1)]
+
+
+def _candidates(scratch: Scratch, docs: DataFrame, hashes: DataFrame, filters: list, wanted: list, placed: bool) -> DataFrame:
+    gathered = docs.mapInArrow(_gather(filters, wanted, placed), "lang string, k int, phrase string, h long, h2 long, parts array<long>, parts2 array<long>").dropDuplicates(["lang", "phrase"])
+    return scratch.keep(gathered.join(hashes, ["k", "h"], "left_semi"), "candidates")
+
+
+@F.pandas_udf(LongType())
+def _placed_column(h: pd.Series, place: pd.Series) -> pd.Series:
+    return pd.Series(_placed(h.to_numpy(), place.to_numpy()))
+
+
+def _all_counts(scratch: Scratch, docs: DataFrame, hashes: DataFrame, filters: list) -> tuple[DataFrame, int]:
+    """``_counts`` of all candidates.
+
+    A candidate's text is taken from the texts of one place. Were there several phrases of one hash, some might not be
+    met there: then the exact counts fall short of the hash's, and these hashes' phrases are gathered everywhere.
+    """
+    at_places = hashes.select("k", _placed_column("h", "place").alias("h"))
+    found = _candidates(scratch, docs, hashes, filters, _wanted(docs.sparkSession, at_places), True)
+    counts, blocks = _counts(scratch, docs, found, filters)
+    asked, met = hashes.groupBy("k", "h").agg(F.sum("n").alias("asked")), counts.groupBy("k", "h").agg(F.sum("n").alias("met"))
+    missed = scratch.keep(asked.join(met, ["k", "h"], "left").filter("met is null or met < asked").select("k", "h"), "missed")
+    if not missed.isEmpty():
+        more = _candidates(scratch, docs, missed, filters, _wanted(docs.sparkSession, missed), False)
+        counts, blocks = _counts(scratch, docs, scratch.keep(found.unionByName(more).dropDuplicates(["lang", "phrase"]), "candidates"), filters)
+    return counts, blocks
+
+
+def _counts(scratch: Scratch, docs: DataFrame, found: DataFrame, filters: list) -> tuple[DataFrame, int]:
     """Candidates with block, slot, seeds (at slot 0) and exact frequency n, and how many blocks there are."""
-    gathered = docs.mapInArrow(_gather(filters), "lang string, k int, phrase string, h long, h2 long, parts array<long>, parts2 array<long>").dropDuplicates(["lang", "phrase"])
-    found = scratch.keep(gathered.join(hashes, ["k", "h"], "left_semi"), "candidates")
     blocks = 1 + found.count() // BLOCK
     keyed = found.withColumn("block", F.pmod(F.col("h"), F.lit(blocks)))
     plain = keyed.select("block", "h", "h2").groupBy("block").applyInArrow(_build, "block long, h long, h2 long, slot long, seeds binary")
@@ -420,7 +467,7 @@ def collocations(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "collocations")
     docs = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
     totals, hashes, filters = _frequent(scratch, docs)
-    counts, blocks = _counts(scratch, docs, hashes, filters)
+    counts, blocks = _all_counts(scratch, docs, hashes, filters)
     phrases = counts.filter((F.col("k") > 1) & (F.col("n") >= LEAST))
     longer = phrases.filter("k > 2").select("lang", "n", "k", F.split("phrase", " ").alias("w"))
     inner = longer.select("lang", "n", "k", "w", F.explode(F.expr("sequence(2, k - 1)")).alias("size")).select("lang", "n", "w", "size", F.explode(F.expr("sequence(1, k - size + 1)")).alias("at"))
