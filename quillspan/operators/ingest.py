@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 def latest(incoming: DataFrame, key: str = "id", guard: str | None = "updated_at") -> DataFrame:
     """One row a key: the newest by the guard, of equal ones the greatest by a digest of the whole row. Rows without a key are left out."""
     columns = [F.col(f"`{c}`") for c in incoming.columns]
-    digest = F.xxhash64(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+    plain = not any("map<" in t or t == "variant" for _, t in incoming.dtypes)
+    # a hash of the columns, with which of them are null: hashing skips nulls
+    digest = F.xxhash64(*[c.isNull() for c in columns], *columns) if plain else F.xxhash64(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
     order = F.struct(*([F.col(f"`{guard}`")] if guard else []), digest)  # nulls are the least
     newest = incoming.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("row"))
     return newest.select("row.*")
@@ -29,9 +31,13 @@ def classify(stored: DataFrame, incoming: DataFrame, key: str = "id", guard: str
     return joined.select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), action.alias("action"))
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, key: str = "id", guard: str | None = "updated_at", insert_only: tuple[str, ...] = ("source_account_id",)) -> DataFrame:
-    """The new snapshot. Columns of ``insert_only`` keep what was stored when a row is updated."""
-    o, n = stored.withColumn("have", F.lit(True)).alias("o"), latest(incoming, key, guard).withColumn("got", F.lit(True)).alias("n")
+def upsert(stored: DataFrame, incoming: DataFrame, key: str = "id", guard: str | None = "updated_at", insert_only: tuple[str, ...] = ("source_account_id",), reduced: bool = False) -> DataFrame:
+    """The new snapshot. Columns of ``insert_only`` keep what was stored when a row is updated.
+
+    reduced: incoming rows hold each key once already.
+    """
+    rows = incoming if reduced else latest(incoming, key, guard)
+    o, n = stored.withColumn("have", F.lit(True)).alias("o"), rows.withColumn("got", F.lit(True)).alias("n")
     joined = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
     same = F.lit(False) if guard is None else F.col(f"o.{guard}").eqNullSafe(F.col(f"n.{guard}"))
     old = F.col("got").isNull() | (F.col("have").isNotNull() & same)

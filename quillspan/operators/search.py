@@ -71,13 +71,13 @@ def in_range(column: Column, dates: DateRange, end_inclusive: bool = False) -> C
 def search(documents: DataFrame, sources: dict[str, DataFrame], query: str, targets: tuple[str, ...] | None = None, include_deleted: bool = False, dates: DateRange = DateRange(), meeting: str | None = None) -> DataFrame:
     """id, title, created_at, score of documents with a matching row in a target, best first, then newest.
 
-    sources: (document_id, text) rows by name; scores of different sources are compared as they are.
+    sources: (document_id, text) rows by name, or a stored ``TextIndex`` of them; scores of different sources are compared as they are.
     """
     unknown = set(targets or ()) - set(sources)
     if unknown:
         raise ValueError(f"unknown targets: {sorted(unknown)}")
     chosen = [sources[t] for t in sources if targets is None or t in targets]
-    best = reduce(DataFrame.unionByName, [bm25(rows, query) for rows in chosen]).groupBy("document_id").agg(F.min("score").alias("score"))
+    best = reduce(DataFrame.unionByName, [bm25(rows, query) if isinstance(rows, DataFrame) else rows.bm25(query) for rows in chosen]).groupBy("document_id").agg(F.min("score").alias("score"))
     docs = documents.filter(in_range(F.col("created_at"), dates))
     if not include_deleted:
         docs = docs.filter("deleted_at is null")

@@ -6,6 +6,7 @@ seen is filled in where rows have none.
 
 from __future__ import annotations
 
+import traceback
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,24 +38,26 @@ def _columns_of(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def sync_entity(store: Store, name: str, incoming: DataFrame, account: str | None = None) -> dict[str, int]:
-    """Upsert one entity; returns how many rows were inserted, updated and left as they were."""
-    stored = store.read(name)
+    """Upsert one entity; returns how many rows were inserted, updated and left as they were.
+
+    Only ranges of keys with a changed row are written; a document's people are replaced where the document changed.
+    """
+    table = store.table(name)
+    before, stored = table.version(), store.read(name)
     guard = "updated_at" if name in GUARDED else None
     rows = _columns_of(incoming, stored)
     if account is not None and "source_account_id" in stored.columns:
         rows = rows.withColumn("source_account_id", F.lit(account))
-    counts = ingest.upsert_stats(ingest.classify(stored, rows, guard=guard)).first().asDict()
-    if name == "documents" and "people_json" in rows.columns:
-        changed = ingest.classify(stored, rows, guard=guard).filter("action in ('inserted', 'updated')").select(F.col("id").alias("document_id"))
+    counts = table.upsert(rows, guard)
+    if name == "documents" and "people_json" in rows.columns and table.version() > before:
+        changed = table.changes(before).select(F.col("key").alias("document_id")).distinct()
         with_people = rows.filter("people_json is not null").select(F.col("id").alias("document_id")).join(changed, "document_id", "left_semi")
-        bridge = store.read("document_people")
-        store.write("document_people", ingest.replace_children(bridge, landing.document_people(rows), with_people))
-    store.write(name, ingest.upsert(stored, rows, guard=guard))
+        store.table("document_people").replace_children(landing.document_people(rows), with_people)
     return counts
 
 
 def stamp(store: Store, entity: str, at: str) -> None:
-    store.write("metadata", ingest.stamp(store.read("metadata"), entity, at))
+    store.table("metadata").upsert(store.spark.createDataFrame([(f"last_sync_{entity}", at)], "key string, value string"))
 
 
 def see_account(store: Store, account: str, user: str | None, email: str | None, at: str) -> None:
@@ -104,7 +107,7 @@ def full_sync(store: Store, landing_root: str, at: str, account: str | None = No
 
 
 def _error(e: Exception) -> dict[str, str]:
-    return {"error": str(e).splitlines()[0] if str(e) else type(e).__name__}
+    return {"error": str(e).splitlines()[0] if str(e) else type(e).__name__, "type": type(e).__name__, "trace": traceback.format_exc()}
 
 
 def _calendar_rows(store: Store, incoming: DataFrame) -> DataFrame:
@@ -117,7 +120,8 @@ def _children(store: Store, name: str, fresh: DataFrame, asked: DataFrame | None
     stored, documents = store.read(name), store.read("documents")
     rows = fresh.select(*[(F.col(f"`{f.name}`") if f.name in fresh.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in stored.schema])
     came = rows.select("document_id").distinct() if asked is None else asked.filter("status is null").select("document_id").distinct()
-    store.write(name, ingest.replace_transcript(stored, rows, documents, came))
+    known = documents.select(F.col("id").alias("document_id"))
+    store.table(name).replace_children(rows.filter("id is not null"), came.join(known, "document_id", "left_semi"))
     failed = rows.limit(0).selectExpr("document_id", "'' as status") if asked is None else asked.filter("status is not null").select("document_id", "status")
     log = LOGS[name]
     store.write(log, ingest.redo_log(store.read(log), failed.withColumn("at", F.try_to_timestamp(F.lit(at))), came))

@@ -26,6 +26,19 @@ TABLES = {
     "accounts": "account_id string, user_id string, email string, first_seen_at timestamp",
 }
 
+#: What tells a table's rows apart and, where that is another column, what its ranges are of. Others: id.
+KEYS = {
+    "utterances": ("id", "document_id"),
+    "panels": ("id", "document_id"),
+    "document_people": ("email", "document_id"),
+    "chunks": ("source_id", None),
+    "embeddings": ("source_id", None),
+    "metadata": ("key", None),
+    "sync_log": ("document_id", None),
+    "panel_sync_log": ("document_id", None),
+    "accounts": ("account_id", None),
+}
+
 _PERSON = "struct<name: string, email: string, details: struct<person: struct<name: struct<fullName: string>>>>"
 PEOPLE = f"title string, creator {_PERSON}, attendees array<{_PERSON}>"
 GOLDEN = "queries array<struct<query: string, query_type: string, relevant_meetings: array<string>, relevant_meeting_ids: array<string>>>"

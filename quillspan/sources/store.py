@@ -1,44 +1,34 @@
-"""Stored tables as numbered snapshots: a new one is written beside the old and then named in a log."""
+"""The stored tables, each in ranges of its key's hash (see ``RangeTable``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quillspan.sources.schemas import TABLES
+from quillspan.sources.ranges import RangeTable
+from quillspan.sources.schemas import KEYS, TABLES
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    def table(self, name: str) -> RangeTable:
+        key, by = KEYS.get(name, ("id", None))
+        return RangeTable(self.spark, f"{self.root}/{name}", TABLES[name], key, by)
 
     def version(self, name: str) -> int:
-        """The last snapshot's number; -1 before the first."""
-        log = f"{self.root}/{name}/log"
-        return self.spark.read.schema("n long").json(log).agg(F.max("n")).first()[0] if self._exists(log) else -1
+        """The last commit's number; -1 before the first."""
+        return self.table(name).version()
 
     def read(self, name: str) -> DataFrame:
-        """The last snapshot with the table's schema; columns that it is older than are null. Empty before the first."""
-        n = self.version(name)
-        if n < 0:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{n}")
+        """The table of the last commit with its schema; columns that a file is older than are null. Empty before the first."""
+        return self.table(name).read()
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        """Make ``df`` the table; plans that still read the old snapshot go on."""
-        n = self.version(name) + 1
-        columns = self.spark.createDataFrame([], TABLES[name])
-        named = df.select(*[(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in columns.schema])
-        named.write.mode("overwrite").parquet(f"{self.root}/{name}/{n}")
-        self.spark.range(n, n + 1).toDF("n").coalesce(1).write.mode("append").json(f"{self.root}/{name}/log")
+        """Make ``df`` the table; plans that still read the old one go on."""
+        self.table(name).replace(df)
         return self.read(name)
 
     def drop_before(self, name: str, n: int) -> None:
-        """Delete snapshots older than n; those that a plan still reads must not be among them."""
-        for old in range(n):
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/{old}")
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        """Delete what only commits older than n hold; those that a plan still reads must not be among them."""
+        self.table(name).drop_before(n)

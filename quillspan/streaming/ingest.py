@@ -1,7 +1,7 @@
-"""Continuous ingestion: landing JSON to snapshots and postings, one micro-batch after another.
+"""Continuous ingestion: landing JSON to a stored table and its keyword index, one micro-batch after another.
 
-A batch is upserted under its own number, so a batch that is run again after a failure writes the same
-snapshot; readers take the snapshot that the pointer names.
+A batch is upserted by key range, so it rewrites what it touches; its number is in the commit, and a batch that is run
+again after a failure is passed over. The index follows the table's feed of changes: one segment a batch.
 """
 
 from __future__ import annotations
@@ -11,41 +11,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from quillspan.operators.ingest import upsert
-from quillspan.operators.search import postings
+from quillspan.operators.textindex import TextIndex
+from quillspan.plans.keyword import catch_up
+from quillspan.sources.ranges import RangeTable
 
 
 class SnapshotSink:
-    """Upserts micro-batches of one table into numbered snapshots under ``root``, and indexes their text."""
+    """Upserts micro-batches of one table under ``root``, and indexes their text."""
 
     def __init__(self, spark: SparkSession, root: str, schema: StructType, key: str = "id", guard: str | None = "updated_at", text: str | None = None):
-        self.spark, self.root, self.schema, self.key, self.guard, self.text = spark, root, schema, key, guard, text
-
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        self.spark, self.schema, self.key, self.guard, self.text = spark, schema, key, guard, text
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        self.table, self.index = RangeTable(spark, f"{root}/rows", ddl, key), TextIndex(spark, f"{root}/index")
 
     def current(self) -> int:
-        """The last snapshot's number; -1 before the first."""
-        if not self._exists(f"{self.root}/pointer"):
-            return -1
-        return self.spark.read.schema("n long").json(f"{self.root}/pointer").agg(F.max("n")).first()[0]
+        """The last batch that changed the table; -1 before the first."""
+        return self.table.commits.head()[1].get("batch", -1)
 
     def read(self, what: str = "rows") -> DataFrame:
-        n = self.current()
-        if n < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.parquet(f"{self.root}/{n}/{what}")
+        return self.table.read() if what == "rows" else self.index.postings()
 
     def write(self, batch: DataFrame, n: int) -> None:
         """For foreachBatch. Of equal keys in a batch the latest by the guard counts."""
-        if n <= self.current():
-            return
-        upsert(self.read(), batch, self.key, self.guard, insert_only=()).write.mode("overwrite").parquet(f"{self.root}/{n}/rows")
+        if n > self.current():
+            self.table.upsert(batch, self.guard, insert_only=(), note={"batch": n})
         if self.text:
-            rows = self.spark.read.parquet(f"{self.root}/{n}/rows").select(F.col(self.key).alias("document_id"), F.col(self.key).alias("row_id"), F.col(self.text).alias("text"))
-            postings(rows).sort("term").write.mode("overwrite").parquet(f"{self.root}/{n}/postings")
-        self.spark.range(n, n + 1).toDF("n").coalesce(1).write.mode("append").json(f"{self.root}/pointer")
+            catch_up(self.table, self.index, lambda df: df.select(F.col(self.key).alias("row_id"), F.col(self.key).alias("document_id"), F.col(self.text).alias("text")))
 
     def start(self, landing: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
         stream = self.spark.readStream.schema(self.schema).json(landing)
