@@ -24,8 +24,12 @@ def _around(units: Column, i: Column, n: int) -> tuple[Column, Column]:
 
 
 def panel_sites(panels: DataFrame, query: str, context: int = 0) -> DataFrame:
-    """Sections of live panels whose body holds every part; neighbours are of the same panel."""
-    p = panels.filter("not deleted").select("document_id", F.col("id").alias("outer"), sections(strip_footer(F.col("content_markdown"))).alias("s"))
+    """Sections of live panels whose body holds every part; neighbours are of the same panel.
+
+    A body holds every part only if the panel does, so only such panels are cut into sections.
+    """
+    likely = panels.filter("not deleted").filter(has_all(F.col("content_markdown"), parse_query(query)))
+    p = likely.select("document_id", F.col("id").alias("outer"), sections(strip_footer(F.col("content_markdown"))).alias("s"))
     bodies = F.transform("s", lambda x: single_spaced(x["body"]))
     rows = p.select("document_id", "outer", bodies.alias("units"), F.posexplode("s").alias("inner", "x"))
     before, after = _around(F.col("units"), F.col("inner"), context)
@@ -38,7 +42,8 @@ def _nulls() -> list[Column]:
 
 
 def notes_sites(documents: DataFrame, query: str, context: int = 0, separator: str = "\n\n") -> DataFrame:
-    p = documents.select(F.col("id").alias("document_id"), paragraphs(F.col("notes_plain"), separator).alias("p"))
+    likely = documents.filter(has_all(F.col("notes_plain"), parse_query(query)))
+    p = likely.select(F.col("id").alias("document_id"), paragraphs(F.col("notes_plain"), separator).alias("p"))
     rows = p.select("document_id", F.transform("p", single_spaced).alias("units"), F.posexplode("p").alias("inner", "x"))
     before, after = _around(F.col("units"), F.col("inner"), context)
     hits = rows.filter(has_all(F.col("x"), parse_query(query)))
@@ -46,9 +51,10 @@ def notes_sites(documents: DataFrame, query: str, context: int = 0, separator: s
 
 
 def transcript_sites(utterances: DataFrame, query: str, context: int = 0, speaker: Column | None = None) -> DataFrame:
-    """Utterances that hold every part. Neighbours are taken before the query's and the speaker's filter."""
+    """Utterances that hold every part. Neighbours are taken before the query's and the speaker's filter, in documents with a hit."""
     w = Window.partitionBy("document_id").orderBy("start_timestamp", "seq")
-    u = utterances.filter("text <> ''").withColumn("inner", F.row_number().over(w) - 1)
+    said = utterances.filter("text <> ''")
+    u = said.join(said.filter(has_all(F.col("text"), parse_query(query))).select("document_id").distinct(), "document_id", "left_semi").withColumn("inner", F.row_number().over(w) - 1)
     unit = single_spaced(F.col("text"))
     none = F.array().cast("array<string>")
     before = F.collect_list(unit).over(w.rowsBetween(-context, -1)) if context else none

@@ -324,7 +324,7 @@ class TextIndex:
         return self._documents(rows, allowed)
 
     def _documents(self, rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
-        best = rows.groupBy("document_id").agg(F.min("score").alias("score"))
+        best = rows.groupBy("document_id").agg(F.min(F.round("score", 12)).alias("score"))  # so sums of equal shares tie
         return best if allowed is None else best.join(allowed.select(F.col("id").alias("document_id")), "document_id", "left_semi")
 
 

@@ -14,7 +14,9 @@ from quillspan.functions.text import sections as sections_of
 from quillspan.functions.tiptap import tiptap_markdown
 from quillspan.functions.vectors import cosine
 from quillspan.operators import chunking, evaluation, evidence, fusion, ingest, listing, rerank, search, semantic, stats, transcripts
+from quillspan.operators.textindex import TextIndex, search_top
 from quillspan.sources.adapters import Tables, with_
+from quillspan.sources.commits import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -200,6 +202,71 @@ _MANY = [["the"], ["of", "the"], ["der"], ["que"]]
 ORACLES["fts_many_queries"] = f"{with_('docs')}, " + ",\n".join(_bm25_sql(_TITLES, " ".join(q), f"_{i}") for i, q in enumerate(_MANY)) + "\n" + " UNION ALL ".join(f"SELECT {i} AS query_id, document_id, round(score, 6) AS score FROM best_{i}" for i in range(4))
 
 
+# ---- the stored index
+
+_BUILT: dict[tuple[str, str, str], TextIndex] = {}
+
+
+def stored_index(t: Tables, source: str) -> TextIndex:
+    """The index of a source of ``root``, built once a session."""
+    key = (t.spark.sparkContext.applicationId, t.root, source)
+    if key not in _BUILT:
+        index = TextIndex(t.spark, shared_folder(t.spark, f"keyword-{source}"))
+        rows = t.utterances().select(F.col("id").alias("row_id"), "document_id", "text") if source == "transcripts" else t.panels().select(F.col("id").alias("row_id"), "document_id", F.col("content_markdown").alias("text"), (~F.col("deleted")).alias("live")) if source == "panels" else _indexed(_sources(t, source)[source])
+        index.append(rows)
+        _BUILT[key] = index
+    return _BUILT[key]
+
+
+def _stored(t: Tables, which: str) -> dict[str, TextIndex]:
+    return {w: stored_index(t, w) for w in which.split()}
+
+
+@query(_search_sql({"notes": _NOTES}, "idiot"))
+def fts_stored_single_term(t: Tables) -> DataFrame:
+    """``fts_single_term`` over the stored index: one term's postings are read."""
+    return _shown(search.search(t.documents(), _stored(t, "notes"), "idiot"))
+
+
+@query(_search_sql({"notes": _NOTES}, '"of the" version-2'))
+def fts_stored_phrase(t: Tables) -> DataFrame:
+    return _shown(search.search(t.documents(), _stored(t, "notes"), '"of the" version-2'))
+
+
+@query(_search_sql({"notes": _NOTES, "titles": _TITLES, "transcripts": _UTTS, "panels": _PANELS}, "der"))
+def fts_stored_four_sources(t: Tables) -> DataFrame:
+    return _shown(search.search(t.documents(), _stored(t, "notes titles transcripts panels"), "der"))
+
+
+_LAST = "SELECT id AS document_id, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN notes_plain ELSE title END AS text FROM docs WHERE CAST(id AS BIGINT) % 10 <> 1"
+
+
+@query(_search_sql({"notes": _LAST}, "the of"))
+def fts_index_segments(t: Tables) -> DataFrame:
+    """Three batches: every title, then the notes of each third document instead, then each tenth document taken out."""
+    index = TextIndex(t.spark, shared_folder(t.spark, "segments"))
+    number = F.col("document_id").cast("long")
+    index.append(_indexed(_sources(t, "titles")["titles"]))
+    index.append(_indexed(_sources(t, "notes")["notes"]).filter(number % 3 == 0))
+    index.append(_indexed(_sources(t, "titles")["titles"]).limit(0), removed=t.documents().select(F.col("id").alias("row_id")).filter("cast(row_id as long) % 10 = 1"))
+    return _shown(search.search(t.documents(), {"notes": index}, "the of"))
+
+
+def _topk_sql(rows: dict[str, str], q: str, k: int) -> str:
+    ctes = ",\n".join(_bm25_sql(r, q, f"_{s}") for s, r in rows.items())
+    union = " UNION ALL ".join(f"SELECT * FROM best_{s}" for s in rows)
+    return f"""{with_('docs', 'utts', 'panels')},
+{ctes},
+top AS (SELECT document_id, min(round(score, 12)) AS s FROM ({union}) GROUP BY document_id)
+SELECT id, title, created_at, round(s, 6) AS score FROM docs JOIN top ON id = document_id WHERE deleted_at IS NULL ORDER BY s, created_at DESC, id LIMIT {k}"""
+
+
+@query(_topk_sql({"notes": _NOTES, "transcripts": _UTTS}, "the of", 20))
+def fts_index_topk(t: Tables) -> DataFrame:
+    """The first twenty documents: only ranges of rows whose bound reaches the twentieth score are read."""
+    return _shown(search_top(t.documents(), _stored(t, "notes transcripts"), "the of", 20, t.documents().filter("deleted_at is null").select("id")))
+
+
 # ---- listing
 
 _LISTED = "id, title, created_at, updated_at, deleted_at, doc_type"
@@ -437,9 +504,11 @@ _KEYWORD = f"""kw AS (SELECT query_id, document_id, row_number() OVER (PARTITION
 
 
 def _keyword_list(t: Tables) -> DataFrame:
-    scores = search.bm25(_sources(t, "titles")["titles"], "the").crossJoin(F.broadcast(_vector_queries(t).select("query_id")))
-    w = Window.partitionBy("query_id").orderBy("score", "document_id")
-    return scores.select("query_id", "document_id", F.row_number().over(w).alias("rank"))
+    """One keyword ranking's pool for each query of the set."""
+    w = Window.orderBy("score", "document_id")
+    first = search.bm25(_sources(t, "titles")["titles"], "the").orderBy("score", "document_id").limit(fusion.POOL)
+    ranks = first.select("document_id", F.row_number().over(w).alias("rank"))  # of a pool
+    return _vector_queries(t).select("query_id").crossJoin(F.broadcast(ranks)).select("query_id", "document_id", "rank")
 
 
 _FUSED = f"""{_semantic_sql()}, {_bm25_sql(_TITLES, 'the', '_k')}, {_KEYWORD},
@@ -449,7 +518,7 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf,
 
 
 def _fused(t: Tables) -> DataFrame:
-    near = semantic.search(t.chunks(), _vector_queries(t)).select("query_id", "document_id", "rank")
+    near = semantic.search(t.chunks(), _vector_queries(t), limit=fusion.POOL).select("query_id", "document_id", "rank")
     return fusion.hybrid(_keyword_list(t), near)
 
 
@@ -464,7 +533,7 @@ def hybrid_fast(t: Tables) -> DataFrame:
 
 @query(f"{_FUSED} SELECT list, query_id, count(*) AS n FROM lists GROUP BY list, query_id")
 def hybrid_pool_truncation(t: Tables) -> DataFrame:
-    near = semantic.search(t.chunks(), _vector_queries(t)).select("query_id", "document_id", "rank")
+    near = semantic.search(t.chunks(), _vector_queries(t), limit=fusion.POOL).select("query_id", "document_id", "rank")
     both = fusion.pool(_keyword_list(t)).select(F.lit("k").alias("list"), "query_id").unionAll(fusion.pool(near).select(F.lit("s").alias("list"), "query_id"))
     return both.groupBy("list", "query_id").agg(F.count("*").alias("n"))
 
