@@ -15,6 +15,7 @@ from quillspan.functions.tiptap import tiptap_markdown
 from quillspan.functions.vectors import cosine
 from quillspan.operators import chunking, evaluation, evidence, fusion, ingest, listing, rerank, search, semantic, stats, transcripts
 from quillspan.operators.textindex import TextIndex, search_top
+from quillspan.operators.vectorindex import VectorIndex
 from quillspan.sources.adapters import Tables, with_
 from quillspan.sources.commits import shared_folder
 
@@ -204,7 +205,7 @@ ORACLES["fts_many_queries"] = f"{with_('docs')}, " + ",\n".join(_bm25_sql(_TITLE
 
 # ---- the stored index
 
-_BUILT: dict[tuple[str, str, str], TextIndex] = {}
+_BUILT: dict[tuple[str, str, str], TextIndex | VectorIndex] = {}
 
 
 def stored_index(t: Tables, source: str) -> TextIndex:
@@ -473,6 +474,17 @@ def semantic_best_chunk_per_doc(t: Tables) -> DataFrame:
     return semantic.best_chunks(semantic.scored(t.chunks(), _vector_queries(t)), -1.0).withColumn("score", F.round("score", 6)).select("query_id", "document_id", "chunk_id", "source_type", "score")
 
 
+@query(f"{_semantic_sql()} {_RANKED}")
+def semantic_pruned_topk(t: Tables) -> DataFrame:
+    """``semantic_topk`` over stored cells: only those whose bound reaches some query's twentieth score are read."""
+    key = (t.spark.sparkContext.applicationId, t.root, "vectors")
+    if key not in _BUILT:
+        index = VectorIndex(t.spark, shared_folder(t.spark, "vectors"))
+        index.build(t.chunks())
+        _BUILT[key] = index
+    return _near(_BUILT[key].search(_vector_queries(t), limit=20)[0])
+
+
 _NOT_TITLES = "source_type IN ('transcript_window', 'notes_paragraph')"
 
 

@@ -201,3 +201,50 @@ def test_a_store_keeps_its_keyword_indexes(spark, tmp_path):
     store.write("documents", store.read("documents").filter("id = 'd2'"))
     keyword.refresh(store)
     assert ids("changed") == [] and ids("other") == ["d2"]
+
+
+# ---- vectors
+
+
+def vector_chunks(spark, rng, clusters, each, dim):
+    middle = rng.normal(size=(clusters, dim))
+    rows = [(f"d{c}-{i % 7}", c * each + i, ["a", "b"][i % 2], [float(x) for x in middle[c] + 0.05 * rng.normal(size=dim)]) for c in range(clusters) for i in range(each)]
+    rows += [("none", -1, "a", None), ("zero", -2, "a", [0.0] * dim), ("short", -3, "b", [1.0]), ("same", -4, "b", rows[0][3]), ("nan", -5, "b", [float("nan")] * dim)]
+    return middle, spark.createDataFrame(rows, "document_id string, chunk_id long, source_type string, vector array<double>")
+
+
+def test_vector_search_that_skips_gives_what_brute_force_gives(spark, tmp_path):
+    from quillspan.operators import semantic
+    from quillspan.operators.vectorindex import VectorIndex
+
+    rng = np.random.default_rng(7)
+    middle, chunks = vector_chunks(spark, rng, 40, 30, 16)
+    chunks = chunks.filter("document_id <> 'nan'")
+    index = VectorIndex(spark, f"file://{tmp_path}/v")
+    index.build(chunks)
+    asked = [(i, [float(x) for x in middle[i] + 0.02 * rng.normal(size=16)]) for i in range(3)]
+    ranks = lambda df: sorted((r["query_id"], r["rank"], r["document_id"], r["chunk_id"], round(r["score"], 9)) for r in df.collect())
+    allowed = chunks.select(F.col("document_id").alias("id")).distinct().filter("id not like '%-3'")
+    for queries, options in ((asked, {}), (asked, {"sources": ["a"], "allowed": allowed}), ([*asked, (9, [0.0] * 16)], {}), (asked, {"min_score": 0.97, "limit": None}), ([(5, [float(x) for x in rng.normal(size=16)])], {"limit": 200})):
+        q = spark.createDataFrame(queries, "query_id int, q array<double>")
+        options = {"limit": 5} | options
+        found, read = index.search(q, **options)
+        assert ranks(found) == ranks(semantic.search(chunks, q, **options))
+        assert read["chunks"] == chunks.count() and read["chunks_read"] <= read["chunks"]
+        if queries is asked:
+            assert read["chunks_read"] < read["chunks"] / 3
+
+
+def test_bounds_hold(spark):
+    from quillspan.operators.vectorindex import bounds, centres
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(2000, 5))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    c = centres(v, 12)
+    of = np.argmax(v @ c.T, axis=1)
+    angle = np.arccos(np.clip((v * c[of]).sum(axis=1), -1, 1))
+    least, most = (np.array([f(angle[of == k]) for k in range(12)]) for f in (np.min, np.max))
+    ceiling = bounds(v[:200], c, least, most)
+    assert all((v[:200] @ v[of == k].T).max(axis=1)[i] <= ceiling[i, k] + 1e-9 for k in range(12) for i in range(200))
+    assert (ceiling < 0.9).any()
