@@ -31,7 +31,7 @@ KEYS = {
     "utterances": ("id", "document_id"),
     "panels": ("id", "document_id"),
     "document_people": ("email", "document_id"),
-    "chunks": ("source_id", None),
+    "chunks": ("source_id", "document_id"),
     "embeddings": ("source_id", None),
     "metadata": ("key", None),
     "sync_log": ("document_id", None),

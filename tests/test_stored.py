@@ -248,3 +248,50 @@ def test_bounds_hold(spark):
     ceiling = bounds(v[:200], c, least, most)
     assert all((v[:200] @ v[of == k].T).max(axis=1)[i] <= ceiling[i, k] + 1e-9 for k in range(12) for i in range(200))
     assert (ceiling < 0.9).any()
+
+
+# ---- chunks by the feed of changes
+
+
+def test_only_changed_documents_are_cut_into_chunks(spark, tmp_path, monkeypatch):
+    from quillspan.operators import chunking, embed
+    from quillspan.plans import index
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    long = lambda x: f"A paragraph about {x} that is long enough to be kept.\n\nAnother one about {x}, long enough as well."
+    put = lambda rows: store.table("documents").upsert(spark.createDataFrame(rows, "id string, title string, notes_plain string"))
+    put([(f"d{i}", f"T{i}", long(i)) for i in range(6)])
+    seen = []
+    whole = chunking.note_chunks
+
+    def spy(documents, *a, **k):
+        seen.append(sorted(r["id"] for r in documents.select("id").collect()))
+        return whole(documents, *a, **k)
+
+    monkeypatch.setattr(chunking, "note_chunks", spy)
+    make = lambda: embed.byte_embedder(8)
+    first = index.refresh(store, make, "bytes", 8)
+    assert first["embed"] == store.read("chunks").count() == 12 and len(seen[-1]) == 6
+    assert index.refresh(store, lambda: 1 / 0, "bytes", 8) == {"embed": 0, "refresh": 0, "unchanged": 12, "orphan": 0, "failed": 0} and seen[-1] == []
+    put([("d1", "T1", long("news")), ("d9", "T9", long(9))])
+    store.table("documents").remove(spark.createDataFrame([("d2",)], "id string"))
+    before = store.table("chunks").commits.head()[1]["ranges"]
+    assert index.refresh(store, make, "bytes", 8) == {"embed": 4, "refresh": 0, "unchanged": 8, "orphan": 2, "failed": 0}
+    assert seen[-1] == ["d1", "d9"] and before != store.table("chunks").commits.head()[1]["ranges"]
+    chunk = lambda: {(r["source_type"], r["source_id"], r["content_hash"]) for r in store.read("chunks").collect()}
+    vector = lambda: {(r["source_type"], r["source_id"], tuple(r["vector"])) for r in store.read("embeddings").collect()}
+    step = chunk(), vector()
+    index.clear(store)
+    assert index.refresh(store, make, "bytes", 8)["embed"] == 12 and (chunk(), vector()) == step
+    assert index.refresh(store, make, "bytes", 8, headers=True)["embed"] == 12 and len(seen[-1]) == 6
+    put([("d3", "T3", long("failing"))])
+
+    def broken():
+        raise RuntimeError("no model")
+
+    class Failing:
+        def __call__(self, texts):
+            raise ValueError("no")
+
+    assert index.refresh(store, Failing, "bytes", 8, headers=True)["failed"] > 0
+    assert index.refresh(store, make, "bytes", 8, headers=True)["embed"] > 0 and store.read("chunks").count() == 12
