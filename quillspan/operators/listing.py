@@ -57,6 +57,12 @@ def fetch_in_order(documents: DataFrame, ids: list[str]) -> DataFrame:
     return documents.join(F.broadcast(wanted), "id").orderBy("pos")  # a list that a caller wrote
 
 
+def live_panels(panels: DataFrame, document_id: str) -> DataFrame:
+    """A document's panels that aren't deleted, oldest first."""
+    live = F.col("deleted_at").isNull() if "deleted_at" in panels.columns else ~F.col("deleted")
+    return panels.filter(F.col("document_id") == document_id).filter(live).orderBy(F.col("created_at").asc_nulls_first(), "id")
+
+
 def document_refs(documents: DataFrame) -> DataFrame:
     return documents.select("id", "title")
 

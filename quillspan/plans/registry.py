@@ -16,7 +16,8 @@ from quillspan.functions.vectors import cosine
 from quillspan.operators import chunking, evaluation, evidence, fusion, ingest, listing, rerank, search, semantic, stats, transcripts
 from quillspan.operators.textindex import TextIndex, search_top
 from quillspan.operators.vectorindex import VectorIndex
-from quillspan.sources.adapters import Tables, with_
+from quillspan.plans import commands
+from quillspan.sources.adapters import SQL, Tables, with_
 from quillspan.sources.commits import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -668,6 +669,33 @@ def evidence_first_n_per_doc(t: Tables) -> DataFrame:
     return _longs(evidence.first_matches(_sites(t), 2).filter("shown"), "pos", "total").select("document_id", "source", "pos", "total", "text")
 
 
+@query(
+    f"""{_ALL_SITES.replace("WITH ", "WITH RECURSIVE ", 1)}, {_bm25_sql(_NOTES, "idiot", "_e")},
+hits AS (SELECT docs.id, score, row_number() OVER (ORDER BY score, created_at DESC, docs.id) AS rank FROM docs JOIN best_e ON docs.id = best_e.document_id WHERE deleted_at IS NULL),
+v AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0), {SQL["chunks"]},
+near AS (SELECT document_id, chunk_id, list_cosine_similarity(CAST(vector AS DOUBLE[]), q) AS s FROM chunks, v JOIN docs ON docs.deleted_at IS NULL WHERE docs.id = document_id),
+one AS (SELECT document_id, arg_min(chunk_id, (-round(s, 12), chunk_id)) AS best_chunk, max(s) AS s FROM near WHERE s >= 0 GROUP BY document_id),
+sem AS (SELECT document_id, row_number() OVER (ORDER BY round(s, 12) DESC, document_id) AS rank FROM one),
+fused AS (SELECT id, sum(1.0e0 / (60 + rank)) AS rrf, min(rank) AS best_rank FROM (SELECT id, rank FROM hits WHERE rank <= 100 UNION ALL SELECT document_id, rank FROM sem WHERE rank <= 100) GROUP BY id),
+page AS (SELECT id, row_number() OVER (ORDER BY round(rrf, 12) DESC, best_rank, id) AS pos FROM fused QUALIFY pos <= 10)
+SELECT (SELECT count(*) FROM hits) AS keyword_total, pos, page.id, title, best_chunk, page.id IN (SELECT id FROM hits) AS keyword,
+  CASE WHEN total IS NOT NULL THEN total WHEN best_chunk IS NOT NULL THEN 1 ELSE 0 END AS total_matches, coalesce(contains(lower(title), 'idiot'), false) AS title_match
+FROM page JOIN docs USING (id) LEFT JOIN one ON one.document_id = page.id LEFT JOIN (SELECT DISTINCT document_id, total FROM placed) z ON z.document_id = page.id"""
+)
+def search_envelope(t: Tables) -> DataFrame:
+    """A page of a hybrid search with total, best chunks and evidence, its cards as rows."""
+    vector = t.raw("embeddings").filter("vec_id = 0").first()["embedding"]
+    page, total = commands.search_page(t.documents(), t.panels(), t.utterances(), _sources(t, "notes"), t.chunks(), "idiot", vector, separator="\n")
+    rows = commands.search_envelope(page, total, "idiot", 10).select("keyword_total", F.posexplode("meetings").alias("at", "m"))
+    return rows.select("keyword_total", (F.col("at") + 1).cast("long").alias("pos"), "m.id", "m.title", "m.best_chunk", F.col("m.signal_keyword").alias("keyword"), "m.total_matches", F.col("m.signal_title").alias("title_match"))
+
+
+@query(f"{with_('panels', 'docs')} SELECT panels.id, panels.document_id FROM panels JOIN docs ON docs.id = panels.document_id WHERE document_id = '7' AND NOT deleted")
+def live_panels(t: Tables) -> DataFrame:
+    """The panels of one document: a lookup."""
+    return listing.live_panels(t.panels().withColumn("created_at", F.current_timestamp()), "7").select("id", "document_id")
+
+
 @query(f"{_ALL_SITES} SELECT document_id, string_agg(source, ',' ORDER BY source) AS remaining FROM (SELECT DISTINCT document_id, source FROM placed WHERE pos > 1) GROUP BY document_id")
 def evidence_remaining_sources(t: Tables) -> DataFrame:
     r = evidence.remaining_sources(evidence.first_matches(_sites(t), 1))

@@ -172,6 +172,12 @@ class RangeTable:
 
         return self._changed(make, attempts)
 
+    def restore(self, at: int) -> int:
+        """Make an older commit's rows the table again; its files must still be there."""
+        n, old = self.version(), self.commits.read(at) if at >= 0 else {"bits": 0, "ranges": {}}
+        self.commits.commit(n + 1, {"bits": old["bits"], "ranges": old["ranges"], "folder": f"restored-{at}"})
+        return n + 1
+
     def regroup(self, bits: int) -> int:
         """The same rows in another number of ranges."""
         return self.replace(self.read(), bits)

@@ -295,3 +295,63 @@ def test_only_changed_documents_are_cut_into_chunks(spark, tmp_path, monkeypatch
 
     assert index.refresh(store, Failing, "bytes", 8, headers=True)["failed"] > 0
     assert index.refresh(store, make, "bytes", 8, headers=True)["embed"] > 0 and store.read("chunks").count() == 12
+
+
+# ---- opening a store
+
+
+def test_an_old_store_is_brought_up_step_by_step(spark, tmp_path, monkeypatch):
+    from quillspan.sources import migrations
+    from quillspan.sources.schemas import VERSION
+
+    assert max(migrations.STEPS) == VERSION
+    new = migrations.open_store(spark, f"file://{tmp_path}/new")
+    assert migrations.version(new) == VERSION
+    old = Store(spark, f"file://{tmp_path}/old")
+    old.table("documents").upsert(spark.createDataFrame([("d1", None), ("d2", "T")], "id string, title string"))
+    snapshot = '{"detected_speaker_name":"Bob"}'
+    old.table("utterances").replace_children(spark.createDataFrame([("u", "d1", None, snapshot), ("v", "d1", "Al", snapshot), ("w", "d1", None, None)], "id string, document_id string, speaker_name string, api_snapshot string"), spark.createDataFrame([("d1",)], "document_id string"))
+    old.table("metadata").upsert(spark.createDataFrame([("schema_version", "1")], "key string, value string"))
+    ran = []
+    steps = {n: (lambda store, n=n, f=f: (ran.append(n), f(store))) for n, f in migrations.STEPS.items()}
+
+    def fails(store):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(migrations, "STEPS", steps | {3: fails})
+    with pytest.raises(RuntimeError):
+        migrations.open_store(spark, old.root)
+    assert ran == [2] and migrations.version(old) == 2
+    monkeypatch.setattr(migrations, "STEPS", steps)
+    store = migrations.open_store(spark, old.root)
+    migrations.open_store(spark, old.root)
+    assert ran == [2, 3] and migrations.version(store) == 3
+    assert {r["id"]: r["title"] for r in store.read("documents").collect()} == {"d1": "", "d2": "T"}
+    assert {r["id"]: r["speaker_name"] for r in store.read("utterances").collect()} == {"u": "Bob", "v": "Al", "w": None}
+    migrations.restore(store, 0)
+    assert migrations.version(store) == 1 and {r["id"]: r["title"] for r in store.read("documents").collect()} == {"d1": None, "d2": "T"}
+    old.table("metadata").upsert(spark.createDataFrame([("schema_version", "99")], "key string, value string"))
+    with pytest.raises(ValueError, match="99"):
+        migrations.open_store(spark, old.root)
+
+
+def test_search_page_has_totals_chunks_and_deleted_ones(spark):
+    from quillspan.plans import commands
+
+    at = "timestamp '2025-01-01 00:00:00'"
+    docs = spark.sql(f"select id, title, {at} as created_at, if(gone, {at}, null) as deleted_at, notes_plain from values ('a', 'Roadmap', 'the roadmap is here', false), ('b', 'Other', 'nothing', false), ('g', 'Gone', 'a roadmap', true) as t(id, title, notes_plain, gone)")
+    panels = spark.createDataFrame([], "id string, document_id string, content_markdown string, deleted boolean")
+    said = spark.createDataFrame([], "document_id string, seq long, start_timestamp timestamp, text string, source string, speaker_name string")
+    chunks = spark.createDataFrame([(1, "a", "notes_paragraph", [1.0, 0.0], "far"), (2, "b", "notes_paragraph", [0.0, 1.0], "near it"), (3, "g", "notes_paragraph", [0.0, 1.0], "gone")], "chunk_id long, document_id string, source_type string, vector array<double>, text string")
+    sources = {"notes": docs.selectExpr("id as document_id", "notes_plain as text")}
+    page, total = commands.search_page(docs, panels, said, sources, chunks, "roadmap", [0.0, 1.0], limit=5)
+    cards = {r["id"]: r for r in page.collect()}
+    assert total.first()[0] == 1 and set(cards) == {"a", "b"}
+    assert cards["a"]["signal_keyword"] and cards["a"]["signal_title"] and cards["a"]["best_chunk"] == 1 and cards["a"]["total_matches"] == 1
+    assert not cards["b"]["signal_keyword"] and cards["b"]["best_chunk"] == 2 and cards["b"]["chunk_evidence"]["excerpt"]["text"] == "near it"
+    page, total = commands.search_page(docs, panels, said, sources, chunks, "roadmap", [0.0, 1.0], limit=1, include_deleted=True)
+    assert total.first()[0] == 2 and [r["id"] for r in page.collect()] == ["g"]
+    one = commands.search_envelope(page, total, "roadmap", 1).first()
+    assert (one["keyword_total"], one["limit"], one["returned"]) == (2, 1, 1) and one["meetings"][0]["id"] == "g"
+    with pytest.raises(ValueError):
+        commands.search_page(docs, panels, said, sources, chunks, "x", [0.0, 1.0], limit=0)
