@@ -12,9 +12,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Lower-case Latin letters with marks, and the plain letters they fold to; made from their decompositions.
-MARKED, PLAIN = zip(*((chr(c), b) for c in range(0xE0, 0x180) if (b := unicodedata.normalize("NFD", chr(c))[0]).isascii() and b.islower()), strict=True)
-WORD = r"[\p{L}\p{N}]+"
+#: Lower-case letters of one mark over a Latin letter, and the plain letters they fold to; made from their decompositions.
+MARKED, PLAIN = zip(*((chr(c), d[0]) for c in range(0xE0, 0x10000) if len(d := unicodedata.normalize("NFD", chr(c))) == 2 and "a" <= d[0] <= "z" and unicodedata.combining(d[1])), strict=True)
+#: The combining marks that go, where a letter and its mark are two code points.
+MARKS = "".join(chr(0x300 + i) for i in (*range(5), 6, 7, 8, 9, 10, 11, 12, 15, 17, 27, 35, 36, 37, 38, 39, 40, 45, 46, 48, 49))
+WORD = r"[\p{L}\p{N}\p{Co}]+"
 
 SECTION = T.ArrayType(T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("heading", T.StringType()), T.StructField("body", T.StringType())]))
 EXCERPT = T.StructType([T.StructField("text", T.StringType()), T.StructField("highlights", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
@@ -23,16 +25,16 @@ EXCERPT = T.StructType([T.StructField("text", T.StringType()), T.StructField("hi
 def fold(text: Column) -> Column:
     """Lower case without marks; the slow letter-by-letter way is for texts that aren't ASCII alone."""
     low = F.lower(text)
-    return F.when(F.octet_length(text) == F.length(text), low).otherwise(F.translate(low, "".join(MARKED), "".join(PLAIN)))
+    return F.when(F.octet_length(text) == F.length(text), low).otherwise(F.translate(low, "".join(MARKED) + MARKS, "".join(PLAIN)))
 
 
 def tokens(text: Column) -> Column:
-    """Words of letters and digits, folded; null gives none."""
+    """Words of letters, digits and private-use characters, folded; null gives none."""
     return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def fold_str(text: str) -> str:
-    return text.lower().translate(dict(zip(map(ord, MARKED), PLAIN, strict=True)))
+    return text.lower().translate(dict(zip(map(ord, MARKED), PLAIN, strict=True)) | dict.fromkeys(map(ord, MARKS)))
 
 
 def parse_query(query: str) -> list[str]:
@@ -45,7 +47,7 @@ def parse_query(query: str) -> list[str]:
 
 def phrases(query: str) -> list[list[str]]:
     """The words of each part of a query: a part with punctuation inside is a phrase. Parts without words go."""
-    split = [re.findall(r"[^\W_]+", fold_str(p)) for p in parse_query(query)]
+    split = [re.findall(r"(?:[^\W_]|[\ue000-\uf8ff\U000f0000-\U000ffffd\U00100000-\U0010fffd])+", fold_str(p)) for p in parse_query(query)]
     return [p for p in split if p]
 
 

@@ -21,8 +21,11 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,8 @@ from quillspan.sources.commits import Commits
 
 #: 2**RANGE_BITS rows are a range; at most so many ranges are named in a filter, beyond they are joined.
 RANGE_BITS, NAMED = 10, 5000
+#: Tokens of a bucket of the first batch, and the most buckets.
+BUCKET_TOKENS, MOST_BUCKETS = 20_000_000, 4096
 POSTINGS = "term string, range long, row_id string, document_id string, live boolean, len int, tf int, positions array<int>, bucket int"
 BLOCKS = "term string, range long, n long, most double, bucket int"
 ROWS = "row_id string, document_id string, live boolean, len int, range long, terms array<string>, part int"
@@ -45,10 +50,10 @@ def impact(tf: Column, length: Column, average: float) -> Column:
 
 
 class TextIndex:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
-        """buckets: folders of a segment's postings; fixed by the first commit."""
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
+        """buckets: folders of a segment's postings; fixed by the first batch, by its tokens where not given."""
         self.spark, self.root, self.commits = spark, root.rstrip("/"), Commits(spark, root)
-        self.buckets = self.commits.head()[1].get("buckets", buckets)
+        self.buckets = self.commits.head()[1].get("buckets") or buckets or 0
 
     # ---- reading
 
@@ -66,11 +71,11 @@ class TextIndex:
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], GONE)
 
     def _bucket(self, term: Column) -> Column:
-        return F.pmod(F.crc32(term), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.crc32(term), F.lit(max(1, self.buckets))).cast("int")
 
     def _of_terms(self, df: DataFrame, terms: list[str]) -> DataFrame:
         """Rows of these terms; both filters reach the scan."""
-        return df.filter(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % self.buckets for t in terms})) & F.col("term").isin(terms))
+        return df.filter(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % max(1, self.buckets) for t in terms})) & F.col("term").isin(terms))
 
     def postings(self, terms: list[str] | None = None, head: dict | None = None) -> DataFrame:
         """Postings of present rows."""
@@ -96,7 +101,7 @@ class TextIndex:
     # ---- writing
 
     def _part(self, row_id: Column) -> Column:
-        return F.pmod(F.crc32(row_id), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.crc32(row_id), F.lit(max(1, self.buckets))).cast("int")
 
     def append(self, rows: DataFrame, removed: DataFrame | None = None, batch: int | None = None) -> int:
         """Index new versions of rows, and take out those of ``removed`` (row_id, or document_id for all its rows). Returns the commit's number.
@@ -152,29 +157,28 @@ class TextIndex:
         return old, size["n"], size["t"], path
 
     def _write(self, name: str, fresh: DataFrame) -> float:
-        """postings, rows and blocks of one segment; the average length that blocks are for. Ranges are runs of rows in the order of their keys, so that each term's
-        postings fall into few of them where alike rows have alike keys."""
-        words = fresh.select("row_id", "document_id", "live", tokens(F.col("text")).alias("w"))
-        sized = words.withColumns({"len": F.size("w"), "terms": F.array_distinct("w")})
-        size = sized.agg(F.count("*").alias("n"), F.sum("len").alias("t")).first()
-        parts, average = 1 + (size["n"] >> 16), max(1, size["t"] or 0) / max(1, size["n"])
-        ordered = sized.repartitionByRange(parts, "row_id").sortWithinPartitions("row_id")
-        spot = F.monotonically_increasing_id()  # rises within a partition, and partitions are ranges of keys
-        ranged = ordered.withColumn("spot", spot).withColumn("range", F.shiftright("spot", RANGE_BITS)).drop("spot")
+        """postings, rows and blocks of one segment; the average length that blocks are for.
+
+        Texts are cut into words once. A row's range is by its key's hash, so ranges are of about equal size, and a row's
+        postings are made where the row is: one shuffle deals them to their files.
+        """
         path = f"{self.root}/{name}"
-        ranged.select("row_id", "document_id", "live", "len", "range", "terms", self._part(F.col("row_id")).alias("part"), "w").write.parquet(f"{path}/rows-and-words")
-        whole = self.spark.read.schema(ROWS + ", w array<string>").parquet(f"{path}/rows-and-words")
-        whole.drop("w").repartition("part", F.shiftright("range", 12)).sortWithinPartitions("part", "row_id").write.partitionBy("part").parquet(f"{path}/rows")
-        placed = whole.select("range", "row_id", "document_id", "live", "len", F.posexplode("w").alias("at", "term"))
-        grouped = placed.groupBy("term", "range", "row_id", "document_id", "live", "len").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-        posted = grouped.select("term", "range", "row_id", "document_id", "live", "len", F.size("positions").alias("tf"), "positions", self._bucket(F.col("term")).alias("bucket"))
+        fresh.select("row_id", "document_id", "live", tokens(F.col("text")).alias("w")).withColumn("len", F.size("w")).write.parquet(f"{path}/words")
+        words = self.spark.read.schema("row_id string, document_id string, live boolean, w array<string>, len int").parquet(f"{path}/words")
+        size = words.agg(F.count("*").alias("n"), F.sum("len").alias("t")).first()
+        average = max(1, size["t"] or 0) / max(1, size["n"])
+        self.buckets = self.buckets or min(MOST_BUCKETS, 1 + (size["t"] or 0) // BUCKET_TOKENS)
+        ranged = words.withColumn("range", F.pmod(F.xxhash64("row_id"), F.lit(1 + (size["n"] >> RANGE_BITS))))
+        rows = ranged.select("row_id", "document_id", "live", "len", "range", F.array_distinct("w").alias("terms"), self._part(F.col("row_id")).alias("part"))
+        rows.repartition("part", F.pmod("range", F.lit(1 + (size["n"] >> 18)))).sortWithinPartitions("part", "row_id").write.partitionBy("part").parquet(f"{path}/rows")
+        posted = ranged.select("row_id", "document_id", "live", "len", "range", "w").mapInArrow(_posted, "term string, range long, row_id string, document_id string, live boolean, len int, tf int, positions array<int>")
         # dealt by term and range, so a frequent term doesn't meet in one task; in each file by term
-        dealt = posted.repartition("bucket", F.shiftright("range", 6)).sortWithinPartitions("bucket", "term", "range", "row_id")
+        dealt = posted.withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket", F.shiftright("range", 6)).sortWithinPartitions("bucket", "term", "range")
         dealt.write.option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{path}/postings")
         stored = self.spark.read.schema(POSTINGS).parquet(f"{path}/postings")
         blocks = stored.groupBy("bucket", "term", "range").agg(F.count("*").alias("n"), F.max(impact(F.col("tf"), F.col("len"), average)).alias("most"))
         blocks.repartition("bucket", F.shiftright("range", 12)).sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/blocks")
-        self.commits.delete(f"{path}/rows-and-words")
+        self.commits.delete(f"{path}/words")
         return average
 
     def _write_terms(self, name: str, old: DataFrame | None) -> None:
@@ -336,3 +340,25 @@ def search_top(documents: DataFrame, indexes: dict[str, TextIndex], query: str,
     best = reduce(DataFrame.unionByName, [x.top(query, k, allowed)[0] for x in indexes.values()]).groupBy("document_id").agg(F.min("score").alias("score"))
     found = documents.join(best, documents["id"] == best["document_id"]).select("id", "title", "created_at", "score")
     return found.orderBy(F.col("score").asc(), F.col("created_at").desc(), F.col("id").asc()).limit(k)
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A posting for each row and distinct word, with the word's places in the row."""
+    for batch in batches:
+        words = batch.column("w")
+        offsets = words.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        coded = words.flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        if not len(code):
+            continue
+        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        place = (np.arange(len(code)) - offsets[row]).astype(np.int32)
+        key = row * len(coded.dictionary) + code
+        order = np.argsort(key, kind="stable")
+        new = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+        tf = np.diff(np.append(new, len(order))).astype(np.int32)
+        of = pa.array(row[order[new]])
+        positions = pa.ListArray.from_arrays(pa.array(np.append(new, len(order)).astype(np.int32)), pa.array(place[order]))
+        columns = [coded.dictionary.take(pa.array(code[order[new]])), *(batch.column(c).take(of) for c in ("range", "row_id", "document_id", "live", "len")), pa.array(tf), positions]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "range", "row_id", "document_id", "live", "len", "tf", "positions"])

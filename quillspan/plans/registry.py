@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.dates import DateRange
-from quillspan.functions.text import MARKED, PLAIN, content_words, excerpt, parse_query, phrases, speaker_label, speaker_prefix, strip_footer, tokens
+from quillspan.functions.text import MARKED, MARKS, PLAIN, content_words, excerpt, parse_query, phrases, speaker_label, speaker_prefix, strip_footer, tokens
 from quillspan.functions.text import sections as sections_of
 from quillspan.functions.tiptap import tiptap_markdown
 from quillspan.functions.vectors import cosine
@@ -40,8 +41,8 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Callable
 
 # ---- keyword search
 
-_FOLD = "translate(lower(coalesce({x}, '')), '" + "".join(MARKED) + "', '" + "".join(PLAIN) + "')"
-_WORDS = r"regexp_extract_all({x}, '[\p{{L}}\p{{N}}]+')".format(x=_FOLD)
+_FOLD = "translate(lower(coalesce({x}, '')), '" + "".join(MARKED) + MARKS + "', '" + "".join(PLAIN) + "')"
+_WORDS = r"regexp_extract_all({x}, '[\p{{L}}\p{{N}}\p{{Co}}]+')".format(x=_FOLD)
 
 
 def _words(x: str) -> str:
@@ -204,6 +205,26 @@ _MANY = [["the"], ["of", "the"], ["der"], ["que"]]
 ORACLES["fts_many_queries"] = f"{with_('docs')}, " + ",\n".join(_bm25_sql(_TITLES, " ".join(q), f"_{i}") for i, q in enumerate(_MANY)) + "\n" + " UNION ALL ".join(f"SELECT {i} AS query_id, document_id, round(score, 6) AS score FROM best_{i}" for i in range(4))
 
 
+#: Letters and marks of many scripts, and some private-use characters: each document gets one beside and inside words.
+_LETTERS = "".join(
+    chr(c)
+    for lo, hi in ((0xC0, 0x530), (0x5D0, 0x5EB), (0x620, 0x660), (0x905, 0x93A), (0xE01, 0xE3B), (0x10D0, 0x10FB), (0x1E00, 0x1F00), (0xE000, 0xE010))
+    for c in range(lo, hi)
+    if unicodedata.category(chr(c)) in (("Ll", "Lu", "Lo", "Mn", "Co") if c < 0x180 else ("Ll", "Lo", "Mn", "Co"))
+)
+
+
+@query(
+    f"""{with_('docs')}, m AS (SELECT id, substr('{_LETTERS}', CAST(CAST(id AS BIGINT) % {len(_LETTERS)} AS INTEGER) + 1, 1) AS c, title FROM docs)
+SELECT id, array_to_string({_words("c || 'x e' || c || 'b ' || title || ' ' || c")}, '|') AS words FROM m"""
+)
+def tokens_unicode(t: Tables) -> DataFrame:
+    """Titles with a letter or mark of some script beside and inside words, cut into words."""
+    c = F.substr(F.lit(_LETTERS), (F.col("id").cast("long") % len(_LETTERS) + 1).cast("int"), F.lit(1))
+    text = F.concat(c, F.lit("x e"), c, F.lit("b "), F.col("title"), F.lit(" "), c)
+    return t.documents().select("id", F.array_join(tokens(text), "|").alias("words"))
+
+
 # ---- the stored index
 
 _BUILT: dict[tuple[str, str, str], TextIndex | VectorIndex] = {}
@@ -475,15 +496,20 @@ def semantic_best_chunk_per_doc(t: Tables) -> DataFrame:
     return semantic.best_chunks(semantic.scored(t.chunks(), _vector_queries(t)), -1.0).withColumn("score", F.round("score", 6)).select("query_id", "document_id", "chunk_id", "source_type", "score")
 
 
-@query(f"{_semantic_sql()} {_RANKED}")
-def semantic_pruned_topk(t: Tables) -> DataFrame:
-    """``semantic_topk`` over stored cells: only those whose bound reaches some query's twentieth score are read."""
+def stored_vectors(t: Tables) -> VectorIndex:
+    """The cells of the chunks of ``root``, built once a session."""
     key = (t.spark.sparkContext.applicationId, t.root, "vectors")
     if key not in _BUILT:
         index = VectorIndex(t.spark, shared_folder(t.spark, "vectors"))
         index.build(t.chunks())
         _BUILT[key] = index
-    return _near(_BUILT[key].search(_vector_queries(t), limit=20)[0])
+    return _BUILT[key]
+
+
+@query(f"{_semantic_sql()} {_RANKED}")
+def semantic_pruned_topk(t: Tables) -> DataFrame:
+    """``semantic_topk`` over stored cells: only those whose bound reaches some query's twentieth score are read."""
+    return _near(stored_vectors(t).search(_vector_queries(t), limit=20)[0])
 
 
 _NOT_TITLES = "source_type IN ('transcript_window', 'notes_paragraph')"

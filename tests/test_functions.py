@@ -187,3 +187,12 @@ def test_header():
     assert h == "Meeting: Plan\nDate: 2025-06-15\nAttendees: Ann, Bob\n\n"
     assert chunking.header_of("", None, []) is None
     assert chunking.size(chunking.header_of("é" * 600, "2025-06-15", ["N" * 40] * 30)) <= 512
+
+
+def test_words_of_all_scripts_fold_letters_of_one_mark_and_drop_marks(spark):
+    from quillspan.functions.text import phrases, tokens
+
+    text = "CAFE\u0301 café Ệ ṡ a\u0331b x\u0483y \ue000z ĄĘ ό"
+    want = ["cafe", "cafe", "ệ", "s", "ab", "x", "y", "\ue000z", "ae", "ό"]
+    got = spark.createDataFrame([(text,)], "t string").select(tokens(F.col("t")).alias("w")).first()["w"]
+    assert got == want and [p for parts in phrases(text) for p in parts] == want
