@@ -117,7 +117,9 @@ class TextIndex:
         name = f"s{n + 1:06d}-{uuid.uuid4().hex[:8]}"
         live = F.coalesce(F.col("live"), F.lit(False)) if "live" in rows.columns else F.lit(True)
         plain = rows.filter("row_id is not null").select(F.col("row_id").cast("string").alias("row_id"), F.col("document_id").cast("string").alias("document_id"), live.alias("live"), "text")
-        fresh = plain.groupBy("row_id").agg(F.max_by(F.struct("document_id", "live", "text"), F.xxhash64("document_id", "live", "text")).alias("r")).select("row_id", "r.*")
+        # texts are cut into words by as many tasks as there are: small files and coalesced shuffles would leave few
+        tasks = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        fresh = plain.repartition(tasks, "row_id").groupBy("row_id").agg(F.max_by(F.struct("document_id", "live", "text"), F.xxhash64("document_id", "live", "text")).alias("r")).select("row_id", "r.*")
         average = self._write(name, fresh)
         mine = self.spark.read.schema(ROWS).parquet(f"{self.root}/{name}/rows")
         old, gone, minus, path = self._superseded(head, mine.select("row_id", "part"), removed)
@@ -173,7 +175,9 @@ class TextIndex:
         rows.repartition("part", F.pmod("range", F.lit(1 + (size["n"] >> 18)))).sortWithinPartitions("part", "row_id").write.partitionBy("part").parquet(f"{path}/rows")
         posted = ranged.select("row_id", "document_id", "live", "len", "range", "w").mapInArrow(_posted, "term string, range long, row_id string, document_id string, live boolean, len int, tf int, positions array<int>")
         # dealt by term and range, so a frequent term doesn't meet in one task; in each file by term
-        dealt = posted.withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket", F.shiftright("range", 6)).sortWithinPartitions("bucket", "term", "range")
+        total = size["t"] or 0
+        spread = F.pmod("range", F.lit(1 + total // (self.buckets * max(500_000, min(16_000_000, total // 64)))))
+        dealt = posted.withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket", spread).sortWithinPartitions("bucket", "term", "range")
         dealt.write.option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{path}/postings")
         stored = self.spark.read.schema(POSTINGS).parquet(f"{path}/postings")
         blocks = stored.groupBy("bucket", "term", "range").agg(F.count("*").alias("n"), F.max(impact(F.col("tf"), F.col("len"), average)).alias("most"))
