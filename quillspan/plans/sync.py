@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspan.operators import ingest
 from quillspan.plans import index
-from quillspan.sources import landing
+from quillspan.sources import landing, live
 from quillspan.sources.store import Store
 
 #: Tables whose rows name the account that they came from.
@@ -71,25 +71,25 @@ def see_account(store: Store, account: str, user: str | None, email: str | None,
     store.write("accounts", ingest.log_account(known, account, user, email, at))
 
 
-def full_sync(store: Store, landing_root: str, at: str, account: str | None = None, only: list[str] | None = None, user: str | None = None, email: str | None = None, chat_host: str | None = None, embedder: tuple[Callable, str, int] | None = None) -> dict[str, dict]:
+def full_sync(store: Store, landing_root: str, at: str, account: str | None = None, only: list[str] | None = None, user: str | None = None, email: str | None = None, chat_host: str | None = None, embedder: tuple[Callable, str, int] | None = None, lines: bool = False) -> dict[str, dict]:
     """Sync all entities (or ``only`` some) from ``<landing_root>/<entity>``; returns each one's counts or error.
 
     embedder: what makes the model, its name and its width; with it the index is brought up to date at the end.
-    ``<landing_root>/fetched`` may list (document_id, kind, status) of what was asked for, status being null where it came.
+    ``<landing_root>/fetched`` may list (document_id, kind, status) of what was asked for, status being null where it came. lines: transcripts, panels and that list lie as a response a line (``live.land``).
     """
     out: dict[str, dict] = {}
     if account is not None:
         see_account(store, account, user, email, at)
-    for name in only or [*READERS, "calendars", "utterances", "panels"]:
+    for name in [*READERS, "calendars", "utterances", "panels"] if only is None else only:
         path = f"{landing_root}/{name}"
         try:
             if name == "calendars":
                 store.write("calendars", ingest.upsert_calendars(store.read("calendars"), _calendar_rows(store, landing.selected_calendars(store.spark, path))))
                 out[name] = {}
             elif name == "utterances":
-                out[name] = _children(store, "utterances", landing.transcript(store.spark, path), landing.fetched(store.spark, landing_root, "transcript"), at)
+                out[name] = _children(store, "utterances", landing.transcript(store.spark, path, lines), landing.fetched(store.spark, landing_root, "transcript", lines), at)
             elif name == "panels":
-                out[name] = _children(store, "panels", landing.panels(store.spark, path, chat_host), landing.fetched(store.spark, landing_root, "panels"), at)
+                out[name] = _children(store, "panels", landing.panels(store.spark, path, chat_host, lines), landing.fetched(store.spark, landing_root, "panels", lines), at)
             else:
                 incoming = READERS[name](store.spark, path)
                 if name == "documents" and (warning := ingest.empty_account(incoming.count(), store.read("documents"))):
@@ -106,6 +106,36 @@ def full_sync(store: Store, landing_root: str, at: str, account: str | None = No
     return out
 
 
+def live_sync(store: Store, url: str, token: str | None, landing_root: str, at: str, retry: bool = False, only: list[str] | None = None, chat_host: str | None = None, account: str | None = None, embedder: tuple[Callable, str, int] | None = None, **options: object) -> dict[str, dict]:
+    """A full sync from the service itself, through a landing zone of this run: a new folder.
+
+    Kinds in one answer first; then transcripts and panels of the documents that lack them, logged failures only to
+    ``retry`` them. A kind that can't be fetched is reported and the others go on. options: of ``live``'s source.
+    """
+    kinds = only or list(live.PATHS)
+    out: dict[str, dict] = {}
+
+    def fetch(kind: str, queue: str | None = None) -> bool:
+        try:
+            live.land(live.answers(store.spark, kind, url, token, queue, **options), landing_root, kind)
+        except Exception as e:  # noqa: BLE001  as in ``full_sync``
+            out[live.BY_DOCUMENT.get(kind, kind)] = _error(e)
+            return False
+        return True
+
+    if whole := [k for k in kinds if k not in live.BY_DOCUMENT and fetch(k)]:
+        out |= full_sync(store, landing_root, at, account, whole, chat_host=chat_host)
+    asked = [k for k in kinds if k in live.BY_DOCUMENT]
+    todo = work_list(store, retry)
+    for kind in asked:
+        live.enqueue(store.spark, todo.filter(F.col("kind") == kind).select(F.col("id").alias("document_id")), f"{landing_root}/queue/{kind}")
+    if got := [live.BY_DOCUMENT[k] for k in asked if fetch(k, f"{landing_root}/queue/{k}")]:
+        out |= full_sync(store, landing_root, at, only=got, chat_host=chat_host, lines=True)
+    if embedder is not None:
+        out |= full_sync(store, landing_root, at, only=[], embedder=embedder)
+    return out
+
+
 def _error(e: Exception) -> dict[str, str]:
     return {"error": str(e).splitlines()[0] if str(e) else type(e).__name__, "type": type(e).__name__, "trace": traceback.format_exc()}
 

@@ -32,8 +32,9 @@ UTTERANCE_BULK = {"text"}
 CALENDARS = "calendars_selected map<string, boolean>, enabled_calendars array<struct<id: string, provider: string, `primary`: boolean, accessRole: string, summary: string, backgroundColor: string>>"
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+def _json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """lines: a response in each line instead of one a file."""
+    return spark.read.schema(schema).option("multiLine", "false" if lines else "true").json(path)
 
 
 def _instants(df: DataFrame, *columns: str) -> DataFrame:
@@ -78,9 +79,9 @@ def templates(spark: SparkSession, path: str, builtin: str = "is_builtin") -> Da
     return _instants(rows, "created_at", "updated_at", "deleted_at")
 
 
-def panels(spark: SparkSession, path: str, chat_host: str | None = None) -> DataFrame:
+def panels(spark: SparkSession, path: str, chat_host: str | None = None, lines: bool = False) -> DataFrame:
     """Panels as Markdown; a line that links to ``chat_host`` is cut off and its address kept as chat_url."""
-    raw = _json(spark, path, PANEL)
+    raw = _json(spark, path, PANEL, lines)
     rows = raw.withColumns({"content_json": F.col("content"), "content_markdown": tiptap_markdown("content"), "api_snapshot": redacted(raw.columns, PANEL_BULK)})
     if chat_host is not None:
         rows = rows.withColumns({"chat_url": chat_url(F.col("content_markdown"), chat_host), "content_markdown": without_chat_line(F.col("content_markdown"), chat_host)})
@@ -93,16 +94,16 @@ def recipes(spark: SparkSession, path: str) -> DataFrame:
     return _instants(reduce(DataFrame.unionByName, parts).withColumnRenamed("config", "config_json"), "created_at", "updated_at", "deleted_at")
 
 
-def transcript(spark: SparkSession, path: str) -> DataFrame:
-    raw = _json(spark, path, UTTERANCE)
+def transcript(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    raw = _json(spark, path, UTTERANCE, lines)
     rows = raw.withColumns({"api_snapshot": redacted(raw.columns, UTTERANCE_BULK), "transcript_source": F.lit("api")})
     return _instants(rows, "start_timestamp", "end_timestamp").withColumnRenamed("detected_speaker_name", "speaker_name")
 
 
-def fetched(spark: SparkSession, root: str, kind: str) -> DataFrame | None:
+def fetched(spark: SparkSession, root: str, kind: str, lines: bool = False) -> DataFrame | None:
     """document_id and status (null: it came) of the documents whose ``kind`` was asked for; None where no list was left."""
     try:
-        rows = _json(spark, f"{root}/fetched", "document_id string, kind string, status string")
+        rows = _json(spark, f"{root}/fetched", "document_id string, kind string, status string", lines)
     except AnalysisException:  # no such folder
         return None
     return rows.filter(F.col("kind") == kind).select("document_id", "status")
