@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.text import speaker_label
 from quillspan.operators.ingest import transfer_decision
+from quillspan.sources.replication import file_hashes, listed
 
 
 def json_rows(df: DataFrame) -> DataFrame:
@@ -70,12 +71,8 @@ def copy_tables(spark: SparkSession, names: list[str], source: str, target: str,
 
 
 def content_hashes(spark: SparkSession, path: str, block: int = 4 << 20) -> DataFrame:
-    """path and hash of files: SHA-256 over the SHA-256 of each block."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    n = F.ceil(F.length("content") / block).cast("int")
-    digests = F.transform(F.sequence(F.lit(1), n), lambda i: F.unhex(F.sha2(F.substr("content", (i - 1) * block + 1, F.lit(block)), 256)))
-    joined = F.aggregate(F.when(n > 0, digests).otherwise(F.array().cast("array<binary>")), F.lit(b""), lambda acc, x: F.concat(acc, x))
-    return files.select("path", F.sha2(joined, 256).alias("hash"))
+    """path and hash of files: SHA-256 over the SHA-256 of each block, which tasks read one by one."""
+    return file_hashes(listed(spark, [path]), block).select("path", "hash")
 
 
 def utterance_rows(utterances: DataFrame, tz: str = "UTC") -> DataFrame:

@@ -18,8 +18,10 @@ from quillspan.operators import chunking, evaluation, evidence, fusion, ingest,
 from quillspan.operators.textindex import TextIndex, search_top
 from quillspan.operators.vectorindex import VectorIndex
 from quillspan.plans import commands
+from quillspan.sources import replication
 from quillspan.sources.adapters import SQL, Tables, with_
 from quillspan.sources.commits import shared_folder
+from quillspan.sources.ranges import RangeTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,9 +120,10 @@ def fts_phrase(t: Tables) -> DataFrame:
     return _shown(search.search(t.documents(), _sources(t, "notes"), '"of the" version-2'))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS TIMESTAMP) AS created_at, CAST(NULL AS DOUBLE) AS score WHERE false")
+@query(_search_sql({"notes": _NOTES, "titles": _TITLES}, "zyzzyvaquo"))
 def fts_no_match(t: Tables) -> DataFrame:
-    return _shown(search.search(t.documents(), _sources(t, "notes titles"), " -- "))
+    """A word that no row holds."""
+    return _shown(search.search(t.documents(), _sources(t, "notes titles"), "zyzzyvaquo"))
 
 
 @query(_search_sql({"titles": _TITLES}, "the"))
@@ -1054,3 +1057,16 @@ def calendars_upsert(t: Tables) -> DataFrame:
     n = t.raw("nation").selectExpr("n_nationkey as id")
     stored = n.filter("id < 15").withColumn("summary", F.lit("old"))
     return ingest.upsert_calendars(stored, n.filter("id % 4 = 0").selectExpr("id", "'new' as summary", "id % 8 = 0 as selected"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 50 = 0 THEN 'replaced' ELSE o_orderstatus END AS status, CAST(o_custkey AS VARCHAR) AS parent FROM orders")
+def replica_rows(t: Tables) -> DataFrame:
+    """Orders stored in ranges, copied, a fiftieth of them changed, and the difference copied: the replica's rows."""
+    root, schema = shared_folder(t.spark, "replica"), "id string, status string, parent string, updated_at int"
+    source, target = RangeTable(t.spark, f"{root}/source", schema), RangeTable(t.spark, f"{root}/target", schema)
+    rows = t.raw("orders").selectExpr("cast(o_orderkey as string) as id", "o_orderstatus as status", "cast(o_custkey as string) as parent", "1 as updated_at")
+    source.replace(rows)
+    replication.replicate(source, target)
+    source.upsert(rows.filter("cast(id as long) % 50 = 0").withColumns({"status": F.lit("replaced"), "updated_at": F.lit(2)}), "updated_at", insert_only=())
+    replication.replicate(source, target)
+    return target.read().select("id", "status", "parent")
