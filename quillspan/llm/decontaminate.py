@@ -9,7 +9,8 @@ first, as it ends where the copy does; where edits near an end make it too short
 
 The benchmark is taken in blocks of at most about ``block_words`` words, chosen by a hash of the item, and each
 block is one pass over the documents: what is broadcast has a fixed bound whatever the benchmark's size (some 90 bytes
-a word, 36 MB by default).
+a word, 36 MB by default). With several blocks each pass is a job of its own that writes what it finds, and the finds
+are joined to the rows by the digest of their text at the end, so no task holds more than one block and no plan grows.
 The masks miss no item of 11 words or more at the default threshold. Of shorter ones those of less than seven words
 are found word for word only, the others always word for word and with an edit if a mask ignores it. Items without
 words find nothing.
@@ -24,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.scratch import small_batches
+from quillspan.llm.scratch import Scratch, small_batches
 from quillspan.llm.tokens import U, mix, pieces, word_hashes
 
 #: Positions that count are 1: six or eight of seven to eleven words. In 11 to 14 words with two edits, 15 to 19 with three and
@@ -137,37 +139,53 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, thresho
     # a word and what separates it take two characters at least
     size = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
     blocks = max(1, -(-int(size) // block_words))
-    plain = ", ".join(f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    out = docs.select(*keep, F.lower(F.coalesce("text", F.lit(""))).alias("__text"), F.lit(None).cast("array<long>").alias("__items"), F.lit(0).alias("__words"))
+    text = F.lower(F.coalesce("text", F.lit("")))
+    if blocks == 1:
+        shared = _block(items)
+        plain = ", ".join(f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+        out = docs.select(*keep, text.alias("__text")).mapInArrow(_search(shared, keep, least, threshold), f"{plain}, __items array<long>, __words int")
+    else:
+        out = _in_passes(docs, items, text, blocks, least, threshold, keep)
+    return out.select(*keep, F.col("__items").isNotNull().alias("contaminated"), F.coalesce("__items", F.array().cast("array<long>")).alias("items"), F.coalesce("__words", F.lit(0)).alias("words")).withColumn("n_items", F.size("items"))
+
+
+def _in_passes(docs: DataFrame, items: DataFrame, text: Column, blocks: int, least: int, threshold: float, keep: tuple[str, ...]) -> DataFrame:
+    """A job a block, which writes the texts that hold any of its items, by their digest: tasks hold one block at a time."""
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    schema = "__key string, __items array<long>, __words int"
+    texts = docs.select(F.sha2(text, 256).alias("__key"), text.alias("__text"))
     for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").toPandas()
-        words = []
-        for lo, hi, data, offsets in pieces(pa.array(part["text"], pa.string())):
-            h, first = word_hashes(data, offsets)
-            words += [h[first[i] : first[i + 1]] for i in range(hi - lo)]
-        shared = spark.sparkContext.broadcast(Block(part["item_id"].to_numpy(dtype=np.int64), words))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block = shared.value
-            for batch in batches:
-                found, most = batch.column("__items").to_pylist(), batch.column("__words").to_pylist()
-                for lo, _, data, offsets in pieces(batch.column("__text")):
-                    hashes, first = word_hashes(data, offsets)
-                    for row, own in block.finds(hashes, first, least, threshold).items():
-                        found[lo + row] = sorted({*(found[lo + row] or ()), *(int(block.ids[i]) for i in own)})
-                        most[lo + row] = max(most[lo + row], *own.values())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keep, "__text")), pa.array(found, pa.list_(pa.int64())), pa.array(most, pa.int32())], names=[*keep, "__text", "__items", "__words"])
-
-        last = k == blocks - 1
-        out = out.mapInArrow(run, f"{plain}, __text string, __items array<long>, __words int") if not last else out.mapInArrow(_without_text(run, keep), f"{plain}, __items array<long>, __words int")
-    return out.select(*keep, F.col("__items").isNotNull().alias("contaminated"), F.coalesce("__items", F.array().cast("array<long>")).alias("items"), F.col("__words").alias("words")).withColumn("n_items", F.size("items"))
-
-
-def _without_text(run, keep: tuple[str, ...]):
-    """The last pass doesn't send the text back."""
-
-    def less(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in run(batches):
-            yield batch.select([*keep, "__items", "__words"])
-
-    return less
+        shared = _block(items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k))
+        found = texts.mapInArrow(_search(shared, ("__key",), least, threshold), schema)
+        scratch.keep(found.filter("__items is not null").dropDuplicates(["__key"]), "found")  # copies of a text find the same
+        shared.destroy()
+    whole = docs.sparkSession.read.schema(schema).parquet(f"{scratch.root}/*")  # one scan, however many blocks
+    merged = whole.groupBy("__key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"), F.max("__words").alias("__words"))
+    return docs.select(*keep, F.sha2(text, 256).alias("__key")).join(merged, "__key", "left")
+
+
+def _block(items: DataFrame) -> Broadcast:
+    part = items.orderBy("item_id", "text").toPandas()  # a block's size is bounded
+    words = []
+    for lo, hi, data, offsets in pieces(pa.array(part["text"], pa.string())):
+        h, first = word_hashes(data, offsets)
+        words += [h[first[i] : first[i + 1]] for i in range(hi - lo)]
+    return items.sparkSession.sparkContext.broadcast(Block(part["item_id"].to_numpy(dtype=np.int64), words))
+
+
+def _search(shared: Broadcast, keep: tuple[str, ...], least: int, threshold: float):
+    """``keep`` columns of every row, and items and words of those whose ``__text`` holds items of the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
+        for batch in batches:
+            found: list[list[int] | None] = [None] * batch.num_rows
+            most = [0] * batch.num_rows
+            for lo, _, data, offsets in pieces(batch.column("__text")):
+                hashes, first = word_hashes(data, offsets)
+                for row, own in block.finds(hashes, first, least, threshold).items():
+                    found[lo + row] = sorted({int(block.ids[i]) for i in own})
+                    most[lo + row] = max(own.values())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.list_(pa.int64())), pa.array(most, pa.int32())], names=[*keep, "__items", "__words"])
+
+    return run

@@ -580,9 +580,12 @@ def test_benchmark_items_are_found_with_substitutions(spark):
     rows = [(100 + k, prose(50, k) + " " + items[k][1].upper().replace(" ", ", ") + " " + prose(40, k + 1)) for k in range(10)]
     rows += [(200, prose(30, 60) + " " + edited(items[11][1], 11, 1)), (201, "a tiny item of five here"), (202, prose(60, 61) + " " + items0), (203, " ".join(items[12][1].split()[:8])), (204, prose(400, 62))]
     docs = table(spark, rows + EDGES, extra=True)
-    for size in (4_000_000, 60):
-        got = {r["doc_id"]: r["items"] for r in decontaminate.contaminated(docs, bench, block_words=size).collect()}
-        assert {k: v for k, v in got.items() if v} == {**{100 + k: [k] for k in range(10)}, 200: [11], 201: [50], 202: [53, 54]}
+    for size, passes in ((4_000_000, 1), (300, 0)):  # with several blocks no pass is left in the plan, whatever their number
+        found = decontaminate.contaminated(docs, bench, block_words=size)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == passes
+        rows_of = {r["doc_id"]: r for r in found.collect()}
+        assert {k: r["items"] for k, r in rows_of.items() if r["items"]} == {**{100 + k: [k] for k in range(10)}, 200: [11], 201: [50], 202: [53, 54]}
+        assert (rows_of[202]["n_items"], rows_of[202]["words"]) == (2, 30) and (rows_of[204]["n_items"], rows_of[204]["words"]) == (0, 0)
     assert decontaminate.contaminated(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.contaminated(table(spark, []), bench).count() == 0
 
