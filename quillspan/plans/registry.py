@@ -1059,14 +1059,14 @@ def calendars_upsert(t: Tables) -> DataFrame:
     return ingest.upsert_calendars(stored, n.filter("id % 4 = 0").selectExpr("id", "'new' as summary", "id % 8 = 0 as selected"))
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 50 = 0 THEN 'replaced' ELSE o_orderstatus END AS status, CAST(o_custkey AS VARCHAR) AS parent FROM orders")
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, lang, CASE WHEN doc_id % 50 = 0 THEN 'replaced' ELSE text END AS text FROM documents")
 def replica_rows(t: Tables) -> DataFrame:
-    """Orders stored in ranges, copied, a fiftieth of them changed, and the difference copied: the replica's rows."""
-    root, schema = shared_folder(t.spark, "replica"), "id string, status string, parent string, updated_at int"
+    """Documents stored in ranges, copied, a fiftieth of them changed, and the difference copied: the replica's rows."""
+    root, schema = shared_folder(t.spark, "replica"), "id string, lang string, text string, updated_at int"
     source, target = RangeTable(t.spark, f"{root}/source", schema), RangeTable(t.spark, f"{root}/target", schema)
-    rows = t.raw("orders").selectExpr("cast(o_orderkey as string) as id", "o_orderstatus as status", "cast(o_custkey as string) as parent", "1 as updated_at")
-    source.replace(rows)
+    rows = t.raw("documents").selectExpr("cast(doc_id as string) as id", "lang", "text", "1 as updated_at")
+    source.replace(rows, bits=6)
     replication.replicate(source, target)
-    source.upsert(rows.filter("cast(id as long) % 50 = 0").withColumns({"status": F.lit("replaced"), "updated_at": F.lit(2)}), "updated_at", insert_only=())
+    source.upsert(rows.filter("cast(id as long) % 50 = 0").withColumns({"text": F.lit("replaced"), "updated_at": F.lit(2)}), "updated_at", insert_only=())
     replication.replicate(source, target)
-    return target.read().select("id", "status", "parent")
+    return target.read().select("id", "lang", "text")
