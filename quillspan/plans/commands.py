@@ -75,7 +75,7 @@ def search_page(documents: DataFrame, panels: DataFrame, utterances: DataFrame,
     hits = search.search(documents, sources, query, targets, include_deleted, dates, meeting)
     near = chunks.filter(F.col("document_id").isin(ids))
     q = spark.createDataFrame([(0, [float(x) for x in vector])], "query_id int, q array<double>")
-    best = semantic.best_chunks(semantic.scored(near, q, semantic.source_filter(targets), best=True)).select("document_id", "chunk_id", "source_type")
+    best = semantic.best_scored(near, q, semantic.source_filter(targets)).select("document_id", "chunk_id", "source_type")
     text = chunks.filter(F.col("document_id").isin(ids)).select("chunk_id", F.col("text").alias("chunk_text")) if "text" in chunks.columns else None
     best = best.withColumn("chunk_text", F.lit(None).cast("string")) if text is None else best.join(text, "chunk_id")
     own = lambda df, c: df.filter(F.col(c).isin(ids))
