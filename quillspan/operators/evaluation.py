@@ -21,7 +21,11 @@ def query_scores(results: DataFrame, labels: DataFrame, k: int = 10, documents:
     n = wanted.groupBy("query_id").agg(F.count("*").alias("n_labels"))
     met = found.join(wanted, on).select("query_id", "label", "rank")
     best = met.groupBy("query_id").agg(F.min("rank").alias("best_rank"), F.count_distinct(F.when(F.col("rank") <= k, F.col("label"))).alias("found"))
-    rows = n.join(best, "query_id", "left").withColumn("found", F.coalesce("found", F.lit(0).cast("long")))
+    return measured(n.join(best, "query_id", "left").withColumn("found", F.coalesce("found", F.lit(0).cast("long"))), k)
+
+
+def measured(rows: DataFrame, k: int = 10) -> DataFrame:
+    """hit, recall and rr of (query_id, best_rank, found, n_labels), as ``query_scores`` or ``semantic.standings`` give them."""
     hit = F.coalesce(F.col("best_rank") <= k, F.lit(False))
     return rows.select("query_id", "best_rank", "found", "n_labels", hit.cast("int").alias("hit"), (F.col("found") / F.col("n_labels")).alias("recall"), F.when(hit, 1.0 / F.col("best_rank")).otherwise(F.lit(0.0)).alias("rr"))
 

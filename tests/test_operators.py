@@ -1,6 +1,7 @@
 import json
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -422,3 +423,26 @@ def test_messages():
     assert messages.command_line("grep", 'a "b"', limit=5, include_deleted=True, meeting=None) == "grep 'a \"b\"' --limit 5 --include-deleted"
     assert messages.grep_hint("q", 3, 3) is None and "3 meetings" in messages.grep_hint("q", 3, 1)
     assert messages.ambiguous_speaker("x", ["a", "b"]) and messages.freshness_warning("Fresh") is None
+
+
+def test_standings_are_those_of_the_whole_ranking(spark):
+    """Documents over several tasks and batches, relevant ones far behind the first k, ties, best chunks of one source left out."""
+    rng = np.random.default_rng(5)
+    rows = [(i, f"d{i // 4}", ("panel_section", "notes_paragraph")[i % 2], [float(x) for x in rng.integers(-2, 3, 3)], int(i // 4 % 23)) for i in range(400)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_id string, source_type string, vector array<double>, label int")
+    queries = spark.createDataFrame([(i, [float(x) for x in rng.integers(-2, 3, 3)], i) for i in range(30)], "query_id long, q array<double>, label int")  # labels 23 to 29 have no document
+    wanted = queries.join(chunks.select("document_id", "label").distinct(), "label").select("query_id", F.col("document_id").alias("label"))
+    key = lambda df: sorted((r["query_id"], r["best_rank"], r["found"], r["n_labels"]) for r in df.select("query_id", F.col("best_rank").cast("long").alias("best_rank"), "found", "n_labels").collect())
+    before = semantic.MOST_QUERIES, semantic.AT_ONCE
+    try:
+        semantic.MOST_QUERIES, semantic.AT_ONCE = 20, 100
+        for without in ((), ("panel_section",)):
+            best = semantic.best_chunks(semantic.scored(chunks, queries), 0.0)
+            assert sorted(map(tuple, semantic.best_scored(chunks, queries).collect())) == sorted(map(tuple, best.select("query_id", "document_id", "chunk_id", "source_type", "score").collect()))
+            results = semantic.ranked(best.filter(~F.col("source_type").isin(*without)) if without else best)
+            want = key(evaluation.query_scores(results, wanted, 3))
+            assert key(semantic.standings(chunks, queries, 3, without=without)) == want and max(r[1] or 0 for r in want) > 3
+        plan = semantic.best_scored(chunks, queries)._jdf.queryExecution().toString()
+        assert plan.index("MapInArrow") < plan.index("RepartitionByExpression") and "Aggregate" not in plan  # no score is shuffled
+    finally:
+        semantic.MOST_QUERIES, semantic.AT_ONCE = before
