@@ -2,10 +2,10 @@
 
 A batch of rows (document_id, row_id, text and perhaps live) writes one segment and nothing else. A segment has
 
-* ``postings``: term, range, row_id, document_id, live, len, tf, positions; in folders by the term's bucket, sorted by
-  term and range, so a query reads its terms' row groups only, and positions only for phrases;
-* ``blocks``: for each term and range of rows how many postings, and the greatest share of a score that one of them has;
-* ``rows``: row_id, its bucket, len, terms: what a later batch needs to take an old version of a row out again;
+* ``postings``: term, range, row_id, document_id, live, len, tf, positions; made where the rows are, in runs of about
+  ``RUN_TOKENS`` words sorted by term and range, so a query reads its terms' pages only, and positions only for phrases.
+  A range's first posting of a term also has how many there are (n), and the greatest share of a score that one has (most);
+* ``rows``: row_id, its bucket, len and words: what a later batch needs to take an old version of a row out again;
 * ``terms``: how the number of rows with a term changes, old versions that went included;
 * ``gone``: (segment, row_id) of old versions of its rows, and of rows removed.
 
@@ -26,20 +26,21 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import phrases, tokens
 from quillspan.operators.search import K1, B, LEAST_IDF
 from quillspan.sources.commits import Commits
 
-#: 2**RANGE_BITS rows are a range; at most so many ranges are named in a filter, beyond they are joined.
+#: At most 2**RANGE_BITS rows of a run are a range; at most so many ranges are named in a filter, beyond they are joined.
 RANGE_BITS, NAMED = 10, 5000
-#: Tokens of a bucket of the first batch, and the most buckets.
-BUCKET_TOKENS, MOST_BUCKETS = 20_000_000, 4096
-POSTINGS = "term string, range long, row_id string, document_id string, live boolean, len int, tf int, positions array<int>, bucket int"
-BLOCKS = "term string, range long, n long, most double, bucket int"
-ROWS = "row_id string, document_id string, live boolean, len int, range long, terms array<string>, part int"
+#: Words that a task sorts at once; bytes of text of a task, and of a bucket of the first batch, and the most buckets.
+RUN_TOKENS, TASK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 1_000_000, 16 << 20, 128 << 20, 4096
+POSTINGS = "term string, range long, row_id string, document_id string, live boolean, len int, tf int, positions array<int>, n long, most double"
+ROWS = "row_id string, document_id string, live boolean, w array<string>, len int, part int"
 TERMS = "term string, df long, bucket int"
 GONE = "segment string, row_id string"
 
@@ -81,7 +82,7 @@ class TextIndex:
         """Postings of present rows."""
         head = head or self._head()[1]
         df = self._table("postings", POSTINGS, head)
-        df = df if terms is None else self._of_terms(df, terms)
+        df = df if terms is None else df.filter(F.col("term").isin(terms))
         return df.join(self._gone(head), ["segment", "row_id"], "left_anti") if any(s["gone"] for s in head["segments"]) else df
 
     def statistics(self) -> dict[str, int]:
@@ -117,9 +118,14 @@ class TextIndex:
         name = f"s{n + 1:06d}-{uuid.uuid4().hex[:8]}"
         live = F.coalesce(F.col("live"), F.lit(False)) if "live" in rows.columns else F.lit(True)
         plain = rows.filter("row_id is not null").select(F.col("row_id").cast("string").alias("row_id"), F.col("document_id").cast("string").alias("document_id"), live.alias("live"), "text")
-        # texts are cut into words by as many tasks as there are: small files and coalesced shuffles would leave few
-        tasks = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        fresh = plain.repartition(tasks, "row_id").groupBy("row_id").agg(F.max_by(F.struct("document_id", "live", "text"), F.xxhash64("document_id", "live", "text")).alias("r")).select("row_id", "r.*")
+        size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        self.buckets = self.buckets or min(MOST_BUCKETS, 1 + size // BUCKET_BYTES)
+        # texts are cut into words by enough tasks: small files and coalesced shuffles would leave few
+        tasks = max(self.spark.sparkContext.defaultParallelism, 1 + size // TASK_BYTES)
+        tasks = -(-tasks // self.buckets) * self.buckets  # so a task's rows are of few buckets
+        dealt = plain.withColumn("slot", F.pmod(F.crc32("row_id"), F.lit(tasks))).withColumn("part", F.pmod("slot", F.lit(self.buckets)).cast("int")).withColumn("digest", F.xxhash64("document_id", "live", "text")).repartition(tasks, "slot")
+        last = F.row_number().over(Window.partitionBy("part", "slot", "row_id").orderBy(F.col("digest").desc()))
+        fresh = dealt.withColumn("k", last).filter("k = 1").select("row_id", "document_id", "live", tokens(F.col("text")).alias("w"), "part")
         average = self._write(name, fresh)
         mine = self.spark.read.schema(ROWS).parquet(f"{self.root}/{name}/rows")
         old, gone, minus, path = self._superseded(head, mine.select("row_id", "part"), removed)
@@ -149,45 +155,34 @@ class TextIndex:
             stored = stored.filter(F.col("part").isin([r[0] for r in keys.select("part").distinct().collect()]))
         present = stored.join(self._gone(head), ["segment", "row_id"], "left_anti") if any(s["gone"] for s in head["segments"]) else stored
         path = f"{self.root}/superseded-{uuid.uuid4().hex}"
-        hit = present.join(keys.select("row_id"), "row_id", "left_semi").select("segment", "row_id", "len", "terms")
+        kept = ["segment", "row_id", "len", F.array_distinct("w").alias("terms")]
+        hit = present.join(keys.select("row_id"), "row_id", "left_semi").select(*kept)
         if by_document:
             own = removed.select(F.col("document_id").cast("string").alias("document_id")).distinct()
-            hit = hit.unionByName(present.join(own, "document_id", "left_semi").select(hit.columns)).dropDuplicates(["segment", "row_id"])
+            hit = hit.unionByName(present.join(own, "document_id", "left_semi").select(*kept)).dropDuplicates(["segment", "row_id"])
         hit.write.parquet(path)
         old = self.spark.read.parquet(path)
         size = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("t")).first()
         return old, size["n"], size["t"], path
 
     def _write(self, name: str, fresh: DataFrame) -> float:
-        """postings, rows and blocks of one segment; the average length that blocks are for.
+        """rows and postings of one segment; the average length that the shares in its postings are for.
 
-        Texts are cut into words once. A row's range is by its key's hash, so ranges are of about equal size, and a row's
-        postings are made where the row is: one shuffle deals them to their files.
+        fresh: row_id, document_id, live, w, part, in order of part. Texts are cut into words once, and a row's postings are made
+        and sorted where the row is: nothing is shuffled.
         """
         path = f"{self.root}/{name}"
-        fresh.select("row_id", "document_id", "live", tokens(F.col("text")).alias("w")).withColumn("len", F.size("w")).write.parquet(f"{path}/words")
-        words = self.spark.read.schema("row_id string, document_id string, live boolean, w array<string>, len int").parquet(f"{path}/words")
-        size = words.agg(F.count("*").alias("n"), F.sum("len").alias("t")).first()
+        fresh.withColumn("len", F.size("w")).write.partitionBy("part").parquet(f"{path}/rows")
+        rows = self.spark.read.schema(ROWS).parquet(f"{path}/rows")
+        size = rows.agg(F.count("*").alias("n"), F.sum("len").alias("t")).first()
         average = max(1, size["t"] or 0) / max(1, size["n"])
-        self.buckets = self.buckets or min(MOST_BUCKETS, 1 + (size["t"] or 0) // BUCKET_TOKENS)
-        ranged = words.withColumn("range", F.pmod(F.xxhash64("row_id"), F.lit(1 + (size["n"] >> RANGE_BITS))))
-        rows = ranged.select("row_id", "document_id", "live", "len", "range", F.array_distinct("w").alias("terms"), self._part(F.col("row_id")).alias("part"))
-        rows.repartition("part", F.pmod("range", F.lit(1 + (size["n"] >> 18)))).sortWithinPartitions("part", "row_id").write.partitionBy("part").parquet(f"{path}/rows")
-        posted = ranged.select("row_id", "document_id", "live", "len", "range", "w").mapInArrow(_posted, "term string, range long, row_id string, document_id string, live boolean, len int, tf int, positions array<int>")
-        # dealt by term and range, so a frequent term doesn't meet in one task; in each file by term
-        total = size["t"] or 0
-        spread = F.pmod("range", F.lit(1 + total // (self.buckets * max(500_000, min(16_000_000, total // 64)))))
-        dealt = posted.withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket", spread).sortWithinPartitions("bucket", "term", "range")
-        dealt.write.option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{path}/postings")
-        stored = self.spark.read.schema(POSTINGS).parquet(f"{path}/postings")
-        blocks = stored.groupBy("bucket", "term", "range").agg(F.count("*").alias("n"), F.max(impact(F.col("tf"), F.col("len"), average)).alias("most"))
-        blocks.repartition("bucket", F.shiftright("range", 12)).sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/blocks")
-        self.commits.delete(f"{path}/words")
+        posted = rows.select("row_id", "document_id", "live", "len", "w").mapInArrow(_posted(average, RANGE_BITS, RUN_TOKENS), POSTINGS)
+        posted.write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
         return average
 
     def _write_terms(self, name: str, old: DataFrame | None) -> None:
         path = f"{self.root}/{name}"
-        terms = self.spark.read.schema(POSTINGS).parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"))
+        terms = self.spark.read.schema(POSTINGS).parquet(f"{path}/postings").filter("n is not null").groupBy("term").agg(F.sum("n").alias("df"))
         if old is not None:
             minus = old.select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
             terms = terms.unionByName(minus).groupBy("term").agg(F.sum("df").alias("df"))
@@ -198,13 +193,10 @@ class TextIndex:
         """One segment of all, without what is gone; old segments stay until ``drop_unused``."""
         n, head = self._head()
         name = f"s{n + 1:06d}-{uuid.uuid4().hex[:8]}"
-        present = self.postings(head=head)
         rows = self._table("rows", ROWS, head)
         if any(s["gone"] for s in head["segments"]):
             rows = rows.join(self._gone(head), ["segment", "row_id"], "left_anti")
-        again = present.select("row_id", F.explode("positions").alias("at"), "term").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("w"))
-        text = F.array_join(F.transform("w", lambda x: x["term"]), " ")  # what was cut into these words is cut into them again
-        average = self._write(name, rows.select("row_id", "document_id", "live").join(again, "row_id", "left").select("row_id", "document_id", "live", text.alias("text")))
+        average = self._write(name, rows.select("row_id", "document_id", "live", "w", "part"))
         self._write_terms(name, None)
         self.commits.commit(n + 1, {**head, "segments": [{"name": name, "rows": head["rows"], "gone": False, "average": average}]})
         return n + 1
@@ -272,7 +264,7 @@ class TextIndex:
     def top(self, query: str, k: int, allowed: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
         """(document_id, score) of all documents that score as well as the k-th best, and what was read for it.
 
-        allowed: (id) of the documents that count. Bounds of ranges of rows come from ``blocks``; the best ranges are scored
+        allowed: (id) of the documents that count. Bounds of ranges of rows come from their first postings; the best ranges are scored
         first, and then only those ranges whose bound reaches the k-th score. Exact: what is skipped can't reach it.
         Queries with phrases are ranked whole, as their weights need all positions.
         """
@@ -290,7 +282,7 @@ class TextIndex:
         idf = {t: math.log((head["rows"] - df[t] + 0.5) / (df[t] + 0.5)) for t in terms}
         weight = {t: times[t] * (w if w > 0 else LEAST_IDF) for t, w in idf.items()}
         weights = F.create_map(*[F.lit(x) for t in terms for x in (t, weight[t])])
-        blocks = self._of_terms(self._table("blocks", BLOCKS, head), terms)
+        blocks = self._table("postings", POSTINGS, head).filter(F.col("term").isin(terms)).filter("n is not null")
         # a longer average raises a share by its own growth at most, a shorter one lowers it
         grown = F.create_map(*[F.lit(x) for s in head["segments"] for x in (s["name"], max(1.0, average / s["average"]))])
         bound = blocks.groupBy("segment", "range").agg(F.count("*").alias("have"), F.sum("n").alias("n"), F.sum(weights[F.col("term")] * F.col("most") * grown[F.col("segment")]).alias("bound"))
@@ -346,23 +338,62 @@ def search_top(documents: DataFrame, indexes: dict[str, TextIndex], query: str,
     return found.orderBy(F.col("score").asc(), F.col("created_at").desc(), F.col("id").asc()).limit(k)
 
 
-def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A posting for each row and distinct word, with the word's places in the row."""
-    for batch in batches:
-        words = batch.column("w")
-        offsets = words.offsets.to_numpy().astype(np.int64)
-        offsets -= offsets[0]
-        coded = words.flatten().dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        if not len(code):
-            continue
-        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-        place = (np.arange(len(code)) - offsets[row]).astype(np.int32)
-        key = row * len(coded.dictionary) + code
-        order = np.argsort(key, kind="stable")
-        new = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
-        tf = np.diff(np.append(new, len(order))).astype(np.int32)
-        of = pa.array(row[order[new]])
-        positions = pa.ListArray.from_arrays(pa.array(np.append(new, len(order)).astype(np.int32)), pa.array(place[order]))
-        columns = [coded.dictionary.take(pa.array(code[order[new]])), *(batch.column(c).take(of) for c in ("range", "row_id", "document_id", "live", "len")), pa.array(tf), positions]
-        yield pa.RecordBatch.from_arrays(columns, names=["term", "range", "row_id", "document_id", "live", "len", "tf", "positions"])
+def _posted(average: float, range_bits: int, run_tokens: int):
+    """Makes a posting for each row and distinct word, with the word's places in the row, in runs sorted by term and range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        next_range = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            ends = np.cumsum(batch.column("len").to_numpy())
+            lo = 0
+            while lo < batch.num_rows:
+                before = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, before + run_tokens - size, side="right")))
+                held.append(batch.slice(lo, hi - lo))
+                size += int(ends[hi - 1] - before)
+                lo = hi
+                if size >= run_tokens or lo < batch.num_rows:
+                    yield from _inverted(held, average, range_bits, next_range)
+                    next_range += 1 + (sum(b.num_rows for b in held) >> range_bits)
+                    held, size = [], 0
+        if held:
+            yield from _inverted(held, average, range_bits, next_range)
+
+    return run
+
+
+def _inverted(held: list[pa.RecordBatch], average: float, range_bits: int, first_range: int) -> Iterator[pa.RecordBatch]:
+    names = ["term", "range", "row_id", "document_id", "live", "len", "tf", "positions", "n", "most"]
+    rows = pa.Table.from_batches(held).combine_chunks()
+    lengths = rows.column("len").to_numpy().astype(np.int64)
+    words = pa.chunked_array([b.column("w").flatten() for b in held]).combine_chunks()
+    if not len(words):
+        return
+    coded = (words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words).dictionary_encode()
+    by_term = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(by_term), dtype=np.int64)
+    rank[by_term] = np.arange(len(by_term))
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    place = (np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+    key = rank[coded.indices.to_numpy(zero_copy_only=False)] * len(lengths) + row
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0]))
+    term, of = np.divmod(key[new], len(lengths))
+    tf = np.diff(np.append(new, len(key)))
+    group = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (np.diff(of >> range_bits) != 0)]))
+    share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[of] / average))
+    n, most, first = np.zeros(len(new), dtype=np.int64), np.zeros(len(new)), np.ones(len(new), dtype=bool)
+    n[group], most[group], first[group] = np.diff(np.append(group, len(new))), np.maximum.reduceat(share, group), False
+    place = place[order]
+    for lo in range(0, len(new), 50_000):
+        hi = min(len(new), lo + 50_000)
+        starts = np.append(new[lo:hi], new[hi] if hi < len(new) else len(key))
+        at = pa.array(of[lo:hi])
+        given = rows.select(["row_id", "document_id", "live", "len"]).take(at).combine_chunks()
+        positions = pa.ListArray.from_arrays(pa.array((starts - starts[0]).astype(np.int32)), pa.array(place[starts[0] : starts[-1]]))
+        whole = [pa.array(n[lo:hi], mask=first[lo:hi]), pa.array(most[lo:hi], mask=first[lo:hi])]
+        columns = [coded.dictionary.take(pa.array(by_term[term[lo:hi]])), pa.array(first_range + (of[lo:hi] >> range_bits)), *(c.combine_chunks() for c in given.columns), pa.array(tf[lo:hi].astype(np.int32)), positions, *whole]
+        yield from pa.table(columns, names=names).to_batches()

@@ -355,3 +355,22 @@ def test_search_page_has_totals_chunks_and_deleted_ones(spark):
     assert (one["keyword_total"], one["limit"], one["returned"]) == (2, 1, 1) and one["meetings"][0]["id"] == "g"
     with pytest.raises(ValueError):
         commands.search_page(docs, panels, said, sources, chunks, "x", [0.0, 1.0], limit=0)
+
+
+def test_a_segment_is_made_without_a_shuffle_of_postings(spark, tmp_path):
+    """Runs of few words: postings are sorted in each, ranges are counted once, and the text is all that moves."""
+    rows = [(f"r{i}", f"d{i}", " ".join(f"w{(i * j) % 17}" for j in range(i % 40))) for i in range(200)]
+    before = textindex.RUN_TOKENS
+    try:
+        textindex.RUN_TOKENS = 100
+        index = TextIndex(spark, f"file://{tmp_path}/i")
+        index.append(spark.createDataFrame(rows, "row_id string, document_id string, text string"))
+    finally:
+        textindex.RUN_TOKENS = before
+    postings = index.postings()
+    once = postings.filter("n is not null").groupBy("term", "range").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    made = postings.groupBy("term", "range").agg(F.count("*").alias("m"))
+    assert made.join(once, ["term", "range"], "left").filter("k is null or k <> 1 or n <> m").count() == 0 and made.select("range").distinct().count() > 8
+    want = {(r, w): [j for j, x in enumerate(t.split()) if x == w] for r, _, t in rows for w in set(t.split())}
+    assert {(r["row_id"], r["term"]): r["positions"] for r in postings.collect()} == want
+    assert not list(tmp_path.glob("i/*/blocks")) and not list(tmp_path.glob("i/*/words"))
