@@ -57,8 +57,9 @@ def upsert_stats(actions: DataFrame) -> DataFrame:
 
 def replace_children(stored: DataFrame, fresh: DataFrame, parents: DataFrame, key: str = "document_id") -> DataFrame:
     """Children of ``parents`` (key) are replaced by the fresh ones; those of others stay."""
-    own = fresh.join(parents.select(key).distinct(), key, "left_semi")
-    return stored.join(parents.select(key).distinct(), key, "left_anti").select(stored.columns).unionByName(own.select(stored.columns))
+    only = parents.select(key).distinct().hint("shuffle_hash")  # no key twice, so tables stay small; children needn't be sorted
+    own = fresh.join(only, key, "left_semi")
+    return stored.join(only, key, "left_anti").select(stored.columns).unionByName(own.select(stored.columns))
 
 
 def upsert_calendars(stored: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -446,3 +446,12 @@ def test_standings_are_those_of_the_whole_ranking(spark):
         assert plan.index("MapInArrow") < plan.index("RepartitionByExpression") and "Aggregate" not in plan  # no score is shuffled
     finally:
         semantic.MOST_QUERIES, semantic.AT_ONCE = before
+
+
+def test_children_are_replaced_without_a_table_of_all_parents(spark):
+    rows = spark.range(2000).selectExpr("id div 4 as document_id", "id as line")
+    parents = spark.range(0, 400, 2).selectExpr("id as document_id")
+    out = ingest.replace_children(rows, rows.filter("line % 4 < 2"), parents.unionAll(parents))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and "BroadcastExchange" not in plan
+    assert {r["line"] for r in out.collect()} == {i for i in range(2000) if i % 4 < 2 or i // 4 >= 400 or i // 4 % 2}
