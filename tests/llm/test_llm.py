@@ -649,3 +649,12 @@ def test_pipeline(spark, tmp_path):
             assert not gone and kept.filter("text like '%555-3824%'").isEmpty()
     mixed = corpus_pipeline.run(spark, root)
     assert mixed.columns == [*kept.columns, "copy_no"] and mixed.count() > 0
+
+
+def test_alignment_without_gaps_is_one_comparison():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 3, 90).astype("<u2")
+    b = np.concatenate([rng.integers(0, 3, 7).astype("<u2"), a[:80]])
+    b[20:30] = 9
+    same, skipped = chains.align(a, b, np.array([[2, 9], [40, 47]]))
+    assert not skipped.any() and same.tolist() == [bool(i + 7 < len(b) and a[i] == b[i + 7]) for i in range(90)]
