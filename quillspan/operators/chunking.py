@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspan.functions.batches import small_batches
 from quillspan.functions.text import paragraphs, sections, strip_footer
 
 CHUNK = T.StructType([T.StructField(n, T.StringType()) for n in ("source_type", "source_id", "document_id", "text", "metadata_json")])
@@ -204,6 +205,7 @@ def _parts(text: pd.Series, limit: pd.Series) -> pd.Series:
 
 def _split(units: DataFrame, prefix: Column, config: Config, kind: str, meta: Column) -> DataFrame:
     """Units (document_id, unit, header) cut to the cap; the first part keeps the plain id."""
+    small_batches(units.sparkSession)
     limit = F.lit(config.cap) - F.coalesce(F.octet_length("header"), F.lit(0))
     rows = units.select("*", F.posexplode(_parts(F.col("unit"), limit)).alias("part", "piece")).filter(F.octet_length("piece") >= config.min_chars)
     suffix = F.when(F.col("part") > 0, F.concat(F.lit("p"), F.col("part"))).otherwise(F.lit(""))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.functions.batches import small_batches
 from quillspan.functions.text import excerpt, has_all, paragraphs, parse_query, sections, single_spaced, strip_footer
 
 #: The order in which evidence is shown, and the defaults.
@@ -28,6 +29,7 @@ def panel_sites(panels: DataFrame, query: str, context: int = 0) -> DataFrame:
 
     A body holds every part only if the panel does, so only such panels are cut into sections.
     """
+    small_batches(panels.sparkSession)
     likely = panels.filter("not deleted").filter(has_all(F.col("content_markdown"), parse_query(query)))
     p = likely.select("document_id", F.col("id").alias("outer"), sections(strip_footer(F.col("content_markdown"))).alias("s"))
     bodies = F.transform("s", lambda x: single_spaced(x["body"]))
@@ -96,6 +98,7 @@ def shape(page: DataFrame, sites: DataFrame, query: str, best_chunks: DataFrame
 
     best_chunks: (document_id, source_type, chunk_text). With context the whole unit is shown.
     """
+    small_batches(page.sparkSession)
     parts = parse_query(query)
     own = sites.join(page.select(F.col("id").alias("document_id")), "document_id", "left_semi")
     placed = first_matches(own, max_matches)
