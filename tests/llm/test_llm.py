@@ -675,3 +675,31 @@ def test_dense_edits_and_every_source_of_a_passage(spark):
     assert {k: got[k]["sources"] for k in wanted} == wanted and all(got[k]["n_repeated"] >= 50 for k in wanted)
     assert all(got[200 + k]["sources"] == list(range(200, 200 + k)) and got[200 + k]["n_later"] == 7 - k for k in range(8))
     assert got[300]["class_id"] == 100 and got[300]["sources"] == [100] and got[100]["n_later"] == 2
+
+
+def test_chains_that_can_add_nothing_are_not_aligned(monkeypatch):
+    """A pair of documents of one repeated line has as many chains as places; what the best ones cover is not aligned again."""
+    calls = []
+    align = chains.align
+    monkeypatch.setattr(chains, "align", lambda *a: calls.append(1) or align(*a))
+    has = np.zeros(1 << 16, dtype=bool)
+    line = np.arange(10, dtype=np.uint16)
+    a, b = np.tile(line, 30), np.tile(line, 20)
+    places = np.array([(p, q) for p in range(0, 297, 10) for q in range(0, 197, 10)])
+    found = chains.found_in(a, b, places[:, 0], places[:, 1], 50, 0.8, has)
+    covered = np.zeros(len(a), dtype=bool)
+    for lo, hi, equal in found:
+        covered[lo:hi] = True
+        assert equal >= 0.8 * (hi - lo)
+    assert covered.all() and len(calls) < 40 and not has.any()
+    few = np.concatenate([np.arange(20, 110), np.zeros(6)]).astype(np.uint16)  # has the word six times
+    calls.clear()
+    places = np.array([(p, 90) for p in range(900)])
+    assert chains.found_in(np.zeros(1000, dtype=np.uint16), few, places[:, 0], places[:, 1], 50, 0.8, has) == [] and not calls
+
+
+def test_places_are_packed_whole():
+    rng = np.random.default_rng(3)
+    for kind, x in (("<i8", rng.integers(-(1 << 62), 1 << 62, 999)), ("<i4", rng.integers(0, 1 << 31, 999)), ("u1", rng.integers(0, 255, 999)), ("<u4", rng.integers(0, 1 << 32, 999))):
+        column = pa.chunked_array([[chains._packed(x[:400], kind)], [chains._packed(x[400:], kind)]], pa.binary())
+        assert (chains._unpacked(column, kind) == x).all()
