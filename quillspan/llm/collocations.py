@@ -40,6 +40,7 @@ from quillspan.llm.tokens import Hashes, U, _spans, mix, pieces
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: Hashes that a task holds, keys of a block, tasks of one array, groups that a block's readers are dealt over.
 HELD, BLOCK, FAN, READERS = 1_000_000, 1 << 16, 64, 8
+SECOND_BIT = 32  # where a hash's second bit of a bitmap is taken from
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -114,20 +115,27 @@ class Words:
 
 
 class Bits:
-    """A bitmap of hashes: those put in always pass, others by chance. 16 bits a hash, 2**27 bits (16 MiB) at most."""
+    """A bitmap of hashes, two bits each: those put in always pass, others by chance. 16 bits a hash, 2**27 bits (16 MiB) at most."""
 
     def __init__(self, hashes: DataFrame, most: int = 1 << 27):
         self.bits = min(most, 1 << max(16, (16 * hashes.count()).bit_length()))
-        at = hashes.select(F.pmod("h", F.lit(self.bits)).alias("q")).selectExpr("shiftright(q, 6) w", "shiftleft(1L, cast(q % 64 as int)) b")
+        both = F.explode(F.array("h", F.shiftright("h", SECOND_BIT)))
+        at = hashes.select(both.alias("h")).select(F.pmod("h", F.lit(self.bits)).alias("q")).selectExpr("shiftright(q, 6) w", "shiftleft(1L, cast(q % 64 as int)) b")
         words = at.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
         self.words = np.zeros(self.bits // 64, dtype=np.uint64)
         if len(words):
             self.words[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64).view(np.uint64)
 
-    def __call__(self, h: np.ndarray) -> np.ndarray:
+    def _has(self, h: np.ndarray) -> np.ndarray:
         at = h & np.int64(self.bits - 1)
         return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & U(1) == 1
 
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = self._has(h)
+        some = np.flatnonzero(out)
+        out[some] = self._has(h[some] >> SECOND_BIT)
+        return out
+
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str]]]:
     """Words of runs of rows of (text, lang), and each row's lang."""
@@ -141,16 +149,16 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str]]
             yield Words(data, offsets, keys[lo:hi]), lang[lo:hi]
 
 
-def candidates_at(words: Words, k: int, filters: list[Bits]) -> np.ndarray:
-    """Where phrases of k words begin whose parts of k - 1 words both pass."""
-    at = np.flatnonzero(words.whole[k - 1])
-    if k > 1:
-        least = filters[k - 2]
-        ok = np.zeros(len(words.starts) + 1, dtype=bool)
-        all_parts = np.flatnonzero(words.whole[k - 2])
-        ok[all_parts] = least(words.first(k - 1, all_parts))
-        at = at[ok[at] & ok[at + 1]]
-    return at
+def candidates(words: Words, filters: list[Bits], longest: int = LONGEST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length k up to ``longest``: k, where phrases of k words begin whose parts of k - 1 words both pass, and their hashes."""
+    at = np.flatnonzero(words.whole[0])
+    for k in range(1, longest + 1):
+        if k > 1:
+            ok = np.zeros(len(words.starts) + 1, dtype=bool)
+            ok[at[filters[k - 2](h)]] = True
+            at = at[words.whole[k - 1][at] & ok[at] & ok[at + 1]]
+        h = words.first(k, at)
+        yield k, at, h
 
 
 def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -190,8 +198,8 @@ def _count_hashes(k: int, filters: list) -> Callable:
                 size = 0
 
         for words, lang in _runs(batches):
-            at = candidates_at(words, k, own)
-            h, place = words.first(k, at), words.place(at)
+            *_, (_, at, h) = candidates(words, own, k)
+            place = words.place(at)
             if k == 1:
                 names, of = np.unique(np.array(lang, dtype=object).astype(str), return_inverse=True)
                 groups = [(str(x), of[words.row[at]] == i) for i, x in enumerate(names)]
@@ -219,11 +227,11 @@ def _gather(filters: list, wanted: list, placed: bool) -> Callable:
         own, chosen = [f.value for f in filters], [f.value for f in wanted]
         seen: set[tuple[int, int]] = set()
         for words, lang in _runs(batches):
-            for k in range(1, LONGEST + 1):
-                at = candidates_at(words, k, own)
-                h = words.first(k, at)
-                at = at[chosen[k - 1](_placed(h, words.place(at)) if placed else h)]
-                h, h2 = words.first(k, at), words.second(k, at)
+            for k, at, h in candidates(words, own):
+                some = np.flatnonzero(own[k - 1](h))
+                some = some[chosen[k - 1](_placed(h[some], words.place(at[some])) if placed else h[some])]
+                at, h = at[some], h[some]
+                h2 = words.second(k, at)
                 one = _distinct(h, h2)
                 one = [i for i, key in zip(one.tolist(), zip(h[one].tolist(), h2[one].tolist())) if key not in seen and not seen.add(key)]
                 if not one:
@@ -345,9 +353,7 @@ def _send(filters: list, blocks: int) -> Callable:
                 yield pa.record_batch([[int(block[lo])], [turn], [x[0, lo:hi].tobytes()], [x[1, lo:hi].astype(np.int32).tobytes()], [x[2, lo:hi].tobytes()]], schema=schema)
 
         for words, _ in _runs(batches):
-            for k in range(1, LONGEST + 1):
-                at = candidates_at(words, k, own)
-                h = words.first(k, at)
+            for k, at, h in candidates(words, own):
                 ok = own[k - 1](h)
                 if ok.any():
                     held.append(np.stack([h[ok], words.second(k, at[ok]), np.ones(int(ok.sum()), dtype=np.int64)]))

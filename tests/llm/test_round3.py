@@ -193,6 +193,13 @@ def test_collocations_of_nothing(spark):
     assert collocations.collocations(table(spark, [(1, "once only", "en")])).count() == 0
 
 
+def test_bitmaps_pass_all_that_was_put_in_and_few_others(spark):
+    rng = np.random.default_rng(17)
+    h, other = rng.integers(-(2**63), 2**63 - 1, (2, 9000))
+    bits = collocations.Bits(spark.createDataFrame([(int(x),) for x in h], "h long"))
+    assert bits(h).all() and bits(other).mean() < 0.01
+
+
 def test_perfect_hashes_are_minimal_and_know_their_keys():
     rng = np.random.default_rng(1)
     for n in (1, 2, 7, 5000):
