@@ -15,7 +15,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillspan.llm import collocations, extraction, pii, registry, tokens, variants
+from quillspan.llm import chains, collocations, extraction, pii, registry, tokens, variants
+from quillspan.llm.scratch import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -232,3 +233,45 @@ def test_addresses_of_many_labels(spark):
     texts = ["to jo.doe+x@a.b.c.example.org.", "x@y.z1", "a@b.com.1x", "n" * 200 + "@mail.example.com"]
     got = [r["n_email"] for r in pii.pseudonymise(table(spark, [(i, t, "en") for i, t in enumerate(texts)]), "k").orderBy("doc_id").collect()]
     assert got == [1, 0, 1, 1] and Path(SF).exists()
+
+
+def test_parts_are_tested_by_some_of_their_words_before_their_words_are_joined():
+    """Of unrelated parts with one match few pass; none is left out in which a passage is found."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(300):
+        a, b = rng.integers(0, 1 << 16, (2, 150 + i % 47)).astype("<u2")
+        at, s_at = 60 + i % 9, 55 + i % 7
+        if i % 3 == 0:  # a passage, with every sixth word replaced, one dropped or added
+            n = 30 + i % 40
+            b[s_at - 25 : s_at + n] = a[at - 25 : at + n]
+            b[s_at - 25 : s_at + n : 6] = 7
+            if i % 2:
+                b = np.delete(b, s_at + 12) if i % 4 == 1 else np.insert(b, s_at + 12, 9)
+        b[s_at : s_at + chains.SEED] = a[at : at + chains.SEED]
+        rows.append((a, b, at, s_at, i % 2))
+    thin = pa.array([a.tobytes()[2 * odd :: 4] for a, _, _, _, odd in rows], pa.binary())
+    line, odd = np.array([at - s_at for _, _, at, s_at, _ in rows]), np.array([odd for *_, odd in rows])
+    spread = chains.SHIFT + np.arange(300) % 5
+    kept = chains.may_repeat(thin, odd, pa.array([b.tobytes() for _, b, *_ in rows], pa.binary()), line - spread, line + spread, 50, 0.8)
+    has = np.zeros(1 << 16, dtype=bool)
+    found = np.array([bool(chains.found_in(a, b, np.array([at]), np.array([s_at]), 50, 0.8, has)) for a, b, at, s_at, _ in rows])
+    assert found.sum() > 30 and kept[found].all()
+    assert kept[np.arange(300) % 3 > 0].mean() < 0.1
+    assert not len(chains.may_repeat(thin[:0], odd[:0], thin[:0], odd[:0], odd[:0], 50, 0.8))
+
+
+def test_shuffled_files_go_when_a_table_is_kept(spark):
+    """Disk held at once is that of one step."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    folders = [Path(str(f)) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {f.name for folder in folders for f in folder.rglob("shuffle_*.data")}
+    old = shuffled()
+    kept = Scratch(spark, "test").keep(spark.range(1000).repartition(7), free=True)
+    for _ in range(50):
+        left = shuffled() - old
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and kept.count() == 1000 and spark.conf.get(key, None) == before
